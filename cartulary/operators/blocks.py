@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.functions.text import strip_edges, unescape_html
+from cartulary.functions.markup import live_markup
+from cartulary.functions.text import unescape_html
 
 PAGE = "page_id"
 HEADINGS = ["h1", "h2", "h3"]
@@ -25,14 +26,6 @@ BLOCK_TAG = rf"(?i)<(/?(?:h1|h2|h3|p|ul|ol|li|img|br|{CONTAINERS}))\b([^>]*)>"
 EDGE = rf"[\s\u00a0{CUT}]*"
 
 
-def _body(html: Column) -> Column:
-    """The page without comments, scripts, styles and head."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in ("script", "style", "head"):
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    return text
-
-
 def _pieces(text: Column) -> Column:
     """Inline tags become one mark between trimmed pieces of text."""
     text = unescape_html(F.regexp_replace(text, "<[^>]*>", CUT))
@@ -42,7 +35,8 @@ def _pieces(text: Column) -> Column:
 
 def tokens(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, tag, attrs, text)``: each block tag with the text that follows it."""
-    cut = F.split(F.regexp_replace(_body(F.col("html")), BLOCK_TAG, f"{MARK}$1{MID}$2{END}"), MARK)
+    body = live_markup(F.col("html"), ("script", "style", "head"))
+    cut = F.split(F.regexp_replace(body, BLOCK_TAG, f"{MARK}$1{MID}$2{END}"), MARK)
     t = pages.select(PAGE, F.posexplode(cut).alias("pos", "t"))
     tagged = F.col("t").contains(MID)
     return t.select(

@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.functions.markup import behind_first, live_markup
 from cartulary.functions.text import distinct_in_order, squeeze, strip_edges, unescape_html
 from cartulary.functions.times import parse_edit_ts
 from cartulary.functions.urls import external_urls
@@ -20,7 +21,8 @@ from cartulary.operators.recipes import fixed_output
 
 TAG = "<[^>]*>"
 LABEL_BLOCK = r"""<div\b[^>]*\bclass=["'][^"']*\bcol-label__label\b[^"']*["'][^>]*>"""
-ANY_LABEL = rf"""<div\b[^>]*\btitle=["']|{LABEL_BLOCK}"""
+TITLE_LABEL = r"""<div\b[^>]*\btitle=["']"""
+ANY_LABEL = rf"""{TITLE_LABEL}|{LABEL_BLOCK}"""
 # Tags that end a line of visible text.
 LINE_TAGS = "br|p|div|li|ul|ol|pre|tr|table|h[1-6]"
 
@@ -30,6 +32,11 @@ def _class(name: str) -> str:
     return rf"""[^>]*\bclass=["'](?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["'][^>]*"""
 
 
+def readable(pages: DataFrame) -> DataFrame:
+    """Pages without comments, scripts and styles; the field expressions expect such markup."""
+    return pages.withColumn("html", live_markup(F.col("html")))
+
+
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null when nothing matches."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
@@ -54,14 +61,18 @@ def visible_lines(markup: Column) -> Column:
 def field_row(html: Column, label: str, block_labels: bool = True) -> Column:
     """Markup from behind a field's label to the next label, null when the label is absent.
 
-    A label is a ``div`` with that title, else a label block with that text.
+    A label is a ``div`` with that title, else a label block with that text. Without
+    ``block_labels`` only titles count, so label blocks may stand inside the value.
     """
     name = re.escape(label)
-    stop = rf"(?={ANY_LABEL}|\z)"
-    titled = first_match(html, rf"""(?is)<div\b[^>]*\btitle=["']{name}["'][^>]*>(.*?){stop}""")
+    stop = rf"(?={ANY_LABEL if block_labels else TITLE_LABEL}|\z)"
+    inner = rf"{LABEL_BLOCK}\s*{name}\s*</div>"
+    titled = first_match(
+        html, rf"""(?is)<div\b[^>]*\btitle=["']{name}["'][^>]*>(?:\s*{inner})?(.*?){stop}"""
+    )
     if not block_labels:
         return titled
-    block = first_match(html, rf"(?is){LABEL_BLOCK}\s*{name}\s*</div>(.*?){stop}")
+    block = first_match(html, rf"(?is){inner}(.*?){stop}")
     return F.coalesce(F.when(value_cell(titled).isNotNull(), titled), block)
 
 
@@ -129,7 +140,7 @@ def profile(
 ) -> DataFrame:
     """One row per asked id with all profile fields; blanks where there is no page."""
     html = F.col("html")
-    found = pages.select(
+    found = readable(pages).select(
         key,
         status_value(html).alias("status"),
         table_column(html, "Vendor Contributions", "vendor-contributions-table").alias("vendors"),
@@ -162,7 +173,7 @@ def category_badges(html: Column, label: str = "Modern Category") -> Column:
     row = field_row(html, label, block_labels=False)
     parts = F.split(row, rf"(?i)<div\b(?={_class('audit-row')}>)(?={_class('row-details')}>)")
     pairs = F.transform(
-        F.slice(parts, 2, 2147483647),
+        behind_first(parts),
         lambda p: F.struct(
             visible(first_match(p, rf"(?is)<\w+\b{_class('category-display')}>(.*?)</")).alias(
                 "name"
@@ -186,12 +197,12 @@ def hours_map(html: Column) -> Column:
         html, r"""(?is)\bdata-test-id=["']hours["'][^>]*>(.*?)(?=<div\b[^>]*\btitle=["']|\z)"""
     )
     has_hours = box.rlike(r"""(?i)\bclass=["'][^"']*hours-collection""")
-    rows = F.slice(F.split(box, rf"(?i)<div\b(?={_class('row')}>){_class('row-details')}>"), 2, 2147483647)
+    rows = behind_first(F.split(box, rf"(?i)<div\b(?={_class('row')}>){_class('row-details')}>"))
     entries = F.transform(
         rows,
         lambda r: F.struct(
             visible(first_match(r, rf"(?is){LABEL_BLOCK}(.*?)</div")).alias("day"),
-            visible(value_cell(r)).alias("hours"),
+            visible(first_match(r, rf"(?is)<div\b{_class('col-value')}>(.*?)</div")).alias("hours"),
         ),
     )
     entries = F.filter(entries, lambda e: e["day"].isNotNull() & e["hours"].isNotNull())
@@ -243,7 +254,7 @@ def place_name(html: Column) -> Column:
 def edit_rows(pages: DataFrame, key: str = "place_id") -> DataFrame:
     """``(key, pos, edit_ts, description)`` of every dated row of an edit list."""
     rows = F.split(F.col("html"), rf"(?i)<div\b{_class('audit-row')}>")
-    listed = pages.select(key, F.posexplode(F.slice(rows, 2, 2147483647)).alias("pos", "row"))
+    listed = readable(pages).select(key, F.posexplode(behind_first(rows)).alias("pos", "row"))
     cell = lambda label: visible(
         first_match(
             field_row(F.col("row"), label, block_labels=False), r"(?is)</div>\s*<div\b[^>]*>(.*)\z"
@@ -291,4 +302,4 @@ def corrections(html: Column, label: str = "Corrections") -> Column:
 
 def fields(pages: DataFrame, wanted: Mapping[str, Column], key: str = "place_id") -> DataFrame:
     """Several field expressions over one scan of the pages."""
-    return pages.select(key, *(c.alias(n) for n, c in wanted.items()))
+    return readable(pages).select(key, *(c.alias(n) for n, c in wanted.items()))

@@ -218,18 +218,19 @@ def _known_rows(report: DataFrame, plan: _Plan) -> DataFrame:
 
 def _found_counts(report: DataFrame, plan: _Plan) -> DataFrame:
     """Counts of the labels found in the data: one explode, one group-by, partial sums first."""
-    asked = [
-        F.transform(
+
+    def tagged(no: int, entry: int, replaces: bool, labels: Column) -> Column:
+        return F.transform(
             labels,
-            lambda x, no=no, entry=entry, rep=rep: F.struct(
+            lambda x: F.struct(
                 F.lit(no).alias("section_no"),
                 F.lit(entry).alias("entry_no"),
-                F.lit(rep).alias("replaces"),
+                F.lit(replaces).alias("replaces"),
                 x.alias("label"),
             ),
         )
-        for no, entry, rep, labels in plan.found
-    ]
+
+    asked = [tagged(*found) for found in plan.found]
     return (
         report.select(F.inline(F.flatten(F.array(*asked))))
         .groupBy("section_no", "entry_no", "replaces", "label")

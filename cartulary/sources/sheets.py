@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.functions.markup import behind_first
+
 SECTION_KINDS = ["Count", "Duplicate", "Average"]
 
 
@@ -36,7 +38,7 @@ def read_sectioned_report(spark: SparkSession, path: str) -> DataFrame:
         "section_no",
         head["c1"].alias("section"),
         kind.alias("kind"),
-        F.posexplode(F.slice("lines", 2, 2147483647)).alias("line_no", "line"),
+        F.posexplode(behind_first(F.col("lines"))).alias("line_no", "line"),
     )
     cells = _csv_cells(F.col("line"), 3)
     return rows.select(
