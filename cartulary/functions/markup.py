@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartulary.functions.text import squeeze, unescape_html
+
+TAG = "<[^>]*>"
 # Longer than any array; small enough that adding an offset does not overflow.
 ALL = 1_000_000_000
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def live_markup(html: Column, drop: tuple[str, ...] = ("script", "style")) -> Column:
     """Markup without comments and without the named elements and their content."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
@@ -20,3 +30,26 @@ def live_markup(html: Column, drop: tuple[str, ...] = ("script", "style")) -> Co
 def behind_first(parts: Column) -> Column:
     """All entries of an array but the first."""
     return F.slice(parts, 2, ALL)
+
+
+def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def first_match(text: Column, pattern: str, group: int = 1) -> Column:
+    """The group of the first match, null when nothing matches."""
+    return F.try_element_at(all_matches(text, pattern, group), F.lit(1))
+
+
+def first_of(items: Column) -> Column:
+    return F.try_element_at(items, F.lit(1))
+
+
+def decoded(text: Column) -> Column:
+    """Entities decoded; text without any is left alone."""
+    return let(text, lambda t: F.when(t.contains("&"), unescape_html(t)).otherwise(t))
+
+
+def visible(markup: Column) -> Column:
+    """Text of a piece of markup, blanks squeezed."""
+    return squeeze(decoded(F.regexp_replace(markup, TAG, " ")))

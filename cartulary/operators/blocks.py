@@ -83,12 +83,26 @@ def _numbered(pages: DataFrame) -> DataFrame:
         | (loose & (F.coalesce(F.lag("mode").over(by_pos), F.lit("loose")) != "loose"))
     )
     t = t.withColumn("block_no", F.sum(starts.cast("int")).over(by_pos))
-    in_block = Window.partitionBy(PAGE, "block_no").orderBy("pos")
     top = F.col("depth") == 1
-    item_state = F.when(top & (tag == "li"), True).when(top & (tag == "/li"), False)
-    return t.withColumn(
-        "item_no", F.sum((top & (tag == "li")).cast("int")).over(in_block)
-    ).withColumn("in_item", F.coalesce(F.last(item_state, ignorenulls=True).over(in_block), F.lit(False)))
+    item_state = (
+        F.when(top & (opens | (tag == "/li")), False).when(top & (tag == "li"), True)
+    )
+    return t.withColumn("item_no", F.sum((top & (tag == "li")).cast("int")).over(by_pos)).withColumn(
+        "in_item", F.coalesce(F.last(item_state, ignorenulls=True).over(by_pos), F.lit(False))
+    )
+
+
+BLOCK_FIELDS = ["sub", "type", "level", "ordered", "text", "items", "src", "alt"]
+_TYPES = {
+    "sub": "int", "type": "string", "level": "int", "ordered": "boolean", "text": "string",
+    "items": "array<string>", "src": "string", "alt": "string",
+}
+
+
+def _row(**fields: Column) -> Column:
+    return F.struct(
+        *(fields.get(n, F.lit(None)).cast(_TYPES[n]).alias(n) for n in BLOCK_FIELDS)
+    )
 
 
 def extract_blocks(pages: DataFrame) -> DataFrame:
@@ -99,22 +113,21 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
     """
     t = _numbered(pages)
     tag, mode = F.col("tag"), F.col("mode")
-    is_list = mode == "list"
-    joined = lambda sep: F.array_join(
-        F.transform(
-            F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))),
-            lambda x: x["text"],
-        ),
-        sep,
-    )
+    is_list, heading = mode == "list", mode.isin(HEADINGS)
+    text = F.when(F.col("text") != "", F.struct("pos", "text"))
+    shown_image = (tag == "img") & ~heading & (~is_list | F.col("in_item"))
+    image = F.when(shown_image, F.struct("pos", _attr("src").alias("src"), _attr("alt").alias("alt")))
     parts = (
         t.filter(~is_list | F.col("in_item") | tag.isin(LISTS))
         .groupBy(PAGE, "block_no", "item_no")
         .agg(
             F.min_by("mode", "pos").alias("mode"),
             F.min_by("tag", "pos").alias("tag"),
-            joined(CUT).alias("text"),
-            F.max(F.col("in_item")).alias("in_item"),
+            F.array_join(
+                F.transform(F.sort_array(F.collect_list(text)), lambda x: x["text"]), CUT
+            ).alias("text"),
+            F.max("in_item").alias("in_item"),
+            F.collect_list(image).alias("images"),
         )
     )
     blocks = parts.groupBy(PAGE, "block_no").agg(
@@ -125,40 +138,29 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
             F.sort_array(F.collect_list(F.when(F.col("in_item"), F.struct("item_no", "text")))),
             lambda x: F.replace(x["text"], F.lit(CUT), F.lit(" ")),
         ).alias("items"),
+        F.sort_array(F.flatten(F.collect_list("images"))).alias("images"),
     )
-    heading = mode.isin(HEADINGS)
-    text = F.replace(F.col("text"), F.lit(CUT), F.when(heading, "").otherwise(" "))
-    nothing = F.lit(None).cast("string")
-    shown = blocks.select(
-        PAGE,
-        "block_no",
-        F.lit(0).alias("sub"),
-        F.when(heading, "heading").when(is_list, "list").otherwise("paragraph").alias("type"),
-        F.when(heading, F.substring(mode, 2, 1).cast("int")).alias("level"),
-        F.when(is_list, tag == "ol").alias("ordered"),
-        F.when(~is_list, text).alias("text"),
-        F.when(is_list, F.col("items")).alias("items"),
-        nothing.alias("src"),
-        nothing.alias("alt"),
-    ).filter((F.col("type") != "paragraph") | (F.col("text") != ""))
-    images = t.filter(
-        (tag == "img") & ~heading & (~is_list | F.col("in_item"))
-    ).select(
-        PAGE,
-        "block_no",
-        F.when(mode == "loose", F.lit(-1)).otherwise(F.col("pos")).alias("sub"),
-        F.lit("image").alias("type"),
-        F.lit(None).cast("int").alias("level"),
-        F.lit(None).cast("boolean").alias("ordered"),
-        nothing.alias("text"),
-        F.lit(None).cast("array<string>").alias("items"),
-        _attr("src").alias("src"),
-        F.nullif(_attr("alt"), F.lit("")).alias("alt"),
+    joined = F.replace(F.col("text"), F.lit(CUT), F.when(heading, "").otherwise(" "))
+    block = _row(
+        sub=F.lit(0),
+        type=F.when(heading, "heading").when(is_list, "list").otherwise("paragraph"),
+        level=F.when(heading, F.substring(mode, 2, 1)),
+        ordered=F.when(is_list, tag == "ol"),
+        text=F.when(~is_list, joined),
+        items=F.when(is_list, F.col("items")),
     )
-    return shown.unionByName(images)
+    pictures = F.transform(
+        "images",
+        lambda i: _row(
+            sub=F.when(mode == "loose", F.lit(-1)).otherwise(i["pos"]),
+            type=F.lit("image"),
+            src=i["src"],
+            alt=F.nullif(i["alt"], F.lit("")),
+        ),
+    )
+    rows = blocks.select(PAGE, "block_no", F.inline(F.concat(F.array(block), pictures)))
+    return rows.filter((F.col("type") != "paragraph") | (F.col("text") != ""))
 
 
 def image_blocks(pages: DataFrame) -> DataFrame:
     return extract_blocks(pages).filter(F.col("type") == "image")
-
-

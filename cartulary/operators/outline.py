@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartulary.functions.markup import let
 from cartulary.functions.text import strip_edges
 from cartulary.operators.blocks import PAGE
 
@@ -43,50 +44,63 @@ def deck_titles(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(PAGE).agg(F.coalesce(title, F.lit(DEFAULT_TITLE)).alias("title"))
 
 
+TITLE_SECTION = -1
+
+
 def assign_sections(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``section_no``; the page title's own block is left out.
+    """Blocks with ``section_no``.
 
-    Any other heading opens a section, and what stands before the first one is section 0.
+    The page title is section -1 on its own. Any other heading opens a section, and what stands
+    before the first one is section 0.
     """
     page = Window.partitionBy(PAGE)
     title_no = F.min(F.when(_is_title(), F.col("block_no"))).over(page)
-    opens = (F.col("type") == "heading").cast("int")
-    order = page.orderBy("block_no", "sub")
+    is_title = F.coalesce(
+        (F.col("type") == "heading") & (F.col("block_no") == F.col("_title")), F.lit(False)
+    )
+    opens = ((F.col("type") == "heading") & ~is_title).cast("int")
     return (
         blocks.withColumn("_title", title_no)
-        .filter(
-            (F.col("type") != "heading")
-            | F.col("_title").isNull()
-            | (F.col("block_no") != F.col("_title"))
+        .withColumn("_opened", F.sum(opens).over(page.orderBy("block_no", "sub")))
+        .withColumn(
+            "section_no", F.when(is_title, F.lit(TITLE_SECTION)).otherwise(F.col("_opened")).cast("bigint")
         )
-        .withColumn("section_no", F.sum(opens).over(order))
-        .drop("_title")
+        .drop("_title", "_opened")
     )
 
 
-def pseudo_lines(sections: DataFrame) -> DataFrame:
-    """``(page_id, section_no, block_no, sub, line_no, source, line)``, blank lines dropped.
+def section_lines(sections: DataFrame) -> DataFrame:
+    """``(page_id, section_no, block_no, sub, line_no, source, line, alt)`` in reading order.
 
     List items stay whole. A paragraph is cut at line ends, bullets, semicolons and bars, unless
-    it is the sample size.
+    it is the sample size. Headings and images are one line each. Blank lines are dropped, but a
+    heading stays.
     """
-    text = strip_edges(F.col("text"))
+    kind = F.col("type")
+    text = F.coalesce(strip_edges(F.col("text")), F.lit(""))
     para = F.when(text.rlike(TOTAL_SAMPLE), F.array(text)).otherwise(F.split(text, LINE_BREAKS))
-    lines = F.when(F.col("type") == "list", F.col("items")).otherwise(para)
+    lines = (
+        F.when(kind == "list", F.col("items"))
+        .when(kind == "paragraph", para)
+        .when(kind == "image", F.array("src"))
+        .otherwise(F.array(text))
+    )
+    source = F.when(kind == "list", "item").otherwise(kind)
     return (
-        sections.filter(F.col("type").isin("list", "paragraph"))
-        .select(
-            *KEYS,
-            "block_no",
-            "sub",
-            F.when(F.col("type") == "list", "item").otherwise("paragraph").alias("source"),
+        sections.select(
+            *KEYS, "block_no", "sub", source.alias("source"), "alt",
             F.posexplode(lines).alias("line_no", "line"),
         )
         .withColumn("line", strip_edges(F.col("line")))
-        .filter(F.col("line") != "")
+        .filter((F.col("line") != "") | (F.col("source") == "heading"))
     )
 
 
+def pseudo_lines(sections: DataFrame) -> DataFrame:
+    """Text lines only: those of paragraphs and lists."""
+    return section_lines(sections).filter(F.col("source").isin("item", "paragraph")).drop("alt")
+
+
 def _group(line: Column, patterns: list[str], group: int) -> Column:
     first, second = patterns
     return F.when(line.rlike(first), F.regexp_extract(line, first, group)).when(
@@ -95,9 +109,11 @@ def _group(line: Column, patterns: list[str], group: int) -> Column:
 
 
 def line_class(line: Column, source: Column) -> Column:
-    """total, chart, split, number, pair, label or text: the first test that fits."""
+    """heading and image by source, else total, chart, split, number, pair, label or text:
+    the first test that fits."""
     return (
-        F.when((source == "paragraph") & line.rlike(TOTAL_SAMPLE), "total")
+        F.when(source.isin("heading", "image"), source)
+        .when((source == "paragraph") & line.rlike(TOTAL_SAMPLE), "total")
         .when(line.rlike(CHART_CHOICE), "chart")
         .when(line.rlike(SPLIT_FLAG), "split")
         .when(line.rlike(NUMERIC[0]) | line.rlike(NUMERIC[1]), "number")
@@ -138,14 +154,14 @@ def classified_lines(sections: DataFrame) -> DataFrame:
     above = (
         Window.partitionBy(*KEYS).orderBy(*LINE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     )
-    t = pseudo_lines(sections).withColumn("class", line_class(line, F.col("source")))
+    t = section_lines(sections).withColumn("class", line_class(line, F.col("source")))
     label = F.last(F.when(kind == "label", line), ignorenulls=True).over(above)
     choice = F.lower(F.concat(*(F.regexp_extract(line, CHART_CHOICE, g) for g in (1, 2, 3))))
     value = F.when(kind == "number", number_value(line))
     name = F.when(kind == "number", number_label(line)).when(kind == "pair", pair_key(line))
     shown = F.when(kind == "number", number_text(value)).when(kind == "pair", pair_value(line))
     t = t.select(
-        *KEYS, *LINE_ORDER, "source", "line", "class",
+        *KEYS, *LINE_ORDER, "source", "line", "alt", "class",
         name.alias("label"),
         value.alias("value"),
         F.concat(name, F.lit(": "), shown).alias("bullet"),
@@ -162,123 +178,110 @@ def classified_lines(sections: DataFrame) -> DataFrame:
 def _carry_split(lines: DataFrame) -> DataFrame:
     """A split flag ahead of any content holds for the first section that is shown."""
     page = Window.partitionBy(PAGE)
-    content = (F.col("section_no") == 0) & F.col("class").isin("total", "number", "pair", "text")
+    content = (F.col("section_no") == 0) & F.col("class").isin(
+        "total", "number", "pair", "text", "image"
+    )
     empty_lead = ~F.coalesce(F.max(content).over(page), F.lit(False))
     moved = (F.col("class") == "split") & (F.col("section_no") == 0) & empty_lead
     return lines.withColumn("section_no", F.when(moved, F.lit(1).cast("bigint")).otherwise(F.col("section_no")))
 
 
-def section_charts(lines: DataFrame) -> DataFrame:
-    """Numeric points with the chart they belong to.
-
-    ``(page_id, section_no, chart_no, chart_group, chart_type, pos, label, value, share)``:
-    one chart per group when asked for or when there are several groups, else one for all.
-    """
-    section = Window.partitionBy(*KEYS)
-    order = F.struct(*LINE_ORDER)
-    choice = F.max_by("chart", F.when(F.col("chart").isNotNull(), order)).over(section)
-    asked = F.max(F.col("class") == "split").over(section)
-    numbers = lines.withColumn("_choice", choice).withColumn("_split", asked).filter(
-        F.col("class") == "number"
-    )
-    first_group = F.min("group_name").over(section) != F.max("group_name").over(section)
-    numbers = numbers.withColumn("_split", F.col("_split") | first_group)
-    numbers = numbers.withColumn(
-        "chart_group", F.when(F.col("_split"), F.col("group_name")).otherwise("all")
-    )
-    chart = Window.partitionBy(*KEYS, "chart_group")
-    n = F.count(F.lit(1)).over(chart)
-    total = F.sum("value").over(chart)
-    auto = F.when(n.between(2, 6), "pie").otherwise("bar")
-    # Charts are numbered by their first point.
-    numbers = (
-        numbers.withColumn("_first", F.min(order).over(chart))
-        .withColumn("chart_type", F.coalesce("_choice", auto))
-        .withColumn("share", F.when(total > 0, F.col("value") / total))
-    )
-    ranked = numbers.withColumn(
-        "chart_no", F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("_first"))
-    )
-    return ranked.select(
-        *KEYS, "chart_no", "chart_group", "chart_type", "group_name", *LINE_ORDER, "label", "value", "share"
-    )
+def _ordered(value: Column, when: Column) -> Column:
+    """Values in line order, as an array."""
+    picked = F.collect_list(F.when(when, F.struct(*LINE_ORDER, value.alias("v"))))
+    return F.transform(F.sort_array(picked), lambda x: x["v"])
 
 
-def section_images(sections: DataFrame) -> DataFrame:
-    """Images of each section in order, empty sources skipped, and the one kept separately.
+def _charts(points: Column, choice: Column, asked: Column) -> Column:
+    """Points of a section as charts.
 
-    The separate image is the last one met.
+    One chart per group when asked for or when there are several groups, else one for all. The
+    share of a point is null when its chart sums to nothing.
     """
-    src = strip_edges(F.col("src"))
-    kept = F.when(
-        (F.col("type") == "image") & (src != ""),
-        F.struct("block_no", "sub", src.alias("path"), F.col("alt").alias("alt")),
-    )
-    images = F.transform(
-        F.sort_array(F.collect_list(kept)), lambda x: F.struct(x["path"], x["alt"])
-    )
-    return (
-        sections.groupBy(*KEYS)
-        .agg(images.alias("images"))
-        .filter(F.size("images") > 0)
-        .withColumn("image", F.element_at("images", -1))
-    )
 
+    def chart(name: Column, number: Column, members: Column) -> Column:
+        total = F.reduce(members, F.lit(0.0), lambda sum_, p: sum_ + p["value"])
+        auto = F.when(F.size(members).between(2, 6), "pie").otherwise("bar")
+        data = let(
+            total,
+            lambda t: F.transform(
+                members,
+                lambda p: F.struct(
+                    p["label"].alias("label"),
+                    p["value"].alias("value"),
+                    F.when(t > 0, p["value"] / t).alias("share"),
+                ),
+            ),
+        )
+        return F.struct(
+            (number + 1).alias("chart_no"),
+            name.alias("chart_group"),
+            F.coalesce(choice, auto).alias("chart_type"),
+            data.alias("data"),
+        )
 
-def _ordered(value: Column, when: Column) -> Column:
-    """Values in line order, as an array."""
-    picked = F.collect_list(F.when(when, F.struct(*LINE_ORDER, value.alias("v"))))
-    return F.transform(F.sort_array(picked), lambda x: x["v"])
+    def all_charts(groups: Column) -> Column:
+        apart = asked | (F.size(groups) > 1)
+        names = F.when(apart, groups).when(F.size(groups) > 0, F.array(F.lit("all"))).otherwise(groups)
+        return F.transform(
+            names,
+            lambda name, i: let(
+                F.filter(points, lambda p: ~apart | (p["group_name"] == name)),
+                lambda members: chart(name, i, members),
+            ),
+        )
 
+    return let(F.array_distinct(F.transform(points, lambda p: p["group_name"])), all_charts)
 
-def section_plan(blocks: DataFrame) -> DataFrame:
-    """One nested row per slide: title row first, then every section that holds something."""
-    sections = assign_sections(blocks)
-    lines = classified_lines(sections)
-    kind = F.col("class")
-    texts = lines.groupBy(*KEYS).agg(
-        F.max_by("subtitle", F.when(kind == "total", F.struct(*LINE_ORDER))).alias("subtitle"),
+
+def gathered_sections(lines: DataFrame) -> DataFrame:
+    """One row per section with everything its lines hold, in line order: one group-by."""
+    kind, order = F.col("class"), F.struct(*LINE_ORDER)
+    point = F.struct("label", "value", "group_name")
+    image = F.struct(F.col("line").alias("path"), F.col("alt").alias("alt"))
+    gathered = lines.groupBy(*KEYS).agg(
+        F.min_by("line", F.when(kind == "heading", order)).alias("title"),
+        F.max_by("subtitle", F.when(kind == "total", order)).alias("subtitle"),
         _ordered(F.col("bullet"), kind.isin("number", "pair")).alias("bullets"),
         _ordered(F.col("line"), kind == "text").alias("paragraphs"),
+        _ordered(point, kind == "number").alias("points"),
+        F.max_by("chart", F.when(kind == "chart", order)).alias("choice"),
+        F.max(kind == "split").alias("asked"),
+        _ordered(image, kind == "image").alias("images"),
     )
-    point = F.struct(*LINE_ORDER, "label", "value")
-    charts = (
-        section_charts(lines)
-        .groupBy(*KEYS, "chart_no", "chart_type")
-        .agg(
-            F.transform(
-                F.sort_array(F.collect_list(point)), lambda x: F.struct(x["label"], x["value"])
-            ).alias("data")
-        )
-        .groupBy(*KEYS)
-        .agg(F.sort_array(F.collect_list(F.struct("chart_no", "chart_type", "data"))).alias("charts"))
-    )
-    titles = sections.groupBy(*KEYS).agg(
-        F.min_by("text", F.when(F.col("type") == "heading", F.col("block_no"))).alias("title")
-    )
-    content = (
-        titles.join(texts, KEYS, "left")
-        .join(charts, KEYS, "left")
-        .join(section_images(sections), KEYS, "left")
-        .withColumn("bullets", F.coalesce("bullets", F.array().cast("array<string>")))
-        .withColumn("paragraphs", F.coalesce("paragraphs", F.array().cast("array<string>")))
+    charts = _charts(F.col("points"), F.col("choice"), F.col("asked"))
+    return gathered.withColumn("charts", charts).drop("points", "choice", "asked")
+
+
+def section_charts(lines: DataFrame) -> DataFrame:
+    """``(page_id, section_no, chart_no, chart_group, chart_type, label, value, share)``"""
+    charts = gathered_sections(lines).select(*KEYS, F.inline("charts"))
+    return charts.select(
+        *KEYS, "chart_no", "chart_group", "chart_type", F.inline("data")
     )
+
+
+def section_images(lines: DataFrame) -> DataFrame:
+    """Images of each section in order and the one kept separately, the last one met."""
+    found = gathered_sections(lines).filter(F.size("images") > 0)
+    return found.select(*KEYS, "images", F.element_at("images", -1).alias("image"))
+
+
+def section_plan(blocks: DataFrame) -> DataFrame:
+    """One nested row per slide: the page title, then every section that holds something."""
+    found = gathered_sections(classified_lines(assign_sections(blocks)))
     shown = (
         (F.coalesce("title", F.lit("")) != "")
         | F.col("subtitle").isNotNull()
         | (F.size("bullets") > 0)
         | (F.size("paragraphs") > 0)
-        | F.col("images").isNotNull()
-    )
-    slides = content.filter(shown).select(
-        PAGE, F.col("section_no").cast("bigint").alias("section_no"),
-        F.lit("content").alias("layout"), "title", "subtitle", "bullets",
-        "paragraphs", "charts", "image", "images",
+        | (F.size("images") > 0)
     )
-    heads = (
-        blocks.groupBy(PAGE)
-        .agg(F.min_by("text", F.when(_is_title(), F.col("block_no"))).alias("title"))
-        .filter(F.col("title").isNotNull())
-        .select(PAGE, F.lit(-1).cast("bigint").alias("section_no"), F.lit("title").alias("layout"), "title")
+    is_title = F.col("section_no") == TITLE_SECTION
+    return found.filter(is_title | shown).select(
+        *KEYS,
+        F.when(is_title, "title").otherwise("content").alias("layout"),
+        "title", "subtitle", "bullets", "paragraphs", "charts",
+        F.try_element_at("images", F.lit(-1)).alias("image"),
+        "images",
     )
-    return slides.unionByName(heads, allowMissingColumns=True)

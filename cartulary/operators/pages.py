@@ -1,28 +1,35 @@
 """Fields out of stored web pages.
 
-A page is text, not a tree. A field row runs from its label to the next label, its value cell
-from the first value container of that row to the row's end, and tags inside are dropped. All of
-it happens inside the row that holds the page, so a field job has no shuffle.
+A page is text, not a tree. It is cut once at its labels, inside the row that holds it; a field
+runs from its label to the next one and its value from the first value container on. Every field
+is then a lookup in that array, so a field job reads a page once and has no shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.functions.markup import behind_first, live_markup
-from cartulary.functions.text import distinct_in_order, squeeze, strip_edges, unescape_html
+from cartulary.functions.markup import (
+    TAG,
+    all_matches,
+    behind_first,
+    decoded,
+    first_match,
+    first_of,
+    let,
+    live_markup,
+    visible,
+)
+from cartulary.functions.text import distinct_in_order, strip_edges
 from cartulary.functions.times import parse_edit_ts
 from cartulary.functions.urls import external_urls
 from cartulary.operators.recipes import fixed_output
 
-TAG = "<[^>]*>"
 LABEL_BLOCK = r"""<div\b[^>]*\bclass=["'][^"']*\bcol-label__label\b[^"']*["'][^>]*>"""
 TITLE_LABEL = r"""<div\b[^>]*\btitle=["']"""
-ANY_LABEL = rf"""{TITLE_LABEL}|{LABEL_BLOCK}"""
 # Tags that end a line of visible text.
 LINE_TAGS = "br|p|div|li|ul|ol|pre|tr|table|h[1-6]"
 
@@ -32,62 +39,83 @@ def _class(name: str) -> str:
     return rf"""[^>]*\bclass=["'](?:[^"']*\s)?{re.escape(name)}(?:\s[^"']*)?["'][^>]*"""
 
 
-def readable(pages: DataFrame) -> DataFrame:
-    """Pages without comments, scripts and styles; the field expressions expect such markup."""
-    return pages.withColumn("html", live_markup(F.col("html")))
+# ---------------------------------------------------------------- the page cut at its labels
 
 
-def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null when nothing matches."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+def value_cell(markup: Column) -> Column:
+    """Markup from the first value container on, null without one."""
+    return first_match(markup, rf"(?is)<div\b{_class('col-value')}>(.*)\z")
 
 
-def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def label_cells(html: Column) -> Column:
+    """``array<struct<label, titled, cell>>``: labels that have a value container.
 
+    A label is a ``div`` with a title or a label block with a text.
+    """
+    pieces = F.split(html, rf"(?i)(?={TITLE_LABEL}|{LABEL_BLOCK})")
+    title = lambda p: first_match(p, rf"""(?is)\A{TITLE_LABEL}([^"']*)""")
+    block = lambda p: visible(first_match(p, rf"(?is)\A{LABEL_BLOCK}(.*?)</div"))
+
+    def entry(p: Column) -> Column:
+        return let(
+            title(p),
+            lambda t: F.struct(
+                F.coalesce(t, block(p)).alias("label"),
+                t.isNotNull().alias("titled"),
+                value_cell(p).alias("cell"),
+            ),
+        )
 
-def visible(markup: Column) -> Column:
-    """Text of a piece of markup, blanks squeezed."""
-    return squeeze(unescape_html(F.regexp_replace(markup, TAG, " ")))
+    return F.filter(F.transform(pieces, entry), lambda e: e["label"].isNotNull() & e["cell"].isNotNull())
 
 
-def visible_lines(markup: Column) -> Column:
-    """Non-blank lines of visible text."""
-    broken = F.regexp_replace(markup, rf"(?i)</?(?:{LINE_TAGS})\b[^>]*>", "\n")
-    text = unescape_html(F.regexp_replace(broken, TAG, ""))
-    return F.filter(F.transform(F.split(text, r"[\r\n]+"), strip_edges), lambda x: x != "")
+def titled_rows(html: Column) -> Column:
+    """``array<struct<label, markup>>``: every titled ``div`` and the markup up to the next one.
 
+    Label blocks do not cut here, so they may stand inside a value.
+    """
+    pieces = F.split(html, rf"(?i)(?={TITLE_LABEL})")
+    rows = F.transform(
+        pieces,
+        lambda p: F.struct(
+            first_match(p, rf"""(?is)\A{TITLE_LABEL}([^"']*)""").alias("label"), p.alias("markup")
+        ),
+    )
+    return F.filter(rows, lambda r: r["label"].isNotNull())
 
-def field_row(html: Column, label: str, block_labels: bool = True) -> Column:
-    """Markup from behind a field's label to the next label, null when the label is absent.
 
-    A label is a ``div`` with that title, else a label block with that text. Without
-    ``block_labels`` only titles count, so label blocks may stand inside the value.
+def readable(pages: DataFrame) -> DataFrame:
+    """Pages without comments, scripts and styles, with their ``cells`` and ``rows`` cut out.
+
+    What a job does not use is pruned.
     """
-    name = re.escape(label)
-    stop = rf"(?={ANY_LABEL if block_labels else TITLE_LABEL}|\z)"
-    inner = rf"{LABEL_BLOCK}\s*{name}\s*</div>"
-    titled = first_match(
-        html, rf"""(?is)<div\b[^>]*\btitle=["']{name}["'][^>]*>(?:\s*{inner})?(.*?){stop}"""
+    live = pages.withColumn("html", live_markup(F.col("html")))
+    return live.withColumn("cells", label_cells(F.col("html"))).withColumn(
+        "rows", titled_rows(F.col("html"))
     )
-    if not block_labels:
-        return titled
-    block = first_match(html, rf"(?is){inner}(.*?){stop}")
-    return F.coalesce(F.when(value_cell(titled).isNotNull(), titled), block)
 
 
-def value_cell(row: Column) -> Column:
-    """Markup of the value container of a field row."""
-    return first_match(row, rf"(?is)<div\b{_class('col-value')}>(.*)\z")
+def cell_of(cells: Column, label: str) -> Column:
+    """Value markup of a label; a titled label goes before a label block."""
+    return let(
+        F.filter(cells, lambda c: c["label"] == label),
+        lambda found: F.coalesce(
+            first_of(F.filter(found, lambda c: c["titled"])), first_of(found)
+        )["cell"],
+    )
 
 
-def label_value(html: Column, label: str) -> Column:
-    """Text of the value beside a label, null when the label is absent."""
-    return visible(value_cell(field_row(html, label)))
+def row_of(rows: Column, label: str) -> Column:
+    """Markup of a titled row."""
+    return first_of(F.filter(rows, lambda r: r["label"] == label))["markup"]
 
 
-def status_value(html: Column, label: str = "Show In Client") -> Column:
-    return F.coalesce(label_value(html, label), F.lit(""))
+def next_block(row: Column) -> Column:
+    """Markup of the ``div`` that follows the label of a row."""
+    return first_match(row, r"(?is)</div>\s*<div\b[^>]*>(.*)\z")
+
+
+# ---------------------------------------------------------------- fields
 
 
 def _texts(markup: Column, tag: str) -> Column:
@@ -95,40 +123,48 @@ def _texts(markup: Column, tag: str) -> Column:
     return F.filter(F.transform(inner, visible), lambda x: x != "")
 
 
-def categories(html: Column, label: str = "Modern Category") -> Column:
+def label_value(cells: Column, label: str) -> Column:
+    """Text of the value beside a label, null when the label is absent."""
+    return visible(cell_of(cells, label))
+
+
+def status_value(cells: Column, label: str = "Show In Client") -> Column:
+    return F.coalesce(label_value(cells, label), F.lit(""))
+
+
+def categories(cells: Column, label: str = "Modern Category") -> Column:
     """Span texts of a field, else its link texts, distinct in order."""
-    cell = value_cell(field_row(html, label))
-    spans, links = _texts(cell, "span"), _texts(cell, "a")
-    return F.coalesce(
-        distinct_in_order(F.when(F.size(spans) > 0, spans).otherwise(links)), F.lit("")
+    found = let(
+        cell_of(cells, label),
+        lambda cell: let(
+            _texts(cell, "span"), lambda spans: F.when(F.size(spans) > 0, spans).otherwise(_texts(cell, "a"))
+        ),
     )
+    return F.coalesce(distinct_in_order(found), F.lit(""))
 
 
-def urls(html: Column, excluded_domain: str, label: str = "URL") -> Column:
+def urls(cells: Column, excluded_domain: str, label: str = "URL") -> Column:
     """External link targets of a field, distinct in order."""
-    cell = value_cell(field_row(html, label))
-    hrefs = all_matches(cell, r"""(?i)<a\b[^>]*\bhref=["']([^"']+)["']""")
-    hrefs = F.transform(hrefs, unescape_html)
-    return F.coalesce(F.array_join(external_urls(hrefs, excluded_domain), ", "), F.lit(""))
+    hrefs = all_matches(cell_of(cells, label), r"""(?i)<a\b[^>]*\bhref=["']([^"']+)["']""")
+    links = external_urls(F.transform(hrefs, decoded), excluded_domain)
+    return F.coalesce(F.array_join(links, ", "), F.lit(""))
 
 
-def table_column(html: Column, label: str, table_class: str, column: int = 2) -> Column:
+def table_column(html: Column, cells: Column, label: str, table_class: str, column: int = 2) -> Column:
     """One cell of each table row of a field, distinct in order.
 
     Without the label, any table of the given class on the page is taken.
     """
-    cell = value_cell(field_row(html, label))
     tables = all_matches(html, rf"(?is)<table\b{_class(table_class)}>(.*?)</table\s*>")
-    markup = F.coalesce(cell, F.array_join(tables, " "))
-    rows = F.split(markup, r"(?i)<tr\b")
-    cells = F.transform(
-        rows,
+    markup = F.coalesce(cell_of(cells, label), F.array_join(tables, " "))
+    found = F.transform(
+        F.split(markup, r"(?i)<tr\b"),
         lambda r: visible(
             F.try_element_at(all_matches(r, r"(?is)<td\b[^>]*>(.*?)</td\s*>"), F.lit(column))
         ),
     )
     return F.coalesce(
-        distinct_in_order(F.filter(cells, lambda x: x.isNotNull() & (x != ""))), F.lit("")
+        distinct_in_order(F.filter(found, lambda x: x.isNotNull() & (x != ""))), F.lit("")
     )
 
 
@@ -138,14 +174,17 @@ PROFILE_COLUMNS = ["status", "vendors", "categories", "urls"]
 def profile(
     ids: DataFrame, pages: DataFrame, excluded_domain: str, key: str = "place_id"
 ) -> DataFrame:
-    """One row per asked id with all profile fields; blanks where there is no page."""
-    html = F.col("html")
-    found = readable(pages).select(
+    """One row per asked id with all profile fields; blanks where there is no page.
+
+    ``pages`` comes from `readable`.
+    """
+    html, cells = F.col("html"), F.col("cells")
+    found = pages.select(
         key,
-        status_value(html).alias("status"),
-        table_column(html, "Vendor Contributions", "vendor-contributions-table").alias("vendors"),
-        categories(html).alias("categories"),
-        urls(html, excluded_domain).alias("urls"),
+        status_value(cells).alias("status"),
+        table_column(html, cells, "Vendor Contributions", "vendor-contributions-table").alias("vendors"),
+        categories(cells).alias("categories"),
+        urls(cells, excluded_domain).alias("urls"),
     )
     return fixed_output(ids, found, key, PROFILE_COLUMNS)
 
@@ -154,35 +193,33 @@ BADGE = rf"(?is)<\w+\b({_class('audit-badge')})>(.*?)</"
 PLAIN_BADGE = r"""(?is)<span\b([^>]*\bclass=["'][^"']*badge[^"']*["'][^>]*)>(.*?)</"""
 
 
-def badge(html: Column, label: str) -> Column:
+def badge(rows: Column, label: str) -> Column:
     """Badge text of a field, ``""`` without one."""
-    row = field_row(html, label, block_labels=False)
-    text = F.coalesce(first_match(row, BADGE, 2), first_match(row, PLAIN_BADGE, 2))
+    text = let(
+        row_of(rows, label),
+        lambda row: F.coalesce(first_match(row, BADGE, 2), first_match(row, PLAIN_BADGE, 2)),
+    )
     return F.coalesce(visible(text), F.lit(""))
 
 
-def badge_hover(html: Column, label: str) -> Column:
+def badge_hover(rows: Column, label: str) -> Column:
     """Hover title of a field's badge, ``""`` without one."""
-    attrs = first_match(field_row(html, label, block_labels=False), BADGE, 1)
+    attrs = first_match(row_of(rows, label), BADGE, 1)
     title = first_match(attrs, r"""(?i)\btitle=["']([^"']*)["']""")
-    return F.coalesce(strip_edges(unescape_html(title)), F.lit(""))
+    return F.coalesce(strip_edges(decoded(title)), F.lit(""))
 
 
-def category_badges(html: Column, label: str = "Modern Category") -> Column:
+def category_badges(rows: Column, label: str = "Modern Category") -> Column:
     """``array<struct<name, badge>>`` of a field's rows; rows that lack either are skipped."""
-    row = field_row(html, label, block_labels=False)
-    parts = F.split(row, rf"(?i)<div\b(?={_class('audit-row')}>)(?={_class('row-details')}>)")
+    parts = F.split(
+        row_of(rows, label), rf"(?i)<div\b(?={_class('audit-row')}>)(?={_class('row-details')}>)"
+    )
+    name = rf"(?is)<\w+\b{_class('category-display')}>(.*?)</"
+    mark = rf"(?is)<\w+\b(?={_class('badge')}>){_class('audit-badge')}>(.*?)</"
     pairs = F.transform(
         behind_first(parts),
         lambda p: F.struct(
-            visible(first_match(p, rf"(?is)<\w+\b{_class('category-display')}>(.*?)</")).alias(
-                "name"
-            ),
-            visible(
-                first_match(
-                    p, rf"(?is)<\w+\b(?={_class('badge')}>){_class('audit-badge')}>(.*?)</"
-                )
-            ).alias("badge"),
+            visible(first_match(p, name)).alias("name"), visible(first_match(p, mark)).alias("badge")
         ),
     )
     return F.filter(pairs, lambda x: x["name"].isNotNull() & x["badge"].isNotNull())
@@ -191,80 +228,87 @@ def category_badges(html: Column, label: str = "Modern Category") -> Column:
 PLACEHOLDER = "__placeholder__"
 
 
+def _day_hours(box: Column) -> Column:
+    """Map of the day rows inside the hours box; the last row of a day wins."""
+    rows = behind_first(F.split(box, rf"(?i)<div\b(?={_class('row')}>){_class('row-details')}>"))
+    entries = F.filter(
+        F.transform(
+            rows,
+            lambda r: F.struct(
+                visible(first_match(r, rf"(?is){LABEL_BLOCK}(.*?)</div")).alias("day"),
+                visible(first_match(r, rf"(?is)<div\b{_class('col-value')}>(.*?)</div")).alias("hours"),
+            ),
+        ),
+        lambda e: e["day"].isNotNull() & e["hours"].isNotNull(),
+    )
+
+    def as_map(found: Column) -> Column:
+        days = F.array_distinct(F.transform(found, lambda e: e["day"]))
+        last = lambda d: F.element_at(F.filter(found, lambda e: e["day"] == d), -1)["hours"]
+        return F.map_from_arrays(days, F.transform(days, last))
+
+    return let(entries, as_map)
+
+
 def hours_map(html: Column) -> Column:
     """Day to hours text; a single placeholder entry when no hours are kept; empty without the field."""
     box = first_match(
-        html, r"""(?is)\bdata-test-id=["']hours["'][^>]*>(.*?)(?=<div\b[^>]*\btitle=["']|\z)"""
+        html, rf"""(?is)\bdata-test-id=["']hours["'][^>]*>(.*?)(?={TITLE_LABEL}|\z)"""
     )
-    has_hours = box.rlike(r"""(?i)\bclass=["'][^"']*hours-collection""")
-    rows = behind_first(F.split(box, rf"(?i)<div\b(?={_class('row')}>){_class('row-details')}>"))
-    entries = F.transform(
-        rows,
-        lambda r: F.struct(
-            visible(first_match(r, rf"(?is){LABEL_BLOCK}(.*?)</div")).alias("day"),
-            visible(first_match(r, rf"(?is)<div\b{_class('col-value')}>(.*?)</div")).alias("hours"),
+    placeholder = rf"(?is)<\w+\b{_class('text-placeholder')}>(.*?)</"
+    return let(
+        box,
+        lambda b: F.when(b.isNull(), F.create_map().cast("map<string,string>"))
+        .when(b.rlike(r"""(?i)\bclass=["'][^"']*hours-collection"""), _day_hours(b))
+        .otherwise(
+            F.create_map(
+                F.lit(PLACEHOLDER), F.coalesce(visible(first_match(b, placeholder)), F.lit(""))
+            )
         ),
     )
-    entries = F.filter(entries, lambda e: e["day"].isNotNull() & e["hours"].isNotNull())
-    placeholder = F.coalesce(
-        visible(first_match(box, rf"(?is)<\w+\b{_class('text-placeholder')}>(.*?)</")), F.lit("")
-    )
-    # The last row of a day wins, as in a plain dictionary.
-    days = F.array_distinct(F.transform(entries, lambda e: e["day"]))
-    last = lambda d: F.element_at(F.filter(entries, lambda e: e["day"] == d), -1)["hours"]
-    real = F.map_from_arrays(days, F.transform(days, last))
-    return (
-        F.when(box.isNull(), F.create_map().cast("map<string,string>"))
-        .when(has_hours, real)
-        .otherwise(F.create_map(F.lit(PLACEHOLDER), placeholder))
-    )
 
 
 # Markers that carry the place title.
 TITLE_MARKERS = ["place-header__title", "place__title", "place-title"]
 
 
-def place_name(html: Column) -> Column:
-    """Name row, else a title marker, else a heading of the header, else any first-level heading."""
+def place_name(html: Column, rows: Column) -> Column:
+    """Name row, else a title marker, else a heading of the header, else any first-level heading.
+
+    Each of them is looked for only when those before it gave nothing.
+    """
     shown = lambda c: F.nullif(visible(c), F.lit(""))
-    row = field_row(html, "Name", block_labels=False)
-    spans = F.try_element_at(_texts(row, "span"), F.lit(1))
-    # Without a value container the first block after the label is the value.
-    behind = first_match(row, r"(?is)</div>\s*<div\b[^>]*>(.*)\z")
+    heading = lambda c, tag: first_of(_texts(c, tag))
+    in_row = let(
+        row_of(rows, "Name"),
+        lambda row: F.coalesce(first_of(_texts(row, "span")), shown(next_block(row))),
+    )
     marker = [
         shown(first_match(html, rf"""(?is)\bdata-test-id=["']{m}["'][^>]*>(.*?)</"""))
         for m in TITLE_MARKERS
     ]
     header = first_match(html, r"(?is)<header\b[^>]*>(.*?)</header\s*>")
-    banner = first_match(html, r"""(?is)<div\b[^>]*\bclass=["'][^"']*place-header[^"']*["'][^>]*>(.*)\z""")
-    heading = lambda c, tag: F.try_element_at(_texts(c, tag), F.lit(1))
+    banner = first_match(
+        html, r"""(?is)<div\b[^>]*\bclass=["'][^"']*place-header[^"']*["'][^>]*>(.*)\z"""
+    )
+    titles = lambda c: F.coalesce(heading(c, "h1"), heading(c, "h2"))
     return F.coalesce(
-        spans,
-        shown(behind),
-        *marker,
-        heading(header, "h1"),
-        heading(header, "h2"),
-        heading(banner, "h1"),
-        heading(banner, "h2"),
-        heading(html, "h1"),
-        F.lit(""),
+        in_row, *marker, let(header, titles), let(banner, titles), heading(html, "h1"), F.lit("")
     )
 
 
 def edit_rows(pages: DataFrame, key: str = "place_id") -> DataFrame:
     """``(key, pos, edit_ts, description)`` of every dated row of an edit list."""
-    rows = F.split(F.col("html"), rf"(?i)<div\b{_class('audit-row')}>")
-    listed = readable(pages).select(key, F.posexplode(behind_first(rows)).alias("pos", "row"))
-    cell = lambda label: visible(
-        first_match(
-            field_row(F.col("row"), label, block_labels=False), r"(?is)</div>\s*<div\b[^>]*>(.*)\z"
-        )
+    html = live_markup(F.col("html"))
+    rows = behind_first(F.split(html, rf"(?i)<div\b{_class('audit-row')}>"))
+    listed = pages.select(key, F.posexplode(rows).alias("pos", "row")).withColumn(
+        "rows", titled_rows(F.col("row"))
     )
-    return (
-        listed.select(
-            key, "pos", parse_edit_ts(cell("Date")).alias("edit_ts"), cell("Description").alias("description")
-        )
-        .filter(F.col("edit_ts").isNotNull() & F.col("description").isNotNull())
+    cell = lambda label: visible(next_block(row_of(F.col("rows"), label)))
+    return listed.select(
+        key, "pos", cell("Date").alias("date"), cell("Description").alias("description")
+    ).select(key, "pos", parse_edit_ts(F.col("date")).alias("edit_ts"), "description").filter(
+        F.col("edit_ts").isNotNull() & F.col("description").isNotNull()
     )
 
 
@@ -276,30 +320,34 @@ def minify_json(text: Column) -> Column:
     return F.regexp_replace(text, JSON_BLANKS, "$1")
 
 
-def corrections(html: Column, label: str = "Corrections") -> Column:
+def visible_lines(markup: Column) -> Column:
+    """Non-blank lines of visible text."""
+    broken = F.regexp_replace(markup, rf"(?i)</?(?:{LINE_TAGS})\b[^>]*>", "\n")
+    text = decoded(F.regexp_replace(broken, TAG, ""))
+    return F.filter(F.transform(F.split(text, r"[\r\n]+"), strip_edges), lambda x: x != "")
+
+
+def corrections(rows: Column, label: str = "Corrections") -> Column:
     """Lists, JSON blocks, other code and text lines of one field, as a struct of texts."""
-    row = field_row(html, label, block_labels=False)
-    cell = F.coalesce(
-        first_match(row, r"(?is)</div>\s*<div\b[^>]*>(.*)\z"), F.lit("")
-    )
-    items = _texts(cell, "li")
-    codes = F.filter(
-        F.transform(
-            all_matches(cell, r"(?is)<code\b[^>]*>(.*?)</code\s*>"),
-            lambda c: strip_edges(unescape_html(F.regexp_replace(c, TAG, ""))),
-        ),
-        lambda c: c != "",
-    )
+
+    def code_texts(cell: Column) -> Column:
+        found = all_matches(cell, r"(?is)<code\b[^>]*>(.*?)</code\s*>")
+        texts = F.transform(found, lambda c: strip_edges(decoded(F.regexp_replace(c, TAG, ""))))
+        return F.filter(texts, lambda c: c != "")
+
     is_json = lambda c: c.rlike(r"^[{\[]") & F.try_parse_json(c).isNotNull()
-    join = lambda a, sep: F.array_join(a, sep)
-    return F.struct(
-        join(items, " ; ").alias("list_items"),
-        join(F.transform(F.filter(codes, is_json), minify_json), " || ").alias("json_blocks"),
-        join(F.filter(codes, lambda c: ~is_json(c)), " || ").alias("code_blocks"),
-        join(F.array_distinct(visible_lines(cell)), " | ").alias("all_text"),
-    )
 
+    def as_texts(cell: Column) -> Column:
+        return let(
+            code_texts(cell),
+            lambda codes: F.struct(
+                F.array_join(_texts(cell, "li"), " ; ").alias("list_items"),
+                F.array_join(F.transform(F.filter(codes, is_json), minify_json), " || ").alias(
+                    "json_blocks"
+                ),
+                F.array_join(F.filter(codes, lambda c: ~is_json(c)), " || ").alias("code_blocks"),
+                F.array_join(F.array_distinct(visible_lines(cell)), " | ").alias("all_text"),
+            ),
+        )
 
-def fields(pages: DataFrame, wanted: Mapping[str, Column], key: str = "place_id") -> DataFrame:
-    """Several field expressions over one scan of the pages."""
-    return readable(pages).select(key, *(c.alias(n) for n, c in wanted.items()))
+    return let(F.coalesce(next_block(row_of(rows, label)), F.lit("")), as_texts)

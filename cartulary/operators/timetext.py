@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartulary.functions.markup import let
 from cartulary.functions.text import squeeze, strip_edges
 
 # Qualifier, duration, snippet and closure patterns.
@@ -204,11 +205,6 @@ def atom_days(quals: Column, durs: Column) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _tokens(atom: Column) -> Column:
     return F.struct(qualifiers(atom).alias("quals"), durations(atom).alias("durs"))
 
@@ -219,7 +215,7 @@ def atom_intervals(atom: Column) -> Column:
     No hour and no minute other than 0 means no start, hence no interval. An interval is cut at
     midnight; day durations only span weekdays.
     """
-    return _let(_tokens(atom), lambda t: _token_intervals(t["quals"], t["durs"]))
+    return let(_tokens(atom), lambda t: _token_intervals(t["quals"], t["durs"]))
 
 
 def _token_intervals(quals: Column, durs: Column) -> Column:
@@ -261,17 +257,26 @@ def atom_interval_table(atoms: DataFrame, key: str = "key") -> DataFrame:
 # ---------------------------------------------------------------- evaluation
 
 
-def _fold(ops: Column, empty: Column, operand, combine) -> Column:
+# Operators as numbers below zero, so that a postfix list is an array of integers.
+OP_CODES = {"+": -1, "*": -2, "-": -3}
+
+
+def _codes(ops: Column) -> Column:
+    codes = F.create_map(*(F.lit(x) for pair in OP_CODES.items() for x in pair))
+    return F.transform(ops, lambda op: F.coalesce(F.element_at(codes, op), op.try_cast("int")))
+
+
+def _fold(codes: Column, empty: Column, operand, combine) -> Column:
     """Run a postfix list over a stack kept as an array; the result is its last entry."""
 
-    def step(stack: Column, op: Column) -> Column:
+    def step(stack: Column, code: Column) -> Column:
         left, right = F.try_element_at(stack, F.lit(-2)), F.try_element_at(stack, F.lit(-1))
         rest = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 2, F.lit(0)))
-        return F.when(
-            op.rlike(r"^\d+$"), F.array_append(stack, operand(op.try_cast("int")))
-        ).otherwise(F.concat(rest, F.array(combine(op, left, right))))
+        return F.when(code >= 0, F.array_append(stack, operand(code))).otherwise(
+            F.array_append(rest, combine(code, left, right))
+        )
 
-    return F.try_element_at(F.reduce(ops, empty, step), F.lit(-1))
+    return F.try_element_at(F.reduce(codes, empty, step), F.lit(-1))
 
 
 def weekly_intervals(parsed: Column) -> Column:
@@ -281,31 +286,32 @@ def weekly_intervals(parsed: Column) -> Column:
     so the operators are folded over booleans. A run of kept pieces starts where no kept piece
     ends and ends where none starts.
     """
-    ops = parsed["ops"]
 
-    def kept(per_atom: Column, at: Column) -> Column:
+    def kept(codes: Column, per_atom: Column, at: Column) -> Column:
         covers = lambda no: F.exists(
             F.element_at(per_atom, no + 1), lambda x: (x["start_min"] <= at) & (at < x["end_min"])
         )
         return _fold(
-            ops,
+            codes,
             F.array().cast("array<boolean>"),
             covers,
-            lambda op, a, b: F.when(op == "+", a | b).when(op == "*", a & b).otherwise(a & ~b),
+            lambda op, a, b: F.when(op == OP_CODES["+"], a | b)
+            .when(op == OP_CODES["*"], a & b)
+            .otherwise(a & ~b),
         )
 
     def cuts(per_atom: Column) -> Column:
         ends = F.transform(F.flatten(per_atom), lambda x: F.array(x["start_min"], x["end_min"]))
         return F.array_sort(F.array_distinct(F.flatten(ends)))
 
-    def pieces(per_atom: Column, at: Column) -> Column:
+    def pieces(codes: Column, per_atom: Column, at: Column) -> Column:
         between = F.zip_with(
             at,
             F.slice(at, 2, DAY_MINUTES + 1),
             lambda s, e: F.struct(s.alias("s"), e.alias("e")),
         )
         return F.filter(
-            between, lambda p: p["e"].isNotNull() & F.coalesce(kept(per_atom, p["s"]), F.lit(False))
+            between, lambda p: p["e"].isNotNull() & F.coalesce(kept(codes, per_atom, p["s"]), F.lit(False))
         )
 
     def merged(day: Column, runs: Column) -> Column:
@@ -318,16 +324,20 @@ def weekly_intervals(parsed: Column) -> Column:
             ),
         )
 
-    def one_day(of_atoms: Column, day: Column) -> Column:
+    def one_day(codes: Column, of_atoms: Column, day: Column) -> Column:
         per_atom = F.transform(of_atoms, lambda a: F.filter(a, lambda x: x["weekday"] == day))
-        return _let(
-            per_atom, lambda pa: _let(pieces(pa, cuts(pa)), lambda runs: merged(day, runs))
+        return let(
+            per_atom, lambda pa: let(pieces(codes, pa, cuts(pa)), lambda runs: merged(day, runs))
         )
 
-    return _let(
-        F.transform(parsed["atoms"], atom_intervals),
-        lambda atoms: F.flatten(
-            F.transform(F.sequence(F.lit(1), F.lit(7)), lambda day: one_day(atoms, day))
+    def all_days(codes: Column, of_atoms: Column) -> Column:
+        days = F.array_sort(F.array_distinct(F.transform(F.flatten(of_atoms), lambda x: x["weekday"])))
+        return F.flatten(F.transform(days, lambda day: one_day(codes, of_atoms, day)))
+
+    return let(
+        _codes(parsed["ops"]),
+        lambda codes: let(
+            F.transform(parsed["atoms"], atom_intervals), lambda atoms: all_days(codes, atoms)
         ),
     )
 
@@ -368,13 +378,16 @@ def _name(names: list[str], number: Column) -> Column:
 
 def week_lines(intervals: Column) -> Column:
     """Seven pairs of day and hours, in one text."""
+    return let(intervals, _week_lines)
+
 
+def _week_lines(intervals: Column) -> Column:
     def lines(day: Column) -> Column:
         ranges = F.transform(
             F.filter(intervals, lambda x: x["weekday"] == day),
             lambda x: fmt_range(x["start_min"], x["end_min"]),
         )
-        hours = F.when(F.size(ranges) == 0, "Closed").otherwise(F.array_join(ranges, ", "))
+        hours = F.coalesce(F.nullif(F.array_join(ranges, ", "), F.lit("")), F.lit("Closed"))
         return F.concat(_name(WEEKDAYS, day), F.lit("\n"), hours)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7)), lines), "\n")
@@ -485,7 +498,7 @@ def _when_text(quals: Column, durs: Column) -> Column:
 
 
 def describe_atom(atom: Column) -> Column:
-    return _let(_tokens(atom), lambda t: _describe_tokens(t["quals"], t["durs"]))
+    return let(_tokens(atom), lambda t: _describe_tokens(t["quals"], t["durs"]))
 
 
 def _describe_tokens(quals: Column, durs: Column) -> Column:
@@ -494,7 +507,7 @@ def _describe_tokens(quals: Column, durs: Column) -> Column:
         hour.isNotNull() | minute.isNotNull(),
         _clock(F.coalesce(hour, F.lit(0)) * 60 + F.coalesce(minute, F.lit(0)), "AM", "PM"),
     )
-    phrase = _let(
+    phrase = let(
         _when_text(quals, durs),
         lambda w: F.when(w.startswith("in "), w).when(w != "", F.concat(F.lit("on "), w)),
     )
@@ -506,9 +519,9 @@ JOINING = {"+": " and ", "*": " limited to ", "-": " except "}
 
 def describe(parsed: Column) -> Column:
     """The expression in words, null when it did not parse."""
-    words = F.create_map(*(F.lit(x) for pair in JOINING.items() for x in pair))
+    words = F.create_map(*(F.lit(x) for op, word in JOINING.items() for x in (OP_CODES[op], word)))
     text = _fold(
-        parsed["ops"],
+        _codes(parsed["ops"]),
         F.array().cast("array<string>"),
         lambda no: describe_atom(F.element_at(parsed["atoms"], no + 1)),
         lambda op, a, b: F.concat(a, F.element_at(words, op), b),

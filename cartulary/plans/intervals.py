@@ -38,7 +38,7 @@ WITH e AS (SELECT event_id, user_id, event_type, ts, dayofweek(ts) + 1 AS wd,
 
 
 def cells(spark, sf, cell):
-    return table(spark, sf, "events").select(F.col("event_id").alias("key"), cell.alias("cell"))
+    return table(spark, sf, "events", dealt=True).select(F.col("event_id").alias("key"), cell.alias("cell"))
 
 
 def flat(spark, sf, kinds):

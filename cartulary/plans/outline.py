@@ -17,7 +17,7 @@ def note_pages(spark, sf):
         "</h2><ul><li>", F.col("source"), " - ", F.col("n_chars"), "</li></ul><h2>Rest</h2><p>",
         F.substring_index("text", "\n", 1), "</p>",
     )
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return table(spark, sf, "documents", dealt=True).select(F.col("doc_id").alias("page_id"), html.alias("html"))
 
 
 NOTE_SQL = """(SELECT doc_id AS page_id, '<p>Lead note</p><h3>Part ' || lang || '</h3><p>' || text || '</p><h2>Title '
@@ -70,7 +70,7 @@ def note_lines(spark, sf):
          FROM blocks GROUP BY 1""",
 )
 def sec_deck_title(spark, sf):
-    return ol.deck_titles(bl.extract_blocks(table(spark, sf, "pages")))
+    return ol.deck_titles(bl.extract_blocks(table(spark, sf, "pages", dealt=True)))
 
 
 @query(
@@ -81,7 +81,7 @@ def sec_deck_title(spark, sf):
 )
 def sec_assign(spark, sf):
     sections = ol.assign_sections(bl.extract_blocks(note_pages(spark, sf)))
-    return sections.select("page_id", "section_no", "block_no", "type", "text")
+    return sections.filter("section_no >= 0").select("page_id", "section_no", "block_no", "type", "text")
 
 
 @query(
@@ -98,8 +98,9 @@ def sec_pseudo_lines(spark, sf):
     block_sql("pages") + LINE_CTES + "SELECT page_id, section_no, block_no, line_no, class FROM classed",
 )
 def sec_line_class(spark, sf):
-    lines = ol.classified_lines(ol.assign_sections(bl.extract_blocks(table(spark, sf, "pages"))))
-    return lines.select("page_id", "section_no", "block_no", "line_no", "class")
+    lines = ol.classified_lines(ol.assign_sections(bl.extract_blocks(table(spark, sf, "pages", dealt=True))))
+    texts = lines.filter("class not in ('heading', 'image')")
+    return texts.select("page_id", "section_no", "block_no", "line_no", "class")
 
 
 # One survey page per supplier: figures in groups, chart wishes, free text.
@@ -227,8 +228,7 @@ def sec_share(spark, sf):
               'b.png' AS image FROM supplier""",
 )
 def sec_images(spark, sf):
-    sections = ol.assign_sections(bl.extract_blocks(survey_pages(spark, sf)))
-    images = ol.section_images(sections)
+    images = ol.section_images(survey_lines(spark, sf))
     return images.select(
         "page_id", "section_no", F.array_join("images.path", " ").alias("paths"), F.col("image.path").alias("image")
     )
@@ -246,9 +246,9 @@ def sec_images(spark, sf):
                              ELSE label || ': ' || {_NUMBER} END, '|' ORDER BY n) AS bullets,
              CASE WHEN section_no = 2 THEN trim(repeat('long text ' || any_value(s_name) || ' ', 3)) ELSE '' END AS paragraphs,
              string_agg(chart_no || chart_type || ':' || label, '|' ORDER BY n) AS charts,
-             CASE WHEN section_no = 3 THEN 'a' || page_id || '.png|b.png' END AS images
+             CASE WHEN section_no = 3 THEN 'a' || page_id || '.png|b.png' ELSE '' END AS images
       FROM c GROUP BY page_id, section_no
-      UNION ALL SELECT s_suppkey, -1, 'title', s_name, NULL, NULL, NULL, NULL, NULL FROM supplier)""",
+      UNION ALL SELECT s_suppkey, -1, 'title', s_name, NULL, '', '', '', '' FROM supplier)""",
 )
 def sec_plan(spark, sf):
     """Nested columns written as text, for the comparison only."""
@@ -286,7 +286,7 @@ def sec_plan(spark, sf):
 )
 def sec_plan_documents(spark, sf):
     plan = ol.section_plan(bl.extract_blocks(note_pages(spark, sf)))
-    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    size = lambda c: F.when(F.col("layout") == "content", F.size(c))
     return plan.select(
         "page_id", "section_no", "title", size("bullets").alias("bullets"), size("paragraphs").alias("paragraphs")
     )

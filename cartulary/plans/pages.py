@@ -23,7 +23,7 @@ def _row(label, *value, title=True):
     )
 
 
-def customer_pages(spark, sf):
+def customer_pages(spark, sf, where="true"):
     key, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
     nation, rich = F.col("c_nationkey"), F.col("c_acctbal") > 0
     badge = lambda text, hover: _cat('<span title=" by ', hover, '" class="badge audit-badge"> ', text, " </span>")
@@ -67,13 +67,14 @@ def customer_pages(spark, sf):
         '<div class="audit-row row-details"><span class="category-display">N', nation, "</span>", badge("Open", key), "</div>"
         "</div></div></body></html>",
     )
-    return pg.readable(table(spark, sf, "customer").select(key.alias("place_id"), html.alias("html")))
+    return table(spark, sf, "customer", dealt=True).filter(where).select(key.alias("place_id"), html.alias("html"))
 
 
 def _field(name, sql, make):
     @query(name, f"SELECT c_custkey AS place_id, {sql} AS out FROM customer")
     def run(spark, sf):
-        return customer_pages(spark, sf).select("place_id", make(F.col("html")).alias("out"))
+        pages = pg.readable(customer_pages(spark, sf))
+        return pages.select("place_id", make(F.col("html"), F.col("cells"), F.col("rows")).alias("out"))
 
     return run
 
@@ -86,30 +87,30 @@ URL_SQL = (
 )
 VENDOR_SQL = "c_mktsegment || ' x, N' || c_nationkey"
 
-_field("html_label_value", "c_name || ' & Co'", lambda h: pg.label_value(h, "Name"))
-_field("html_status_value", STATUS_SQL, pg.status_value)
-_field("html_categories", CATEGORY_SQL, pg.categories)
-_field("html_urls", URL_SQL, lambda h: pg.urls(h, "corp.test"))
+_field("html_label_value", "c_name || ' & Co'", lambda h, c, r: pg.label_value(c, "Name"))
+_field("html_status_value", STATUS_SQL, lambda h, c, r: pg.status_value(c))
+_field("html_categories", CATEGORY_SQL, lambda h, c, r: pg.categories(c))
+_field("html_urls", URL_SQL, lambda h, c, r: pg.urls(c, "corp.test"))
 _field(
     "html_table_column", VENDOR_SQL,
-    lambda h: pg.table_column(h, "Vendor Contributions", "vendor-contributions-table"),
+    lambda h, c, r: pg.table_column(h, c, "Vendor Contributions", "vendor-contributions-table"),
 )
 _field(
     "html_badge",
     "CASE WHEN c_nationkey > 5 THEN 'Edited/by ' || c_nationkey ELSE 'old/' END",
-    lambda h: F.concat(pg.badge(h, "Hours"), F.lit("/"), pg.badge_hover(h, "Hours")),
+    lambda h, c, r: F.concat(pg.badge(r, "Hours"), F.lit("/"), pg.badge_hover(r, "Hours")),
 )
 _field(
     "html_category_badges",
     "c_mktsegment || '=Locked;N' || c_nationkey || '=Open'",
-    lambda h: F.array_join(
-        F.transform(pg.category_badges(h, "Locked"), lambda x: F.concat(x["name"], F.lit("="), x["badge"])), ";"
+    lambda h, c, r: F.array_join(
+        F.transform(pg.category_badges(r, "Locked"), lambda x: F.concat(x["name"], F.lit("="), x["badge"])), ";"
     ),
 )
 _field(
     "html_hours_map",
     "CASE WHEN c_acctbal > 0 THEN 'Monday=9-' || c_nationkey || ';Tuesday=closed' ELSE '__placeholder__=None' END",
-    lambda h: F.array_join(
+    lambda h, c, r: F.array_join(
         F.transform(F.map_entries(pg.hours_map(h)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";"
     ),
 )
@@ -126,7 +127,7 @@ _field(
 )
 def html_profile(spark, sf):
     asked = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("place_id"))
-    found = customer_pages(spark, sf).filter(~pg.categories(F.col("html")).contains("MACHINERY"))
+    found = pg.readable(customer_pages(spark, sf, "c_mktsegment <> 'MACHINERY'"))
     return pg.profile(asked, found, "corp.test")
 
 
@@ -138,7 +139,8 @@ def html_profile(spark, sf):
        FROM pages""",
 )
 def html_place_name(spark, sf):
-    return pg.readable(table(spark, sf, "pages")).select("page_id", pg.place_name(F.col("html")).alias("name"))
+    pages = pg.readable(table(spark, sf, "pages", dealt=True))
+    return pages.select("page_id", pg.place_name(F.col("html"), F.col("rows")).alias("name"))
 
 
 @query(
@@ -157,8 +159,8 @@ def html_place_name_fields(spark, sf):
         .when(nation > 6, renamed)
         .otherwise(F.concat(renamed, F.replace(F.replace(marked, F.lit("<i>"), F.lit("")), F.lit("</i>"), F.lit(""))))
     )
-    both = customer_pages(spark, sf).join(customers, "place_id")
-    return both.select("place_id", pg.place_name(html).alias("name"))
+    both = customer_pages(spark, sf).join(customers, "place_id").select("place_id", html.alias("html"))
+    return pg.readable(both).select("place_id", pg.place_name(F.col("html"), F.col("rows")).alias("name"))
 
 
 @query(
@@ -180,7 +182,7 @@ def html_edit_rows(spark, sf):
         "<div>", row(_cat(F.date_format("ts", "yyyy-MM-dd HH:mm"), " UTC"), _cat(F.col("event_type"), " 0")),
         row("yesterday", "lost"), row(_cat(second, " CDT"), _cat("<b>", F.col("event_type"), "</b> 2")), "</div>",
     )
-    listed = table(spark, sf, "events").select(
+    listed = table(spark, sf, "events", dealt=True).select(
         F.struct(F.col("user_id"), F.col("event_id")).alias("place_id"), html.alias("html")
     )
     return pg.edit_rows(listed).select(
@@ -205,8 +207,8 @@ def html_corrections(spark, sf):
         "</li></ul><p>note</p><p>note</p>", '<div><code>{"b": "x y", "a": ', user, " }</code></div><p><code>{bad ", kind,
         '}</code></p><br><code>x = 1</code></div><div title="Next">N</div><div><li>no</li></div>',
     )
-    listed = table(spark, sf, "events").select("event_id", html.alias("html"))
-    return listed.select("event_id", pg.corrections(F.col("html")).alias("c")).select("event_id", "c.*")
+    listed = pg.readable(table(spark, sf, "events", dealt=True).select("event_id", html.alias("html")))
+    return listed.select("event_id", pg.corrections(F.col("rows")).alias("c")).select("event_id", "c.*")
 
 
 # The block rules once more, in SQL: tokens, list depth, blocks, list items.
@@ -305,7 +307,7 @@ def shown_blocks(blocks):
                 array_to_string(items, '|') AS items FROM blocks""",
 )
 def blk_extract(spark, sf):
-    return shown_blocks(bl.extract_blocks(table(spark, sf, "pages")))
+    return shown_blocks(bl.extract_blocks(table(spark, sf, "pages", dealt=True)))
 
 
 # Every document as a page, its paragraphs cut by breaks and given a picture and nested lists.
@@ -316,7 +318,7 @@ DOCUMENT_PAGES_SQL = """(SELECT doc_id AS page_id, 'Lead<br>in <img src="' || so
 
 
 def document_pages(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", dealt=True)
     html = _cat(
         'Lead<br>in <img src="', F.col("source"), '.png" alt=""><h2>', F.col("lang"), " <b>", F.col("source"), "</b></h2><p>",
         F.replace("text", F.lit("\n"), F.lit("<br/>")), '<img alt="a&amp;b" src="p', F.col("doc_id"),

@@ -27,5 +27,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
+    """A test table. ``dealt`` is for jobs that spend much time on each row.
+
+    A table of fewer splits than cores is then dealt out evenly; one of many files stays as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if dealt and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
