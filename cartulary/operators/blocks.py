@@ -23,6 +23,8 @@ CONTAINERS = (
 )
 MARK, MID, END, CUT = "\x01", "\x02", "\x03", "\x04"
 BLOCK_TAG = rf"(?i)<(/?(?:h1|h2|h3|p|ul|ol|li|img|br|{CONTAINERS}))\b([^>]*)>"
+# A page that opens with bare text, before any body tag, has it in an implied paragraph.
+LEADING_TEXT = r"(?is)^(\s*(?:<!doctype[^>]*>\s*|<html\b[^>]*>\s*)*)([^<\s])"
 EDGE = rf"[\s\u00a0{CUT}]*"
 
 
@@ -36,6 +38,7 @@ def _pieces(text: Column) -> Column:
 def tokens(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, tag, attrs, text)``: each block tag with the text that follows it."""
     body = live_markup(F.col("html"), ("script", "style", "head"))
+    body = F.regexp_replace(body, LEADING_TEXT, "$1<p>$2")
     cut = F.split(F.regexp_replace(body, BLOCK_TAG, f"{MARK}$1{MID}$2{END}"), MARK)
     t = pages.select(PAGE, F.posexplode(cut).alias("pos", "t"))
     tagged = F.col("t").contains(MID)
@@ -58,7 +61,8 @@ def _attr(name: str) -> Column:
 def _numbered(pages: DataFrame) -> DataFrame:
     """Tokens with their list depth, block number and list item number."""
     tag = F.col("tag")
-    by_pos = Window.partitionBy(PAGE).orderBy("pos")
+    in_order = Window.partitionBy(PAGE).orderBy("pos")
+    by_pos = in_order.rowsBetween(Window.unboundedPreceding, 0)
     opens = tag.isin(LISTS)
     closes = tag.isin([f"/{x}" for x in LISTS])
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
@@ -80,7 +84,7 @@ def _numbered(pages: DataFrame) -> DataFrame:
         (outside & tag.isin([*HEADINGS, "p"]))
         | (opens & (F.col("depth") == 1))
         | (loose & tag.isin("br", "img"))
-        | (loose & (F.coalesce(F.lag("mode").over(by_pos), F.lit("loose")) != "loose"))
+        | (loose & (F.coalesce(F.lag("mode").over(in_order), F.lit("loose")) != "loose"))
     )
     t = t.withColumn("block_no", F.sum(starts.cast("int")).over(by_pos))
     top = F.col("depth") == 1

@@ -30,13 +30,14 @@ def _steps(intervals: DataFrame, side: str) -> DataFrame:
 def _sweep(steps: DataFrame, inside: Column) -> DataFrame:
     """Maximal runs of minutes for which ``inside`` holds, from the summed steps."""
     per_minute = steps.groupBy(*KEYS, "minute").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    by_minute = Window.partitionBy(*KEYS).orderBy("minute")
+    in_order = Window.partitionBy(*KEYS).orderBy("minute")
+    by_minute = in_order.rowsBetween(Window.unboundedPreceding, 0)
     runs = (
         per_minute.withColumn("a", F.sum("a").over(by_minute))
         .withColumn("b", F.sum("b").over(by_minute))
-        .withColumn("next_minute", F.lead("minute").over(by_minute))
+        .withColumn("next_minute", F.lead("minute").over(in_order))
         .withColumn("inside", inside)
-        .withColumn("was_inside", F.coalesce(F.lag("inside").over(by_minute), F.lit(False)))
+        .withColumn("was_inside", F.coalesce(F.lag("inside").over(in_order), F.lit(False)))
         .withColumn(
             "run", F.sum((F.col("inside") & ~F.col("was_inside")).cast("int")).over(by_minute)
         )
@@ -72,7 +73,9 @@ def join_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     starts = _starts(union(a), "a").unionByName(_starts(union(b), "b"), allowMissingColumns=True)
     at = starts.groupBy(*KEYS, "minute").agg(F.max("a_end").alias("a_end"), F.max("b_end").alias("b_end"))
-    by_minute = Window.partitionBy(*KEYS).orderBy("minute")
+    by_minute = (
+        Window.partitionBy(*KEYS).orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    )
 
     def latest(end: str) -> Column:
         seen = F.when(F.col(end).isNotNull(), F.struct("minute", end))

@@ -59,9 +59,10 @@ def assign_sections(blocks: DataFrame) -> DataFrame:
         (F.col("type") == "heading") & (F.col("block_no") == F.col("_title")), F.lit(False)
     )
     opens = ((F.col("type") == "heading") & ~is_title).cast("int")
+    upto = page.orderBy("block_no", "sub").rowsBetween(Window.unboundedPreceding, 0)
     return (
         blocks.withColumn("_title", title_no)
-        .withColumn("_opened", F.sum(opens).over(page.orderBy("block_no", "sub")))
+        .withColumn("_opened", F.sum(opens).over(upto))
         .withColumn(
             "section_no", F.when(is_title, F.lit(TITLE_SECTION)).otherwise(F.col("_opened")).cast("bigint")
         )

@@ -236,7 +236,8 @@ WITH body AS (
     '(?s)<!--.*?-->', '', 'g'), '(?is)<script\\b.*?</script\\s*>', '', 'g'),
     '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?is)<head\\b.*?</head\\s*>', '', 'g') AS html FROM {source}),
 cut AS (
-  SELECT page_id, string_split(regexp_replace(html,
+  SELECT page_id, string_split(regexp_replace(
+    regexp_replace(html, '(?is)^(\\s*(?:<!doctype[^>]*>\\s*|<html\\b[^>]*>\\s*)*)([^<\\s])', '\\1<p>\\2'),
     '(?i)<(/?(?:h1|h2|h3|p|ul|ol|li|img|br|{bl.CONTAINERS}))\\b([^>]*)>',
     chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1)) AS parts FROM body),
 raw AS (SELECT page_id, unnest(generate_series(1, len(parts))) - 1 AS pos, unnest(parts) AS t FROM cut),

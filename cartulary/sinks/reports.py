@@ -9,7 +9,7 @@ from cartulary.operators.reports import line_order, report_lines
 
 
 def _csv_line() -> Column:
-    cells = F.to_csv(F.struct("c1", "c2", "c3"), {"quoteAll": "false", "emptyValue": ""})
+    cells = F.to_csv(F.struct("c1", "c2", "c3"), {"emptyValue": "", "escape": '"'})
     return F.when((F.col("c1") == "") & (F.col("c2") == "") & (F.col("c3") == ""), "").otherwise(cells)
 
 
