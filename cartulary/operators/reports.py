@@ -105,16 +105,21 @@ class _Plan:
 
     known: list  # (section_no, entry_no, label, count expression)
     averages: list  # (section_no, column)
-    found: list  # (section_no, entry_no, replaces, array-of-labels expression)
+    single: list  # (section_no, entry_no, replaces, label expression)
+    nodes: list  # (section_no, entry_no, replaces, array-of-labels expression)
     kinds: dict  # section_no -> (title, kind)
 
+    @property
+    def found(self) -> list:
+        return self.single + self.nodes
+
 
 def _labelled(label: Column) -> Column:
     return F.when(label == "", "None").otherwise(label)
 
 
 def _plan(asks: Sequence[Ask], cells: dict[str, Column]) -> _Plan:
-    plan = _Plan([], [], [], {})
+    plan = _Plan([], [], [], [], {})
     by_column: dict[str, list[Ask]] = {}
     for ask in asks:
         by_column.setdefault(ask.column, []).append(ask)
@@ -122,7 +127,7 @@ def _plan(asks: Sequence[Ask], cells: dict[str, Column]) -> _Plan:
         cell = cells[column]
         if any(e.duplicate for e in entries):
             plan.kinds[no] = (column.upper(), "Duplicate")
-            plan.found.append((no, 0, False, F.array(cell)))
+            plan.single.append((no, 0, False, cell))
             continue
         if any(e.average for e in entries):
             plan.kinds[no] = (column.upper(), "Average")
@@ -145,10 +150,10 @@ def _plan(asks: Sequence[Ask], cells: dict[str, Column]) -> _Plan:
             looked = root_of(cell, e.delimiter) if e.root_only else cell
             if e.separate_nodes:
                 labels = F.transform(nodes_of(cell, e.delimiter), _labelled)
-                plan.found.append((no, i, False, labels))
+                plan.nodes.append((no, i, False, labels))
                 distributed = True
             elif e.aggregate:
-                plan.found.append((no, i, True, F.array(_labelled(F.lower(F.trim(looked))))))
+                plan.single.append((no, i, True, _labelled(F.lower(F.trim(looked)))))
                 distributed = True
             else:
                 blanks.append((i, F.count_if(has_node(looked, "", e.delimiter))))
@@ -219,25 +224,43 @@ def _known_rows(report: DataFrame, plan: _Plan) -> DataFrame:
 def _found_counts(report: DataFrame, plan: _Plan) -> DataFrame:
     """Counts of the labels found in the data: one explode, one group-by, partial sums first."""
 
-    def tagged(no: int, entry: int, replaces: bool, labels: Column) -> Column:
-        return F.transform(
-            labels,
-            lambda x: F.struct(
-                F.lit(no).alias("section_no"),
-                F.lit(entry).alias("entry_no"),
-                F.lit(replaces).alias("replaces"),
-                x.alias("label"),
-            ),
+    def tagged(no: int, entry: int, replaces: bool, label: Column) -> Column:
+        return F.struct(
+            F.lit(no).alias("section_no"),
+            F.lit(entry).alias("entry_no"),
+            F.lit(replaces).alias("replaces"),
+            label.alias("label"),
         )
 
-    asked = [tagged(*found) for found in plan.found]
+    def each(no: int, entry: int, replaces: bool, labels: Column) -> Column:
+        return F.transform(labels, lambda label: tagged(no, entry, replaces, label))
+
+    # Cells that are one label each stay clear of array functions, which run uncompiled.
+    asked = [F.array(*(tagged(*one) for one in plan.single))] if plan.single else []
+    asked += [each(*many) for many in plan.nodes]
     return (
-        report.select(F.inline(F.flatten(F.array(*asked))))
+        report.select(F.inline(F.concat(*asked) if len(asked) > 1 else asked[0]))
         .groupBy("section_no", "entry_no", "replaces", "label")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def _merge_entries(found: DataFrame) -> DataFrame:
+    """One count per label from the counts of several config rows.
+
+    They act in order: a distribution of values replaces, the others add. A label has at most one
+    count per config row.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("entry_no", "replaces", "n")))
+    n = F.reduce(
+        "parts",
+        F.lit(0).cast("bigint"),
+        lambda acc, p: F.when(p["replaces"], p["n"]).otherwise(acc + p["n"]),
+    )
+    gathered = found.groupBy("section_no", "label").agg(parts.alias("parts"))
+    return gathered.select("section_no", "label", n.alias("n"))
+
+
 def build_report(report: DataFrame, config: DataFrame | Sequence[Ask]) -> DataFrame:
     """All sections: ``section_no, entry_no, section, kind, label, pct, n, text``.
 
@@ -267,26 +290,24 @@ def build_report(report: DataFrame, config: DataFrame | Sequence[Ask]) -> DataFr
         return totals.unionByName(known)
 
     found = _found_counts(table, plan)
-    open_sections = {no for no, *_ in plan.found}
-    # Blank counts asked for next to a distribution add to its label None.
-    beside = known.filter(
-        F.col("section_no").isin(list(open_sections)) & (F.col("kind") == "Count")
-    ).select("section_no", "entry_no", F.lit(False).alias("replaces"), "label", "n")
+    open_sections = [no for no, *_ in plan.found]
+    blanks_beside = [no for no, *_ in plan.known if no in open_sections]
     alone = known.filter(
-        ~F.col("section_no").isin(list(open_sections)) | (F.col("kind") != "Count")
-    )
-    merged = found.unionByName(beside).groupBy("section_no", "label").agg(
-        F.sort_array(F.collect_list(F.struct("entry_no", "replaces", "n"))).alias("parts")
-    )
-    # Config rows of one column act in order: a distribution of values replaces, the others add.
-    n = F.reduce(
-        "parts",
-        F.lit(0).cast("bigint"),
-        lambda acc, p: F.when(p["replaces"], p["n"]).otherwise(acc + p["n"]),
-    )
+        ~F.col("section_no").isin(open_sections) | (F.col("kind") != "Count")
+    ) if blanks_beside else known
+    if blanks_beside or len(set(open_sections)) < len(open_sections):
+        if blanks_beside:
+            # Blank counts asked for next to a distribution add to its label None.
+            beside = known.filter(F.col("section_no").isin(open_sections) & (F.col("kind") == "Count"))
+            found = found.unionByName(
+                beside.select("section_no", "entry_no", F.lit(False).alias("replaces"), "label", "n")
+            )
+        merged = _merge_entries(found)
+    else:
+        merged = found.select("section_no", "label", "n")
     titles = F.create_map(*(F.lit(x) for no in plan.kinds for x in (no, plan.kinds[no][0])))
     kinds = F.create_map(*(F.lit(x) for no in plan.kinds for x in (no, plan.kinds[no][1])))
-    rows = known.filter(F.col("label") == "report_rows").select(F.col("n").alias("rows"))
+    rows = table.agg(F.count(F.lit(1)).alias("rows"))
     labelled = (
         merged.select(
             "section_no",
@@ -294,7 +315,7 @@ def build_report(report: DataFrame, config: DataFrame | Sequence[Ask]) -> DataFr
             F.element_at(titles, F.col("section_no")).alias("section"),
             F.element_at(kinds, F.col("section_no")).alias("kind"),
             "label",
-            n.alias("n"),
+            "n",
         )
         .filter((F.col("kind") == "Count") | (F.col("n") > 1))
         .withColumn(

@@ -94,37 +94,49 @@ def src_sectioned_report(spark, sf):
 
 @query(
     "src_sheet_header_block",
-    """WITH x AS (SELECT max(c_custkey) AS n FROM customer)
-       SELECT 'Project ' || n AS project_name, 'tab' AS project_tab, 'doc/' || n AS link,
-              'AB' AS warnings_col, 12 AS start_row, CAST(NULL AS VARCHAR) AS last_ran_date, CAST(1.5 AS DOUBLE) AS last_avg_ticket_runtime,
-              '00:10' AS last_total_runtime, 'place ids' AS ids_type,
-              CAST(10 + n + 1 + 1 AS INTEGER) AS last_id_row FROM x""",
+    """SELECT CAST(c_custkey AS VARCHAR) AS file, c_name AS project_name, c_mktsegment AS project_tab,
+              'doc/' || c_custkey AS link, 'AB' AS warnings_col,
+              CASE WHEN c_nationkey > 12 THEN c_nationkey END AS start_row, CAST(NULL AS VARCHAR) AS last_ran_date,
+              CASE WHEN c_acctbal > 0 THEN 1.5 END::DOUBLE AS last_avg_ticket_runtime, '00:10' AS last_total_runtime,
+              'place ids' AS ids_type, CAST(10 + c_nationkey + 1 AS BIGINT) AS last_id_row FROM customer""",
 )
 def src_sheet_header_block(spark, sf):
-    """A sheet whose ids are the customers, one below the other from row 10 on."""
-    customers = table(spark, sf, "customer")
-    top = customers.agg(F.max("c_custkey").alias("n"))
+    """One sheet per customer: ten rows of facts, then as many ids as its nation's number."""
+    text = lambda c: F.col(c).cast("string")
     facts = F.array(
-        F.concat(F.lit("Project "), F.col("n").cast("string")), F.lit("tab"),
-        F.concat(F.lit("doc/"), F.col("n").cast("string")), F.lit(" ab "), F.lit("12"), F.lit(""),
-        F.lit("1.5"), F.lit("00:10"), F.lit(""), F.lit(""),
+        F.col("c_name"), F.col("c_mktsegment"), F.concat(F.lit("doc/"), text("c_custkey")), F.lit(" ab "),
+        F.when(F.col("c_nationkey") > 12, text("c_nationkey")).otherwise("x1"), F.lit(" "),
+        F.when(F.col("c_acctbal") > 0, "1.5").otherwise("n/a"), F.lit("00:10"), F.lit(""), F.lit(""),
     )
-    commas = "," * 20
-    head = top.select(F.posexplode(facts).alias("row", "fact")).select(
-        F.col("row").cast("bigint").alias("row"),
-        F.concat(
-            F.lit("k,"), "fact", F.lit("," + commas),
-            F.when(F.col("row") == 9, "place ids").otherwise(""), F.lit(",z"),
-        ).alias("value"),
+    gap = "," * 21
+    head = F.transform(
+        facts,
+        lambda x, i: F.concat(F.lit("k,"), x, F.lit(gap), F.when(i == 9, "place ids").otherwise(""), F.lit(",z")),
     )
-    body = customers.select(
-        (F.col("c_custkey") + 10).alias("row"),
-        F.concat(F.lit("," + "," + commas), F.lit("T"), F.col("c_custkey").cast("string"), F.lit(",z")).alias("value"),
+    ids = F.transform(
+        F.sequence(F.lit(0), F.col("c_nationkey")),
+        lambda i: F.concat(F.lit("," + gap), F.when(i > 0, i.cast("string")).otherwise(""), F.lit(",z")),
     )
-    path = scratch_path(spark, "sheet")
-    # One sheet is one file by nature, so this writing is single.
-    head.unionByName(body).repartition(1).sortWithinPartitions("row").select("value").write.text(path)
-    return sheets.read_header_block(spark, path).drop("file")
+    # The first of the ids is blank and comes last, so a sheet ends with a row that does not count.
+    body = F.concat(F.slice(ids, 2, 1000), F.slice(ids, 1, 1))
+    lines = table(spark, sf, "customer").select(
+        text("c_custkey").alias("file"), F.posexplode(F.concat(head, body)).alias("row", "line")
+    )
+    return sheets.header_block(lines.withColumn("row", (F.col("row") + 1).cast("bigint")))
+
+
+@query(
+    "src_sheet_lines",
+    "SELECT CAST(doc_id AS VARCHAR) || ',' || lang AS line, source FROM documents",
+)
+def src_sheet_lines(spark, sf):
+    """Numbering lines of files must neither lose nor repeat a row number."""
+    path = scratch_path(spark, "sheets")
+    docs = table(spark, sf, "documents")
+    docs.select(F.concat_ws(",", F.col("doc_id").cast("string"), "lang", "source").alias("value")).write.text(path)
+    lines = sheets.read_sheet_lines(spark, path)
+    once = lines.select("file", "row", F.split("line", ",").alias("c")).dropDuplicates(["file", "row"])
+    return once.select(F.concat_ws(",", F.col("c")[0], F.col("c")[1]).alias("line"), F.col("c")[2].alias("source"))
 
 
 @query(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartulary.functions.markup import behind_first
+from cartulary.operators.hotkeys import lookup
 
 SECTION_KINDS = ["Count", "Duplicate", "Average"]
 
@@ -70,21 +71,43 @@ FIRST_BODY_ROW = 3
 LAST_ROW_OFFSET = 1
 
 
-def read_header_block(spark: SparkSession, path: str, link_base: str = "") -> DataFrame:
-    """One row of facts per header-less sheet file.
+def read_sheet_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, row, line)`` of every line, numbered from 1 inside its file.
 
-    Lines are numbered inside the file they stand in, so a sheet is read as one text; the
-    facts are picked by row number in one aggregate per file.
+    Files are read in splits, each by its own task. Ids grow by one along a split, so a line's
+    place in it needs no sort; a window over the splits of a file, one row per split, gives how
+    many lines stand before each.
     """
-    lines = spark.read.text(path, wholetext=True).select(
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("i", "line"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+        F.rtrim(F.col("value"), F.lit("\r")).alias("line"),
+    )
+    earlier = (
+        Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    splits = (
+        lines.groupBy("file", "split")
+        .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+        .select(
+            "file", "split", "first_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+        )
     )
-    row = F.col("i") + 1
+    numbered = lookup(lines, splits, ["file", "split"])
+    row = F.col("before") + F.col("id") - F.col("first_id") + 1
+    return numbered.select("file", row.alias("row"), "line")
+
+
+def header_block(lines: DataFrame, link_base: str = "") -> DataFrame:
+    """One row of facts per header-less sheet, from its numbered lines.
+
+    The facts are picked by row number in one aggregate per sheet, summed up before the shuffle.
+    """
     cells = _csv_cells(F.col("line"), IDS_COLUMN)
     b = F.trim(F.coalesce(cells["c2"], F.lit("")))
     w = F.trim(F.coalesce(cells[f"c{IDS_COLUMN}"], F.lit("")))
-    grid = lines.select("file", row.alias("row"), b.alias("b"), w.alias("w"))
+    grid = lines.select("file", "row", b.alias("b"), w.alias("w"))
 
     def fact(name: str) -> Column:
         cell = F.max(F.when(F.col("row") == HEADER_ROWS[name], F.col("b")))
@@ -116,6 +139,10 @@ def read_header_block(spark: SparkSession, path: str, link_base: str = "") -> Da
     )
 
 
+def read_header_block(spark: SparkSession, path: str, link_base: str = "") -> DataFrame:
+    return header_block(read_sheet_lines(spark, path), link_base)
+
+
 PROOF_SCHEMA = (
     "run_id STRING, meta STRUCT<title: STRING, source_doc: STRING, generated_at: STRING>, "
     "sections ARRAY<STRUCT<id: STRING, title: STRING, type: STRING, "

@@ -114,3 +114,20 @@ def test_proof_texts(document):
     assert note[0]["x"] == "Source: a.xlsx • Run: 2025"
     assert {r["id"]: r["r"] for r in note}["d"] == "Range: 2023-01-01 → ?"
     assert {r["id"]: r["r"] for r in note}["t"] is None
+
+
+def test_sheet_lines_across_splits(spark):
+    path = scratch_path(spark, "long")
+    lines = [f"line {i}" for i in range(1, 4001)]
+    for name in "ab":
+        spark.createDataFrame([("\n".join(lines),)], "value string").write.text(f"{path}/{name}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert spark.read.text(f"{path}/*").rdd.getNumPartitions() > 4
+        got = sheets.read_sheet_lines(spark, f"{path}/*").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for file in {r["file"] for r in got}:
+        mine = sorted((r["row"], r["line"]) for r in got if r["file"] == file)
+        assert mine == list(enumerate(lines, start=1))
