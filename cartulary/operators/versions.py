@@ -32,14 +32,14 @@ def _fields(names: Sequence[str]) -> Column:
 
 
 def dated_versions(versions: DataFrame, strict: bool = False) -> DataFrame:
-    """Versions with a usable date. Strict: an undated one fails the job instead."""
+    """Versions of a known place with a usable date. Strict: an undated one fails the job instead."""
     if strict:
         bad = F.concat(F.lit("version without a date: "), F.col("entry_id").cast("string"))
         checked = F.when(F.col("version_ts").isNull(), F.raise_error(bad)).otherwise(
             F.col("version_ts")
         )
         return versions.withColumn("version_ts", checked)
-    return versions.filter(F.col("version_ts").isNotNull())
+    return versions.filter(F.col("version_ts").isNotNull() & F.col(PLACE).isNotNull())
 
 
 def ordered_versions(versions: DataFrame) -> DataFrame:
@@ -107,31 +107,24 @@ def first_with(
             F.col("_first").isNotNull().alias("found"),
             *(F.col(f"_first.{c}").alias(c) for c in names),
         )
-    keyed = lookup(
-        dated.select(PLACE, *names),
-        firsts.select(PLACE, F.struct(*(F.col(f"_first.{c}") for c in ORDER)).alias("_at"),
-                      F.col("_first").isNotNull().alias("_found")),
-        [PLACE],
-    )
+    keyed = lookup(dated.select(PLACE, *ORDER, _fields(before_first).alias("_fields")), firsts, [PLACE])
+    first_at = F.struct(*(F.col(f"_first.{c}") for c in ORDER))
     # Every version before the first hit is a miss, so the latest of them is the one before it.
-    earlier = ~F.col("_found") | (version_order() < F.col("_at"))
-    priors = keyed.groupBy(PLACE).agg(
-        F.max_by(_fields(before_first), F.when(earlier, version_order())).alias("_prior")
+    earlier = F.col("_first").isNull() | (version_order() < first_at)
+    joined = keyed.groupBy(PLACE).agg(
+        F.first("_first").alias("_first"),
+        F.max_by("_fields", F.when(earlier, version_order())).alias("_prior"),
     )
-    joined = firsts.join(priors, PLACE)
     prior = F.col("_prior")
     if fallback_to_self:
         prior = F.coalesce(prior, F.struct(*(F.col(f"_first.{c}") for c in before_first)))
-    return (
-        joined.withColumn("_prior", prior)
-        .select(
-            PLACE,
-            F.col("_first").isNotNull().alias("found"),
-            F.col("_first.version_ts").alias("version_ts"),
-            F.col("_first.entry_id").alias("entry_id"),
-            *(F.col(f"_first.{c}").alias(c) for c in at_first if c not in ORDER),
-            *(F.col(f"_prior.{c}").alias(f"prior_{c}") for c in before_first),
-        )
+    return joined.withColumn("_prior", prior).select(
+        PLACE,
+        F.col("_first").isNotNull().alias("found"),
+        F.col("_first.version_ts").alias("version_ts"),
+        F.col("_first.entry_id").alias("entry_id"),
+        *(F.col(f"_first.{c}").alias(c) for c in at_first if c not in ORDER),
+        *(F.col(f"_prior.{c}").alias(f"prior_{c}") for c in before_first),
     )
 
 
@@ -181,10 +174,12 @@ def first_change(versions: DataFrame, threshold: Column, tracked: Sequence[str])
         )
     )
     held = F.col("_change").isNull() | (version_order() < F.col("_change"))
-    last_held = lookup(since.drop("_state"), changes.select(PLACE, "_change"), [PLACE]).groupBy(
-        PLACE
-    ).agg(F.max(F.when(held, version_order())).alias("_last"))
-    return last_held.join(changes, PLACE).select(
+    last_held = lookup(since.drop("_state"), changes, [PLACE]).groupBy(PLACE).agg(
+        F.max(F.when(held, version_order())).alias("_last"),
+        F.first("_change").alias("_change"),
+        F.first("_base").alias("_base"),
+    )
+    return last_held.select(
         PLACE,
         F.col("_last.version_ts").alias("version_ts"),
         F.col("_last.entry_id").alias("entry_id"),
