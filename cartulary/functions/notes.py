@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartulary.functions.markup import let
 from cartulary.functions.text import longest_string, squeeze
 
 
@@ -14,16 +15,21 @@ def json_notes(text: Column, shown: Column | None = None, strings: Column | None
     Text that does not parse is tried again without trailing commas. A missing, blank or
     non-string note falls back to ``shown`` and then to the longest of ``strings``.
     """
-    block = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    mended = F.regexp_replace(block, r",(\s*[}\]])", "$1")
-    parsed = F.coalesce(F.try_parse_json(block), F.try_parse_json(mended))
-    raw = F.try_variant_get(parsed, "$.notes", "string")
-    is_text = F.schema_of_variant(F.try_variant_get(parsed, "$.notes", "variant")) == "STRING"
     filled = lambda c: F.nullif(squeeze(c), F.lit(""))
-    sources = [filled(F.when(is_text, raw))]
+    unquoted = lambda c: F.regexp_replace(F.trim(c), '^"+|"+$', "")
+    sources = [filled(let(F.regexp_extract(text, r"(?s)\{.*\}", 0), _note_of_block))]
     if shown is not None:
-        sources.append(filled(F.regexp_replace(F.trim(shown), '^"+|"+$', "")))
+        sources.append(filled(unquoted(shown)))
     if strings is not None:
-        bare = F.transform(strings, lambda s: F.regexp_replace(F.trim(s), '^"+|"+$', ""))
-        sources.append(filled(longest_string(bare)))
+        sources.append(filled(longest_string(F.transform(strings, unquoted))))
     return F.coalesce(*sources, F.lit(""))
+
+
+def _note_of_block(block: Column) -> Column:
+    mended = F.regexp_replace(block, r",(\s*[}\]])", "$1")
+    parsed = F.coalesce(F.try_parse_json(block), F.try_parse_json(mended))
+    note = F.try_variant_get(parsed, "$.notes", "variant")
+    return let(
+        note,
+        lambda n: F.when(F.schema_of_variant(n) == "STRING", F.try_variant_get(n, "$", "string")),
+    )

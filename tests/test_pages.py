@@ -61,9 +61,14 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("html,make,want", CASES)
-def test_fields(spark, html, make, want):
-    assert field(spark, html, make) == want
+def test_fields(spark):
+    """All cases in one job: every page is read by every expression."""
+    df = pg.readable(
+        spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "page_id int, html string")
+    )
+    made = [c[1](F.col("html"), F.col("cells"), F.col("rows")).alias(f"x{i}") for i, c in enumerate(CASES)]
+    rows = {r["page_id"]: r for r in df.select("page_id", *made).collect()}
+    assert [rows[i][f"x{i}"] for i in range(len(CASES))] == [c[2] for c in CASES]
 
 
 def test_corrections(spark):
@@ -80,18 +85,18 @@ def test_corrections(spark):
     assert tuple(empty) == ("", "", "", "")
 
 
-def blocks_of(spark, html):
-    rows = bl.extract_blocks(one_page(spark, html)).orderBy("block_no", "sub").collect()
-    out = []
-    for r in rows:
-        if r["type"] == "heading":
-            out.append(("heading", r["level"], r["text"]))
-        elif r["type"] == "list":
-            out.append(("list", r["ordered"], r["items"]))
-        elif r["type"] == "image":
-            out.append(("image", r["src"], r["alt"]))
-        else:
-            out.append(("paragraph", r["text"]))
+def blocks_of(spark, pages):
+    """Blocks of many pages, each as a short tuple."""
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string")
+    out = [[] for _ in pages]
+    for r in bl.extract_blocks(df).orderBy("page_id", "block_no", "sub").collect():
+        shown = {
+            "heading": ("heading", r["level"], r["text"]),
+            "list": ("list", r["ordered"], r["items"]),
+            "image": ("image", r["src"], r["alt"]),
+            "paragraph": ("paragraph", r["text"]),
+        }
+        out[r["page_id"]].append(shown[r["type"]])
     return out
 
 
@@ -124,9 +129,8 @@ EXAMPLES = [
 ]
 
 
-@pytest.mark.parametrize("html,want", EXAMPLES)
-def test_blocks(spark, html, want):
-    assert blocks_of(spark, html) == want
+def test_blocks(spark):
+    assert blocks_of(spark, [html for html, _ in EXAMPLES]) == [want for _, want in EXAMPLES]
 
 
 def generated(rng):
@@ -162,17 +166,7 @@ def generated(rng):
 def test_generated_pages(spark):
     rng = random.Random(11)
     made = [generated(rng) for _ in range(80)]
-    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(made)], "page_id bigint, html string")
-    got = {i: [] for i in range(len(made))}
-    for r in bl.extract_blocks(df).orderBy("page_id", "block_no", "sub").collect():
-        shown = {
-            "heading": ("heading", r["level"], r["text"]),
-            "list": ("list", r["ordered"], r["items"]),
-            "image": ("image", r["src"], r["alt"]),
-            "paragraph": ("paragraph", r["text"]),
-        }
-        got[r["page_id"]].append(shown[r["type"]])
-    assert [got[i] for i in range(len(made))] == [w for _, w in made]
+    assert blocks_of(spark, [html for html, _ in made]) == [want for _, want in made]
 
 
 def plan(spark, html):

@@ -47,9 +47,14 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("make,cell,want", CASES, ids=lambda x: getattr(x, "__name__", None))
-def test_one_cell(spark, make, cell, want):
-    assert value(spark, make, cell) == want
+def test_cells(spark):
+    """All cases in one job."""
+    df = spark.createDataFrame(
+        [[cell for _, cell, _ in CASES]], ", ".join(f"c{i} string" for i in range(len(CASES)))
+    )
+    row = df.select(*(make(F.col(f"c{i}")).alias(f"x{i}") for i, (make, _, _) in enumerate(CASES))).first()
+    wrong = [(make.__name__, cell, got, want) for (make, cell, want), got in zip(CASES, row) if got != want]
+    assert not wrong
 
 
 def test_header_tokens(spark):
@@ -89,25 +94,28 @@ def test_url_prefer(spark):
     assert value(spark, urls.url_prefer, "None", "b") == "None"
 
 
-@pytest.mark.parametrize(
-    "make,cell,want",
-    [
-        (times.parse_version_ts, "2025-06-01 01:23 PM CDT", "2025-06-01 13:23:00"),
-        (times.parse_version_ts, "nonsense here", None),
-        (times.parse_edit_ts, "Jun 3, 2025 01:05 PM UTC", "2025-06-03 13:05:00"),
-        (times.parse_edit_ts, "2025-06-03  07:05", "2025-06-03 07:05:00"),
-        (times.parse_edit_ts, "2025-06-03 01:05 PM", "2025-06-03 01:05:00"),
-        (times.parse_edit_ts, "2025-06-03", "2025-06-03 00:00:00"),
-        (times.parse_edit_ts, "", None),
-        (times.parse_closure_date, "7/4/2025", "2025-07-04 00:00:00"),
-        (times.parse_closure_date, "7/4/2025 03:10 PM", "2025-07-04 15:10:00"),
-        (times.parse_closure_date, "Jul 4, 2025", "2025-07-04 00:00:00"),
-        (times.parse_closure_date, "soon", None),
-    ],
-)
-def test_dates(spark, make, cell, want):
-    got = value(spark, make, cell)
-    assert (str(got) if got else None) == want
+DATES = [
+    (times.parse_version_ts, "2025-06-01 01:23 PM CDT", "2025-06-01 13:23:00"),
+    (times.parse_version_ts, "nonsense here", None),
+    (times.parse_edit_ts, "Jun 3, 2025 01:05 PM UTC", "2025-06-03 13:05:00"),
+    (times.parse_edit_ts, "2025-06-03  07:05", "2025-06-03 07:05:00"),
+    (times.parse_edit_ts, "2025-06-03 01:05 PM", "2025-06-03 01:05:00"),
+    (times.parse_edit_ts, "2025-06-03", "2025-06-03 00:00:00"),
+    (times.parse_edit_ts, "", None),
+    (times.parse_closure_date, "7/4/2025", "2025-07-04 00:00:00"),
+    (times.parse_closure_date, "7/4/2025 03:10 PM", "2025-07-04 15:10:00"),
+    (times.parse_closure_date, "Jul 4, 2025", "2025-07-04 00:00:00"),
+    (times.parse_closure_date, "soon", None),
+]
+
+
+def test_dates(spark):
+    df = spark.createDataFrame(
+        [[cell for _, cell, _ in DATES]], ", ".join(f"c{i} string" for i in range(len(DATES)))
+    )
+    row = df.select(*(make(F.col(f"c{i}")).alias(f"x{i}") for i, (make, _, _) in enumerate(DATES))).first()
+    got = [str(x) if x else None for x in row]
+    assert got == [want for _, _, want in DATES]
 
 
 def test_date_texts(spark):
