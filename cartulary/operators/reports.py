@@ -21,6 +21,8 @@ from cartulary.functions.text import clean_list, fill_blank
 FLAGS = ["aggregate", "root_only", "separate_nodes", "average", "duplicate", "clean"]
 DEFAULT_DELIMITER = "|"
 MAX_CONFIG_ROWS = 5_000
+# Up to here every value of a column is tested on its own, which compiles well.
+MANY_VALUES = 16
 REPORT_COLUMNS = ["section_no", "entry_no", "section", "kind", "label", "pct", "n", "text"]
 
 
@@ -107,6 +109,7 @@ class _Plan:
     averages: list  # (section_no, column)
     single: list  # (section_no, entry_no, replaces, label expression)
     nodes: list  # (section_no, entry_no, replaces, array-of-labels expression)
+    wanted: list  # (section_no, entry_no, label) of long value lists, zero counts kept
     kinds: dict  # section_no -> (title, kind)
 
     @property
@@ -119,7 +122,7 @@ def _labelled(label: Column) -> Column:
 
 
 def _plan(asks: Sequence[Ask], cells: dict[str, Column]) -> _Plan:
-    plan = _Plan([], [], [], [], {})
+    plan = _Plan([], [], [], [], [], {})
     by_column: dict[str, list[Ask]] = {}
     for ask in asks:
         by_column.setdefault(ask.column, []).append(ask)
@@ -135,6 +138,9 @@ def _plan(asks: Sequence[Ask], cells: dict[str, Column]) -> _Plan:
             continue
         plan.kinds[no] = (column.upper(), "Count")
         wanted = [e for e in entries if e.value]
+        if len({e.value for e in wanted}) > MANY_VALUES and all(map(_is_plain_node, wanted)):
+            _plan_many(plan, no, cell, wanted)
+            continue
         if wanted:
             # A value asked for twice keeps its first place and its last answer.
             place: dict[str, int] = {}
@@ -164,6 +170,33 @@ def _plan(asks: Sequence[Ask], cells: dict[str, Column]) -> _Plan:
     return plan
 
 
+def _is_plain_node(ask: Ask) -> bool:
+    """Whether the value can only match one whole trimmed node."""
+    return ask.value == ask.value.strip() and ask.delimiter not in ask.value
+
+
+def _plan_many(plan: _Plan, no: int, cell: Column, wanted: Sequence[Ask]) -> None:
+    """A long list of values: look the nodes of a cell up in the list instead of testing each."""
+    place: dict[str, int] = {}
+    last: dict[str, Ask] = {}
+    for e in wanted:
+        place.setdefault(e.value, len(place) + 1)
+        last[e.value] = e
+    plan.wanted += [(no, place[v], v) for v in place]
+    alike: dict[tuple, list[str]] = {}
+    for value, e in last.items():
+        alike.setdefault((e.delimiter, e.root_only and not e.separate_nodes, e.separate_nodes), []).append(value)
+    for (delimiter, root_only, each), values in alike.items():
+        listed = F.array(*map(F.lit, values))
+        nodes = nodes_of(root_of(cell, delimiter) if root_only else cell, delimiter)
+        if each:
+            nodes = F.transform(nodes, clean_list)
+            labels = F.filter(nodes, lambda x: F.array_contains(listed, x))
+        else:
+            labels = F.array_intersect(nodes, listed)
+        plan.nodes.append((no, 0, False, labels))
+
+
 def _value_count(cell: Column, ask: Ask) -> Column:
     if ask.separate_nodes:
         nodes = F.transform(nodes_of(cell, ask.delimiter), clean_list)
@@ -245,11 +278,26 @@ def _found_counts(report: DataFrame, plan: _Plan) -> DataFrame:
     )
 
 
-def _merge_entries(found: DataFrame) -> DataFrame:
+def _zero_counts(found: DataFrame, plan: _Plan) -> DataFrame:
+    """A zero for every value of a long list: keeps those that never occur, and their order."""
+    zeros = F.array(
+        *(
+            F.struct(
+                F.lit(no).alias("section_no"), F.lit(entry).alias("entry_no"),
+                F.lit(False).alias("replaces"), F.lit(label).alias("label"),
+                F.lit(0).cast("bigint").alias("n"),
+            )
+            for no, entry, label in plan.wanted
+        )
+    )
+    return found.sparkSession.range(1).select(F.inline(zeros))
+
+
+def _merge_entries(found: DataFrame, listed: set[int]) -> DataFrame:
     """One count per label from the counts of several config rows.
 
-    They act in order: a distribution of values replaces, the others add. A label has at most one
-    count per config row.
+    They act in order: a distribution of values replaces, the others add. A label has at most a
+    few counts per config row. Labels of the ``listed`` sections keep the place they were given.
     """
     parts = F.sort_array(F.collect_list(F.struct("entry_no", "replaces", "n")))
     n = F.reduce(
@@ -257,8 +305,11 @@ def _merge_entries(found: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint"),
         lambda acc, p: F.when(p["replaces"], p["n"]).otherwise(acc + p["n"]),
     )
-    gathered = found.groupBy("section_no", "label").agg(parts.alias("parts"))
-    return gathered.select("section_no", "label", n.alias("n"))
+    gathered = found.groupBy("section_no", "label").agg(
+        parts.alias("parts"), F.max("entry_no").alias("entry_no")
+    )
+    place = F.when(F.col("section_no").isin(*listed), F.col("entry_no")).otherwise(0) if listed else F.lit(0)
+    return gathered.select("section_no", place.alias("entry_no"), "label", n.alias("n"))
 
 
 def build_report(report: DataFrame, config: DataFrame | Sequence[Ask]) -> DataFrame:
@@ -292,26 +343,28 @@ def build_report(report: DataFrame, config: DataFrame | Sequence[Ask]) -> DataFr
     found = _found_counts(table, plan)
     open_sections = [no for no, *_ in plan.found]
     blanks_beside = [no for no, *_ in plan.known if no in open_sections]
-    alone = known.filter(
-        ~F.col("section_no").isin(open_sections) | (F.col("kind") != "Count")
-    ) if blanks_beside else known
-    if blanks_beside or len(set(open_sections)) < len(open_sections):
-        if blanks_beside:
-            # Blank counts asked for next to a distribution add to its label None.
-            beside = known.filter(F.col("section_no").isin(open_sections) & (F.col("kind") == "Count"))
-            found = found.unionByName(
-                beside.select("section_no", "entry_no", F.lit(False).alias("replaces"), "label", "n")
-            )
-        merged = _merge_entries(found)
+    alone = known
+    if blanks_beside:
+        # Blank counts asked for next to a distribution add to its label None.
+        is_beside = F.col("section_no").isin(open_sections) & (F.col("kind") == "Count")
+        beside = known.filter(is_beside)
+        found = found.unionByName(
+            beside.select("section_no", "entry_no", F.lit(False).alias("replaces"), "label", "n")
+        )
+        alone = known.filter(~is_beside)
+    if plan.wanted:
+        found = found.unionByName(_zero_counts(found, plan))
+    if plan.wanted or blanks_beside or len(set(open_sections)) < len(open_sections):
+        merged = _merge_entries(found, {no for no, *_ in plan.wanted})
     else:
-        merged = found.select("section_no", "label", "n")
+        merged = found.select("section_no", F.lit(0).alias("entry_no"), "label", "n")
     titles = F.create_map(*(F.lit(x) for no in plan.kinds for x in (no, plan.kinds[no][0])))
     kinds = F.create_map(*(F.lit(x) for no in plan.kinds for x in (no, plan.kinds[no][1])))
     rows = table.agg(F.count(F.lit(1)).alias("rows"))
     labelled = (
         merged.select(
             "section_no",
-            F.lit(0).alias("entry_no"),
+            "entry_no",
             F.element_at(titles, F.col("section_no")).alias("section"),
             F.element_at(kinds, F.col("section_no")).alias("kind"),
             "label",

@@ -126,6 +126,24 @@ def rpt_value_count(spark, sf):
     return section(spark, sf, *asks)
 
 
+MANY = [
+    "small", "large", "red", "blue", "green", "ring", "widget", "gear", "bolt", "nut", "steel", "brass",
+    "copper", "tin", "cog", "pin", "rod", "cap", "x1", "x2",
+]
+
+
+@query(
+    "rpt_value_list",
+    SHEET
+    + f"""SELECT CAST(w.no + 1 AS INTEGER) AS entry_no, w.label, count(*) FILTER (WHERE tag1 = w.label OR tag2 = w.label) AS n
+          FROM s, (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(MANY))}) AS w(no, label) GROUP BY 1, 2""",
+)
+def rpt_value_list(spark, sf):
+    """A list of values too long to test one by one."""
+    built = rp.build_report(sheet(spark, sf), [ask("tags", value=x) for x in MANY])
+    return built.filter("section_no > 0").select("entry_no", "label", "n")
+
+
 @query(
     "rpt_root_only",
     counted(

@@ -33,12 +33,12 @@ def write_partitioned(
 ) -> None:
     """Parquet under one folder per value of ``by``.
 
-    Rows stay in the tasks they are in: a shuffle on the few partition values would put a hot
-    month into one task. ``rows_per_file`` bounds the files instead.
+    Rows of one folder are brought together so that it does not get a file from every task. The
+    rebalance lets adaptive execution cut a hot month into several tasks of even size.
     """
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(
-        path
-    )
+    df.hint("rebalance", *by).write.mode("overwrite").option(
+        "maxRecordsPerFile", rows_per_file
+    ).partitionBy(*by).parquet(path)
 
 
 def archive_path(df: DataFrame, root: str, day: Column | None = None) -> str:

@@ -126,3 +126,16 @@ def test_fixed_reports(spark):
     ]
     rows = rp.side_by_side(df, [("a", ["Yes", "No"]), ("b", ["odd"])]).collect()
     assert [(r["label_0"], r["n_0"], r["label_1"], r["n_1"]) for r in rows] == [("Yes", 2, "odd", 1), ("No", 0, "", None)]
+
+
+@pytest.mark.parametrize("flags", [{}, {"root_only": "yes"}, {"separate_nodes": "yes"}, {"delimiter": ";"}])
+def test_long_value_lists_count_alike(spark, monkeypatch, flags):
+    rows = [(str(i), x, "", "") for i, x in enumerate(["a | B", " b", "", None, "c;a", "a|a | d", "b | c;b "])]
+    config = [{"column": "tags", "value": v, **flags} for v in ("b", "A", "zz", "c", "d", "a")]
+    config[-1] = {"column": "tags", "value": "a", "root_only": "yes"}
+    answers = []
+    for limit in (100, 2):
+        monkeypatch.setattr(rp, "MANY_VALUES", limit)
+        got = report(spark, *config, rows=rows).filter("section_no > 0").collect()
+        answers.append(sorted((r["entry_no"], r["label"], r["pct"], r["n"]) for r in got))
+    assert answers[0] == answers[1] and len(answers[0]) == 5
