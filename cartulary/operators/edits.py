@@ -62,7 +62,7 @@ def nearest_edit(
 
     t = targets.withColumn("_day", F.to_date(target_ts))
     t = lookup(t, around, [PLACE, "_day"])
-    t = lookup(t, newest, [PLACE])
+    t = lookup(t, newest, [PLACE], weigh=targets)
     goal = _micros(F.col(target_ts))
     to_before = goal - _micros(F.col("_before.edit_ts"))
     to_after = _micros(F.col("_after.edit_ts")) - goal

@@ -41,17 +41,23 @@ def _parts(hot: dict[int, int], keys: Sequence[str]) -> Column:
 
 
 def lookup(
-    rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left"
+    rows: DataFrame,
+    facts: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    weigh: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``facts``, which has one row per key.
 
     Rows of a hot key are spread over several tasks by a salt made from the whole row, and the
     fact of that key is repeated once per salt: a bounded number of extra rows. Without hot keys
     it is a plain join. The salt depends on the row alone, so a recomputed task cuts alike.
+    ``weigh`` is a table with the same keys to look for hot ones in, for rows that are themselves
+    the outcome of a long plan.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup keeps rows: left or inner only")
-    hot = hot_keys(rows, keys)
+    hot = hot_keys(rows if weigh is None else weigh, keys)
     if not hot:
         return rows.join(facts, list(keys), how)
     parts = _parts(hot, keys)

@@ -18,8 +18,8 @@ def with_constant(df: DataFrame, name: str, value: object) -> DataFrame:
 
 def filter_date_range(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
     """Both ends included. Plain comparisons, so they reach a Parquet scan."""
-    return df.filter(F.col(column).between(F.lit(first).cast(df.schema[column].dataType),
-                                           F.lit(last).cast(df.schema[column].dataType)))
+    kind = df.schema[column].dataType
+    return df.filter(F.col(column).between(F.lit(first).cast(kind), F.lit(last).cast(kind)))
 
 
 def filter_contains(df: DataFrame, column: str, word: str) -> DataFrame:
@@ -73,8 +73,13 @@ def fixed_output(
     return found.select(*ids.columns, *(fill_blank(F.col(c)).alias(c) for c in columns))
 
 
-def join_inner(left: DataFrame, right: DataFrame, keys: Sequence[str], right_unique: bool = False) -> DataFrame:
-    """Equi-join. When the right side has one row per key, hot keys of the left are spread."""
+def join_inner(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], right_unique: bool = False
+) -> DataFrame:
+    """Equi-join. When the right side has one row per key, hot keys of the left are spread.
+
+    Otherwise adaptive execution cuts skewed partitions by their measured size.
+    """
     if right_unique:
         return lookup(left, right, keys, "inner")
     return left.join(right, list(keys), "inner")
@@ -110,7 +115,9 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(per_column)).withColumn("alert", F.col("n_null") > 0)
 
 
-def observe_nulls(df: DataFrame, columns: Sequence[str], name: str = "nulls") -> tuple[DataFrame, Observation]:
+def observe_nulls(
+    df: DataFrame, columns: Sequence[str], name: str = "nulls"
+) -> tuple[DataFrame, Observation]:
     """The same counts gathered while another job runs over the table."""
     watch = Observation(name)
     return df.observe(watch, *(F.count_if(F.col(c).isNull()).alias(c) for c in columns)), watch
