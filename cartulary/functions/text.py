@@ -36,6 +36,7 @@ HTML_ENTITIES = [
 TIME_MARKS = ["AM", "PM", "CDT", "UTC", "GMT"]
 
 BLANK = r"[\s\u00a0]"
+BLANKS = " \t\n\r\x0b\x0c\u00a0"
 
 
 def unescape_html(text: Column) -> Column:
@@ -46,7 +47,7 @@ def unescape_html(text: Column) -> Column:
 
 def strip_edges(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def squeeze(text: Column) -> Column:

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.functions.markup import live_markup
-from cartulary.functions.text import unescape_html
+from cartulary.functions.markup import TAG, live_markup
+from cartulary.functions.text import BLANKS, unescape_html
 
 PAGE = "page_id"
 HEADINGS = ["h1", "h2", "h3"]
@@ -28,29 +28,35 @@ LEADING_TEXT = r"(?is)^(\s*(?:<!doctype[^>]*>\s*|<html\b[^>]*>\s*)*)([^<\s])"
 EDGE = rf"[\s\u00a0{CUT}]*"
 
 
-def _pieces(text: Column) -> Column:
-    """Inline tags become one mark between trimmed pieces of text."""
-    text = unescape_html(F.regexp_replace(text, "<[^>]*>", CUT))
-    text = F.regexp_replace(text, rf"{EDGE}{CUT}{EDGE}", CUT)
-    return F.regexp_replace(text, rf"^{EDGE}|{EDGE}$", "")
+def _when_has(df: DataFrame, mark: str, change) -> DataFrame:
+    """Change the texts that hold the mark; most do not, and stay clear of the costly step."""
+    text = F.col("text")
+    return df.withColumn("text", F.when(text.contains(mark), change(text)).otherwise(text))
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """``(page_id, pos, tag, attrs, text)``: each block tag with the text that follows it."""
+    """``(page_id, pos, tag, attrs, text)``: each block tag with the text that follows it.
+
+    Inline tags become one mark between trimmed pieces of text.
+    """
     body = live_markup(F.col("html"), ("script", "style", "head"))
     body = F.regexp_replace(body, LEADING_TEXT, "$1<p>$2")
     cut = F.split(F.regexp_replace(body, BLOCK_TAG, f"{MARK}$1{MID}$2{END}"), MARK)
     t = pages.select(PAGE, F.posexplode(cut).alias("pos", "t"))
     tagged = F.col("t").contains(MID)
-    return t.select(
+    t = t.select(
         PAGE,
         "pos",
         F.when(tagged, F.lower(F.substring_index("t", MID, 1))).otherwise("").alias("tag"),
         F.when(tagged, F.substring_index(F.substring_index("t", END, 1), MID, -1))
         .otherwise("")
         .alias("attrs"),
-        _pieces(F.when(tagged, F.substring_index("t", END, -1)).otherwise(F.col("t"))).alias("text"),
+        F.when(tagged, F.substring_index("t", END, -1)).otherwise(F.col("t")).alias("text"),
     )
+    t = _when_has(t, "<", lambda x: F.regexp_replace(x, TAG, CUT))
+    t = _when_has(t, "&", unescape_html)
+    t = _when_has(t, CUT, lambda x: F.regexp_replace(x, rf"{EDGE}{CUT}{EDGE}", CUT))
+    return t.withColumn("text", F.trim(F.col("text"), F.lit(BLANKS + CUT)))
 
 
 def _attr(name: str) -> Column:

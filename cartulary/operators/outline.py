@@ -29,7 +29,9 @@ NUMERIC = [
 ]
 KEY_VALUE = [r"^\s*([^\-:\t]+)\s*[-:]\s*(.+?)\s*$", r"^\s*([^\t]+)\t(.+?)\s*$"]
 SHORT_LABEL = r"^[A-Za-z0-9].{0,40}$"
-LINE_BREAKS = r"\s*\n+|\s*•\s*|\s*;\s*|\s*\|\s*"
+LINE_BREAKS = r"[\n•;|]"
+# No key-value line is without one of these.
+PAIR_MARK = r"[-:\t]"
 DEFAULT_TITLE = "Deck"
 DEFAULT_GROUP = "Group 1"
 
@@ -112,13 +114,14 @@ def _group(line: Column, patterns: list[str], group: int) -> Column:
 def line_class(line: Column, source: Column) -> Column:
     """heading and image by source, else total, chart, split, number, pair, label or text:
     the first test that fits."""
+    marked = line.rlike(PAIR_MARK)
     return (
         F.when(source.isin("heading", "image"), source)
         .when((source == "paragraph") & line.rlike(TOTAL_SAMPLE), "total")
         .when(line.rlike(CHART_CHOICE), "chart")
         .when(line.rlike(SPLIT_FLAG), "split")
-        .when(line.rlike(NUMERIC[0]) | line.rlike(NUMERIC[1]), "number")
-        .when(line.rlike(KEY_VALUE[0]) | line.rlike(KEY_VALUE[1]), "pair")
+        .when(marked & (line.rlike(NUMERIC[0]) | line.rlike(NUMERIC[1])), "number")
+        .when(marked & (line.rlike(KEY_VALUE[0]) | line.rlike(KEY_VALUE[1])), "pair")
         .when(line.rlike(SHORT_LABEL), "label")
         .otherwise("text")
     )

@@ -86,21 +86,21 @@ def sec_assign(spark, sf):
 
 @query(
     "sec_pseudo_lines",
-    block_sql(NOTE_SQL) + LINE_CTES + "SELECT page_id, section_no, block_no, line_no, source, line FROM classed",
+    block_sql(NOTE_SQL) + LINE_CTES + "SELECT page_id, section_no, block_no, source, line FROM classed",
 )
 def sec_pseudo_lines(spark, sf):
     sections = ol.assign_sections(bl.extract_blocks(note_pages(spark, sf)))
-    return ol.pseudo_lines(sections).drop("sub")
+    return ol.pseudo_lines(sections).drop("sub", "line_no")
 
 
 @query(
     "sec_line_class",
-    block_sql("pages") + LINE_CTES + "SELECT page_id, section_no, block_no, line_no, class FROM classed",
+    block_sql("pages") + LINE_CTES + "SELECT page_id, section_no, block_no, class FROM classed",
 )
 def sec_line_class(spark, sf):
     lines = ol.classified_lines(ol.assign_sections(bl.extract_blocks(table(spark, sf, "pages", dealt=True))))
     texts = lines.filter("class not in ('heading', 'image')")
-    return texts.select("page_id", "section_no", "block_no", "line_no", "class")
+    return texts.select("page_id", "section_no", "block_no", "class")
 
 
 # One survey page per supplier: figures in groups, chart wishes, free text.
