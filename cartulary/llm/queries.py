@@ -2,5 +2,7 @@
 
 from cartulary.llm import (  # noqa: F401
     q_chat,
+    q_shards,
+    q_urls,
 )
 from cartulary.llm.registry import QUERIES  # noqa: F401
