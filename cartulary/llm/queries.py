@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from cartulary.llm import (  # noqa: F401
+    q_bpe,
     q_chat,
     q_shards,
     q_urls,
