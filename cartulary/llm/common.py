@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from cartulary.session import scratch_path
 
@@ -14,3 +15,29 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:8]}")
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SIEVE_BITS = 1 << 24  # of a sieve: at most 262,144 rows of 16 bytes, whatever the data
+
+
+def sieved(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """``rows`` without most of those whose key is not among the wanted; never drops one that is.
+
+    A bitmap of fixed size is broadcast, so rows with large texts need not be shuffled to find out that nobody
+    asks for them. An exact join has to follow. With far more than ten million wanted keys it lets most through.
+    """
+
+    def place(hashed: Column) -> Column:
+        return F.pmod(F.xxhash64(hashed), F.lit(SIEVE_BITS))
+
+    def bit(at: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+    words = (
+        wanted.select(place(wanted_key).alias("_at"))
+        .groupBy(F.shiftright("_at", 6).alias("_word"))
+        .agg(F.bit_or(bit(F.col("_at"))).alias("_bits"))
+    )
+    marked = rows.withColumn("_at", place(key))
+    met = marked.join(F.broadcast(words), F.shiftright("_at", 6) == F.col("_word"))
+    return met.where(F.col("_bits").bitwiseAND(bit(F.col("_at"))) != 0).select(*rows.columns)

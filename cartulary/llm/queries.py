@@ -3,6 +3,7 @@
 from cartulary.llm import (  # noqa: F401
     q_bpe,
     q_chat,
+    q_exact,
     q_fingerprints,
     q_mixing,
     q_shards,
