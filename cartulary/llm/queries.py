@@ -7,6 +7,7 @@ from cartulary.llm import (  # noqa: F401
     q_fingerprints,
     q_mixing,
     q_shards,
+    q_toxicity,
     q_urls,
 )
 from cartulary.llm.registry import QUERIES  # noqa: F401
