@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -20,11 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SHORT = 48  # bytes up to which the plain fold is quicker than the one with a heap
-MEMO_WORDS = 400_000  # distinct words a worker remembers before it starts afresh; no effect on results
-SLICE_BYTES = 16 << 20  # text worked on at once
+from cartulary.llm.shingles import slices
 
-_NONE = 1 << 40
+SHORT = 48  # bytes up to which words are folded many at a time; longer ones go one by one
+MEMO_WORDS = 300_000  # distinct words a worker remembers before it starts afresh; no effect on results
+SLICE_BYTES = 4 << 20  # text worked on at once
+
+_NONE = np.iinfo(np.int32).max
 
 
 @dataclass(frozen=True)
@@ -44,30 +47,75 @@ class Tokenizer:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         return cls(ranks, pattern)
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """Merges the neighbours of lowest rank, leftmost first, until none is in the vocabulary."""
-        whole = self.ranks.get(word)
-        if whole is not None:
-            return [whole]
-        pieces = _fold(word, self.ranks) if len(word) <= SHORT else _fold_long(word, self.ranks)
-        return [self.ranks[piece] for piece in pieces]
-
-
-def _fold(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
-    while pairs:
-        best = min(pairs)
-        if best == _NONE:
-            break
-        i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
-    return parts
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of pieces that together are a piece: sorted codes of the pair, and the rank of the whole."""
+        codes, ranks = [], []
+        for whole, rank in self.ranks.items():
+            for cut in range(1, len(whole)):
+                left, right = self.ranks.get(whole[:cut]), self.ranks.get(whole[cut:])
+                if left is not None and right is not None:
+                    codes.append(left << 32 | right)
+                    ranks.append(rank)
+        order = np.argsort(codes)
+        return np.array(codes, dtype=np.int64)[order], np.array(ranks, dtype=np.int32)[order]
+
+
+class Folder:
+    """Merges the neighbours of lowest rank, leftmost first, until no pair of a word is in the vocabulary."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.ranks = tokenizer.ranks
+        self.codes, self.merged = tokenizer.pairs()
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
+
+    def __call__(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word."""
+        out: list[list[int]] = [[]] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            rank = self.ranks.get(word)
+            if rank is not None:
+                out[i] = [rank]
+            elif len(word) > SHORT:
+                out[i] = [self.ranks[piece] for piece in _fold_long(word, self.ranks)]
+            elif word:
+                by_length.setdefault(len(word), []).append(i)
+        for length, places in by_length.items():
+            data = np.frombuffer(b"".join(words[i] for i in places), dtype=np.uint8).reshape(-1, length)
+            self._fold(self.single[data], np.array(places), out)
+        return out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.full(left.shape, _NONE, dtype=np.int32)
+        code = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.codes, code)
+        at[at == len(self.codes)] = 0
+        return np.where(self.codes[at] == code, self.merged[at], _NONE)
+
+    def _fold(self, ids: np.ndarray, places: np.ndarray, out: list[list[int]]) -> None:
+        """Words of one length, a row each; every round merges one pair of every row that has one left."""
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        while True:
+            best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(ids), dtype=np.int64)
+            lowest = np.take_along_axis(ranks, best[:, None], 1)[:, 0] if ranks.shape[1] else np.full(len(ids), _NONE)
+            live = lowest != _NONE
+            for place, done in zip(places[~live].tolist(), ids[~live].tolist(), strict=True):
+                out[place] = done
+            if not live.any():
+                return
+            ids, ranks, places, best, lowest = ids[live], ranks[live], places[live], best[live], lowest[live]
+            row, width = np.arange(len(ids)), ids.shape[1]
+            ids[row, best] = lowest  # a piece's id is its rank
+            keep = np.arange(width - 1)[None, :]
+            ids = np.take_along_axis(ids, keep + (keep > best[:, None]), 1)
+            keep = np.arange(width - 2)[None, :]
+            ranks = np.take_along_axis(ranks, keep + (keep >= best[:, None]), 1)
+            has_right, has_left = best < width - 2, best > 0
+            r, b = row[has_right], best[has_right]
+            ranks[r, b] = self._rank(ids[r, b], ids[r, b + 1])
+            r, b = row[has_left], best[has_left] - 1
+            ranks[r, b] = self._rank(ids[r, b], ids[r, b + 1])
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -97,21 +145,6 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return [word[i : end[i]] for i in range(n) if not gone[i]]
 
 
-_MEMOS: dict[int, dict[str, list[int]]] = {}
-
-
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about SLICE_BYTES, at least a row each."""
-    at, rows = 0, batch.num_rows
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes, dtype=np.int64)
-    while at < rows:
-        start = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, start + SLICE_BYTES, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Adds ``ids``, the token ids of ``text``, to each row; all other columns stay as they are.
 
@@ -126,19 +159,21 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = shared.value
         find = regex.compile(tok.pattern).findall
-        memo = _MEMOS.setdefault(hash((tok.pattern, len(tok.ranks))), {})
+        fold = Folder(tok)
+        memo: dict[str, list[int]] = {}
         for batch in batches:
-            for part in _slices(batch, place):
+            for part in slices(batch, place, SLICE_BYTES):
                 found = [find(t) if t else [] for t in part.column(place).to_pylist()]
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
-                for word in set(chain.from_iterable(found)).difference(memo):
-                    memo[word] = tok.encode_word(word.encode("utf-8"))
-                coded = [list(chain.from_iterable(map(memo.__getitem__, words))) for words in found]
-                offsets = np.zeros(len(coded) + 1, dtype=np.int32)
-                np.cumsum([len(c) for c in coded], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=int(offsets[-1]))
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                fresh = list(set(chain.from_iterable(found)).difference(memo))
+                memo.update(zip(fresh, fold([word.encode("utf-8") for word in fresh]), strict=True))
+                flat, offsets = array("i"), array("i", [0])
+                for words in found:
+                    flat.extend(chain.from_iterable(map(memo.__getitem__, words)))
+                    offsets.append(len(flat))
+                ids_ = np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, dtype=np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, dtype=np.int32)), pa.array(ids_))
                 yield pa.RecordBatch.from_arrays([*part.columns, tokens], names=[*part.schema.names, ids])
 
     return kept.mapInArrow(run, schema)
@@ -158,7 +193,11 @@ def decode(coded: DataFrame, tokenizer: Tokenizer, ids: str = "token_ids", decod
         pieces = {rank: piece for piece, rank in shared.value.ranks.items()}
         for batch in batches:
             column = batch.column(place)
-            texts = [b"".join(map(pieces.__getitem__, x.values.to_pylist())) if x.is_valid else b"" for x in column]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+            flat, start, texts = column.flatten(), 0, []
+            for end in ends.tolist():
+                texts.append(b"".join(map(pieces.__getitem__, flat.slice(start, end - start).to_numpy().tolist())))
+                start = end
             out = pa.array(texts, type=pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, decoded])
 
