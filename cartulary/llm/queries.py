@@ -6,6 +6,7 @@ from cartulary.llm import (  # noqa: F401
     q_exact,
     q_fingerprints,
     q_mixing,
+    q_near,
     q_shards,
     q_toxicity,
     q_urls,
