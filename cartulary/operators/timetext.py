@@ -8,10 +8,8 @@ holds a handful of atoms, its weekly intervals are arrays, and no step needs a s
 from __future__ import annotations
 
 import re
-import sys
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +37,6 @@ PARSED = T.StructType(
     ]
 )
 BINDS = {"+": 1, "*": 2, "-": 2}
-# The parser travels with its function, so executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 _ATOM = re.compile(r"\[\(([^)]*)\)(?:\{([^}]*)\})?\]")
 
 
