@@ -5,6 +5,7 @@ from cartulary.llm import (  # noqa: F401
     q_chat,
     q_exact,
     q_fingerprints,
+    q_lines,
     q_mixing,
     q_near,
     q_shards,
