@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,15 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def beside(docs: DataFrame, used: Sequence[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on the columns ``used``, the others carried as one struct, so that no name of theirs can clash."""
+    others = [c for c in docs.columns if c not in used]
+    carried = docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others")) if others else docs.select(*used)
+    done = work(carried)
+    added = [c for c in done.columns if c not in (*used, "_others")]
+    return done.select(*[F.col(c) if c in used else F.col("_others").getField(c).alias(c) for c in docs.columns], *added)
+
+
 SIEVE_BITS = 1 << 24  # of a sieve: at most 262,144 rows of 16 bytes, whatever the data
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import connected, sieved, written
+from cartulary.llm.common import beside, connected, sieved, written
 from cartulary.llm.shingles import WIDTH, jaccard, mix, shingle_hashes, slices
 
 BANDS, ROWS = 25, 5
@@ -203,6 +203,10 @@ def keep_one(docs: DataFrame, least: float = SIMILAR, width: int = WIDTH) -> Dat
 
     Rows that stay are not moved, save those that a sieve of the dropped ones cannot tell apart.
     """
+    return beside(docs, ["doc_id", "text"], lambda d: _one_each(d, least, width))
+
+
+def _one_each(docs: DataFrame, least: float, width: int) -> DataFrame:
     classes = written(near_classes(docs, least, width), "classes")
     change = classes.where(~F.col("keeper") | (F.col("rows") > 1))
     change = change.select(F.xxhash64("doc_id", "text_hash").alias("_at"), "keeper").groupBy("_at").agg(F.max("keeper").alias("_one"))

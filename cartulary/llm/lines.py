@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import connected, sieved, written
+from cartulary.llm.common import beside, connected, sieved, written
 
 SIMILAR = 0.9  # 1 - edits / length of the longer line
 BLOCKS, BLOCK_BITS = 5, 12
@@ -144,7 +144,10 @@ def dedup_lines(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     whose lines all go becomes empty; null texts stay null; rows equal in doc_id and text lose the same lines, so that
     repeated rows stay equal; a null doc_id comes last when the first occurrence is chosen.
     """
-    docs = docs.drop("repeated")
+    return beside(docs.drop("repeated"), ["doc_id", "text"], lambda d: _cut(d, least))
+
+
+def _cut(docs: DataFrame, least: float) -> DataFrame:
     found = written(repeated_lines(docs, least), "repeated-lines")
     keyed = docs.withColumn("_hash", _hash())
     at, found_at = F.xxhash64("doc_id", "_hash"), F.xxhash64("doc_id", "text_hash")

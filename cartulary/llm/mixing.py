@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartulary.llm.common import written
+from cartulary.llm.common import beside, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_BLOCKS = 200_000  # blocks of all sources together, besides one for each source
@@ -188,7 +188,9 @@ class Mixture:
 
         A shard lies in one partition, in the order of its local shuffle.
         """
-        base = docs.drop("mix_shard", "mix_order")
+        return beside(docs.drop("mix_shard", "mix_order"), ["doc_id", "text", "source"], self._drawn)
+
+    def _drawn(self, base: DataFrame) -> DataFrame:
         placed = self.place(base)
         rows = placed.select(*[c for c in base.columns], F.explode("placements").alias("_p"))
         drawn = rows.select(
