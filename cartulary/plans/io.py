@@ -37,14 +37,15 @@ def src_csv(spark, sf):
 @query(
     "src_csv_schema_check",
     """WITH r AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE event_type = 'view') AS n_misfits FROM events)
-       SELECT 'id' AS "column", 'int' AS type, n_rows, n_misfits, n_rows AS n_filled FROM r
-       UNION ALL SELECT 'name', 'string', n_rows, n_misfits, n_rows FROM r
-       UNION ALL SELECT 'age', 'int', n_rows, n_misfits, n_rows - n_misfits FROM r""",
+       SELECT 'id' AS "column", 'int' AS type, n_rows, n_misfits, n_rows AS n_filled, 2 AS found_at, false AS in_place FROM r
+       UNION ALL SELECT 'name', 'string', n_rows, n_misfits, n_rows, 3, false FROM r
+       UNION ALL SELECT 'age', 'int', n_rows, n_misfits, n_rows - n_misfits, 1, false FROM r
+       UNION ALL SELECT 'note', 'unexpected', n_rows, n_misfits, NULL, 4, false FROM r""",
 )
 def src_csv_schema_check(spark, sf):
     age = F.when(F.col("event_type") == "view", "old").otherwise(F.col("user_id").cast("string"))
     people = table(spark, sf, "events").select(
-        F.col("event_id").alias("id"), F.col("event_type").alias("name"), age.alias("age")
+        age.alias("age"), F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.lit("x").alias("note")
     )
     path = scratch_path(spark, "people")
     sink.write_csv(people, path)
@@ -54,9 +55,9 @@ def src_csv_schema_check(spark, sf):
 @query("src_newest_file", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
 def src_newest_file(spark, sf):
     folder = scratch_path(spark, "inbox")
-    for name, part in (("region", ""), ("nation", "/later")):
+    for name, part in (("region", ""), ("nation", ""), ("customer", "/below")):  # folders below do not count
         df = table(spark, sf, name)
-        df.select(*df.columns[:2]).coalesce(1).write.option("header", True).csv(folder + "/drop" + part)
+        df.select(*df.columns[:2]).coalesce(1).write.mode("append").option("header", True).csv(folder + part)
     return source.read_newest_csv(spark, folder, exclude=["report_config.csv"])
 
 
