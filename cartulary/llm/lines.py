@@ -9,8 +9,8 @@
 4. Pairs are checked by edit similarity; connected lines are one group.
 5. The first occurrence of a group (smallest doc_id, then line number) stays, all others go.
 
-Column work only. Texts are shuffled once, as distinct lines; after that only lines with a candidate and documents
-with a repeated line move.
+Column work only. Lines are normalised once and written. Texts are shuffled once, as distinct lines; after that only
+lines with a candidate and documents with a repeated line move.
 """
 
 from __future__ import annotations
@@ -30,13 +30,18 @@ MOST_WEIGHT = 12
 
 def normalised(line: Column) -> Column:
     """Lower case, with runs of white space and ASCII punctuation as one blank."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s\p{Punct}]+", " "))
+    # A blank alone between words is left as it is, which spares most of the matches.
+    runs = r"[\s\p{Punct}&&[^ ]][\s\p{Punct}]*| [\s\p{Punct}]+"
+    return F.trim(F.regexp_replace(F.lower(line), runs, " "))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, id, norm) for each line that says something."""
-    each = docs.select("doc_id", _hash().alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
-    normal = each.select("doc_id", "text_hash", "line", normalised(F.col("said")).alias("norm")).where("norm <> ''")
+    """(doc_id, text_hash, line, id, norm) for each line that says something; lines are equal if their ids are."""
+    hashed = docs.select("doc_id", "text", _hash().alias("text_hash"))  # once a document, not once a line
+    each = hashed.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"))
+    # The test looks at the line as it is: on ``norm`` it would work that out twice.
+    spoken = each.where(F.col("said").rlike(r"[^\s\p{Punct}]"))
+    normal = spoken.select("doc_id", "text_hash", "line", normalised(F.col("said")).alias("norm"))
     return normal.select("doc_id", "text_hash", "line", F.xxhash64("norm").alias("id"), "norm")
 
 
@@ -44,11 +49,11 @@ def _hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def with_simhash(lines: DataFrame) -> DataFrame:
-    """Adds ``sim`` to distinct lines (id, norm, n), each row by itself and within the same shuffle."""
-    words = lines.select(*lines.columns, F.explode(F.array_distinct(F.split("norm", " "))).alias("_w"))
+def simhashes(lines: DataFrame) -> DataFrame:
+    """(id, sim) of distinct lines (id, norm); words carry the id alone, so that a long line is not copied for each."""
+    words = lines.select("id", F.explode(F.array_distinct(F.split("norm", " "))).alias("_w"))
     hashed = words.select(
-        *lines.columns, F.xxhash64("_w").alias("_h"), F.least(F.length("_w"), F.lit(MOST_WEIGHT)).cast("long").alias("_v")
+        "id", F.xxhash64("_w").alias("_h"), F.least(F.length("_w"), F.lit(MOST_WEIGHT)).cast("long").alias("_v")
     )
     votes = []
     for lane in range(BITS // 3):
@@ -57,12 +62,12 @@ def with_simhash(lines: DataFrame) -> DataFrame:
         for i in (1, 2):
             spread = spread.bitwiseOR(F.shiftleft(F.shiftright(three, i).bitwiseAND(F.expr("1L")), LANE * i))
         votes.append(F.sum(F.col("_v") * spread).alias(f"_s{lane}"))
-    added = hashed.groupBy(*lines.columns).agg(F.sum("_v").alias("_all"), *votes)
+    added = hashed.groupBy("id").agg(F.sum("_v").alias("_all"), *votes)
     sim = F.expr("0L")
     for bit in range(BITS):
         count = F.shiftright(f"_s{bit // 3}", LANE * (bit % 3)).bitwiseAND(F.lit((1 << LANE) - 1))
         sim = sim + F.when(count * 2 > F.col("_all"), F.lit(1 << bit)).otherwise(F.expr("0L"))
-    return added.select(*lines.columns, sim.alias("sim"))
+    return added.select("id", sim.alias("sim"))
 
 
 def _buckets(sims: DataFrame) -> DataFrame:
@@ -94,25 +99,50 @@ def candidate_pairs(table: DataFrame) -> DataFrame:
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _alike(a: Column, b: Column, least: float) -> Column:
-    longer = F.greatest(F.length(a), F.length(b))
-    most = F.floor(longer * (1 - least) + 1e-9).cast("int")
-    close = (longer - F.least(F.length(a), F.length(b))) <= most
-    # The bounded distance is -1 beyond its bound, which has to be a constant; so bound by length classes.
-    return close & (F.levenshtein(a, b) <= most)
+def _same_ahead(a: Column, b: Column) -> Column:
+    """With how many equal entries two arrays begin."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(a)).cast("int")
 
 
-def line_groups(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(id, class) of the distinct lines of ``docs(doc_id, text)`` that occur more than once or have a near line."""
-    lines = _lines(docs)
-    distinct = lines.groupBy("id", "norm").agg(F.count(F.lit(1)).alias("n"))
-    table = written(with_simhash(distinct), "lines", "zstd")
-    pairs = written(candidate_pairs(table.select("id", "sim")), "candidates")
+def alike(pairs: DataFrame, least: float) -> DataFrame:
+    """The rows of ``pairs(na, nb, ...)`` whose texts have an edit similarity of ``least``.
+
+    Words that both begin or end with do not change the edit distance and are left out. If as many words are left
+    on both sides, the distances of word to word bound it from above; where that says yes, the long one is not asked.
+    """
+    a, b = F.col("na"), F.col("nb")
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    bounded = pairs.withColumn("_most", F.floor(longer * (1 - least) + 1e-9).cast("int")).where(longer - shorter <= F.col("_most"))
+    split = bounded.withColumn("_wa", F.split(a, " ")).withColumn("_wb", F.split(b, " "))
+    ahead = split.withColumn("_ahead", _same_ahead(F.col("_wa"), F.col("_wb")))
+    left = F.least(F.size("_wa"), F.size("_wb")) - F.col("_ahead")
+    ends = ahead.withColumn("_behind", F.least(left, _same_ahead(F.reverse("_wa"), F.reverse("_wb"))))
+    middle = [F.slice(w, F.col("_ahead") + 1, F.size(w) - F.col("_ahead") - F.col("_behind")) for w in ("_wa", "_wb")]
+    cut = ends.withColumn("_ma", middle[0]).withColumn("_mb", middle[1])
+
+    def apart(x: Column, y: Column) -> Column:
+        return F.when(x == y, 0).otherwise(F.levenshtein(x, y))
+
+    def text(words: str) -> Column:
+        return F.array_join(F.transform(words, lambda w: F.concat(w, F.lit(" "))), "")
+
+    word_by_word = F.aggregate(F.zip_with("_ma", "_mb", apart), F.lit(0), lambda n, x: n + x)
+    aligned = (F.size("_ma") == F.size("_mb")) & (word_by_word <= F.col("_most"))
+    within = F.call_function("levenshtein", text("_ma"), text("_mb"), F.col("_most")) >= 0  # -1 beyond the bound
+    return cut.where(F.when(aligned, True).otherwise(within)).select(*pairs.columns)
+
+
+def line_groups(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(id, class) of the distinct lines of ``lines(id, norm)`` that occur more than once or have a near line."""
+    table = written(lines.groupBy("id").agg(F.min("norm").alias("norm"), F.count(F.lit(1)).alias("n")), "lines", "zstd")
+    sims = written(simhashes(table), "line-simhashes")
+    pairs = written(candidate_pairs(sims), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = written(sieved(table.select("id", "norm"), F.col("id"), asked, F.col("id")).join(asked, "id", "left_semi"), "texts", "zstd")
     left = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
     right = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
-    edges = pairs.join(left, "a").join(right, "b").where(_alike(F.col("na"), F.col("nb"), least)).select("a", "b")
+    edges = alike(pairs.join(left, "a").join(right, "b"), least).select("a", "b")
     labels = connected(edges).select(F.col("node").alias("id"), F.col("label").alias("class"))
     repeated = table.where("n > 1").select("id", F.col("id").alias("class"))
     return written(labels.unionByName(repeated).groupBy("id").agg(F.min("class").alias("class")), "line-groups")
@@ -123,8 +153,9 @@ def repeated_lines(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
 
     ``repeated`` is an array of (line, class, kept), by line number from 0.
     """
-    groups = line_groups(docs, least)
-    rows = sieved(_lines(docs).drop("norm"), F.col("id"), groups, F.col("id"))
+    lines = written(_lines(docs), "said", "zstd")
+    groups = line_groups(lines.select("id", "norm"), least)
+    rows = sieved(lines.drop("norm"), F.col("id"), groups, F.col("id"))
     found = written(rows.join(groups, "id").select("doc_id", "text_hash", "line", "class"), "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
     firsts = found.groupBy("class").agg(F.min(place).alias("first"))

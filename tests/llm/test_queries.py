@@ -251,3 +251,33 @@ def test_op4_removes_every_equal_line_and_no_other_than_near_ones(spark):
     for near in members.values():
         for a in near:
             assert len(near) == 1 or any(_distance(a, b) <= (1 - SIMILAR) * max(len(a), len(b)) + 1e-9 for b in near - {a})
+
+
+def test_op4_alike_is_the_edit_similarity(spark):
+    import random
+
+    from cartulary.llm.lines import alike
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    dice = random.Random(4)
+    texts = [("a b", "a c b"), ("a a a", "a a"), ("x", "x y"), ("ab c", "a bc"), ("é 😀 z", "e 😀 z")]
+    for _ in range(150):
+        a = "".join(dice.choice("ab  c") for _ in range(dice.randint(1, 30))).split()
+        b = list(" ".join(a))
+        for _ in range(dice.randint(0, 4)):
+            b.insert(dice.randint(0, len(b)), dice.choice("abc "))
+            if dice.random() < 0.5:
+                b.pop(dice.randrange(len(b)))
+        texts.append((" ".join(a), " ".join("".join(b).split())))
+    texts = [(a, b) for a, b in texts if a and b]
+    for least in (0.9, 0.7):
+        found = alike(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)], "i long, na string, nb string"), least)
+        want = {i for i, (a, b) in enumerate(texts) if distance(a, b) <= int(max(len(a), len(b)) * (1 - least) + 1e-9)}
+        assert {r["i"] for r in found.collect()} == want
