@@ -19,11 +19,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def until_last(text: Column, end: str) -> Column:
+    """The text up to its last match of ``end``, blank without one.
+
+    What opens behind that point closes nowhere. A search that stays before it finds an end for
+    each opening, so its time does not grow with the square of the openings left open.
+    """
+    return F.regexp_extract(text, rf"(?is)\A.*{end}", 0)
+
+
+def _without(text: Column, start: str, end: str) -> Column:
+    """The text without all from each ``start`` to the next ``end``."""
+    closed = until_last(text, end)
+    return F.concat(
+        F.regexp_replace(closed, rf"(?is){start}.*?{end}", ""), F.substring(text, F.length(closed) + 1, F.lit(ALL))
+    )
+
+
 def live_markup(html: Column, drop: tuple[str, ...] = ("script", "style")) -> Column:
     """Markup without comments and without the named elements and their content."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+
+    def cut(text: Column, start: str, end: str) -> Column:
+        return let(text, lambda t: F.when(t.rlike(rf"(?i){end}"), _without(t, start, end)).otherwise(t))
+
+    text = cut(html, "<!--", "-->")
     for tag in drop:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
+        text = cut(text, rf"<{tag}\b", rf"</{tag}\s*>")
     return text
 
 

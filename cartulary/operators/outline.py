@@ -144,9 +144,23 @@ def pair_value(line: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Whole numbers without decimals, others without trailing zeros."""
-    plain = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), "0+$", "")
-    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(plain)
+    """Whole numbers without decimals, others as the shortest text of the double, never with an exponent.
+
+    The text of a double is one digit, a point, more digits and, outside 0.001 to 10,000,000, an
+    exponent; the point is moved by it. Beyond the digits of a double a whole number ends in zeros.
+    """
+    text = value.cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa = F.regexp_extract(text, r"^-?(\d+\.\d+)(?:E|$)", 1)
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0+$", "")
+    power = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    ahead = F.length(F.substring_index(mantissa, ".", 1)) + power  # digits before the point
+    moved = (
+        F.when(ahead <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -ahead), digits))
+        .when(F.length(digits) <= ahead, F.rpad(digits, ahead, "0"))
+        .otherwise(F.concat(F.left(digits, ahead), F.lit("."), F.substring(digits, ahead + 1, F.lit(400))))
+    )
+    return F.when(value == 0, "0").when(mantissa == "", text).otherwise(F.concat(sign, moved))
 
 
 def classified_lines(sections: DataFrame) -> DataFrame:

@@ -312,7 +312,8 @@ def edit_rows(pages: DataFrame, key: str = "place_id") -> DataFrame:
     )
 
 
-JSON_BLANKS = r'("[^"\\]*(?:\\.[^"\\]*)*")|\s+'
+# Possessive, so that a string with many escapes takes a loop and not the stack.
+JSON_BLANKS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|\s+'
 
 
 def minify_json(text: Column) -> Column:

@@ -8,13 +8,14 @@ holds a handful of atoms, its weekly intervals are arrays, and no step needs a s
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartulary.functions.markup import let
+from cartulary.functions.markup import ALL, let
 from cartulary.functions.text import squeeze, strip_edges
 
 # Qualifier, duration, snippet and closure patterns.
@@ -28,6 +29,9 @@ MONTHS = [
     "July", "August", "September", "October", "November", "December",
 ]
 DAY_MINUTES = 1440
+MOST_COUNTED = 999_999_999
+# Sums of as many such amounts as a text can hold still fit 38 digits.
+MOST_SAID = Decimal(10) ** 28
 
 PARSED = T.StructType(
     [
@@ -170,11 +174,24 @@ def durations(atom: Column) -> Column:
     return F.regexp_extract_all(inner, F.lit(f"({DURATION})"), F.lit(1))
 
 
+def _amounts(tokens: Column, unit: str) -> Column:
+    """Amounts of all tokens of one unit, in order and to the last digit, up to MOST_SAID."""
+    return F.transform(
+        F.filter(tokens, lambda t: F.left(t, F.lit(1)) == unit),
+        lambda t: F.least(F.coalesce(F.substring(t, 2, ALL).try_cast("decimal(38,0)"), F.lit(MOST_SAID)), F.lit(MOST_SAID)),
+    )
+
+
 def numbers(tokens: Column, unit: str) -> Column:
-    """Numbers of all tokens of one unit, in order."""
+    """Numbers of all tokens of one unit, in order, as integers.
+
+    Larger ones become MOST_COUNTED, which is past any day or week they could reach.
+    """
     return F.transform(
         F.filter(tokens, lambda t: F.left(t, F.lit(1)) == unit),
-        lambda t: F.substring(t, 2, 20).try_cast("int"),
+        lambda t: F.least(
+            F.coalesce(F.substring(t, 2, ALL).try_cast("decimal(38,0)"), F.lit(MOST_COUNTED)), F.lit(MOST_COUNTED)
+        ).cast("int"),
     )
 
 
@@ -182,8 +199,16 @@ def _first(values: Column) -> Column:
     return F.try_element_at(values, F.lit(1))
 
 
+def _minutes(values: Column, each: int) -> Column:
+    """Minutes of a list of hours or minutes; a day is as long as the sum can get."""
+    most = DAY_MINUTES // each
+    day = F.lit(DAY_MINUTES)
+    return F.reduce(values, F.lit(0), lambda a, x: F.least(a + F.least(x, F.lit(most)) * each, day))
+
+
 def _total(values: Column) -> Column:
-    return F.reduce(values, F.lit(0), lambda a, x: a + x)
+    zero = F.lit(0).cast("decimal(38,0)")
+    return F.reduce(values, zero, lambda a, x: (a + x).cast("decimal(38,0)"))
 
 
 def atom_days(quals: Column, durs: Column) -> Column:
@@ -218,7 +243,7 @@ def _token_intervals(quals: Column, durs: Column) -> Column:
     start = F.when(
         hour.isNotNull() | (minute != 0), F.coalesce(hour, F.lit(0)) * 60 + minute
     )
-    length = _total(numbers(durs, "h")) * 60 + _total(numbers(durs, "m"))
+    length = _minutes(numbers(durs, "h"), 60) + _minutes(numbers(durs, "m"), 1)
     days = F.when(start.isNotNull() & (length > 0), atom_days(quals, durs)).otherwise(
         F.array().cast("array<int>")
     )
@@ -449,7 +474,7 @@ UNITS = [("y", "year"), ("M", "month"), ("d", "day"), ("h", "hour"), ("m", "minu
 def duration_text(durs: Column) -> Column:
     parts = []
     for unit, word in UNITS:
-        n = _total(numbers(durs, unit))
+        n = _total(_amounts(durs, unit))
         parts.append(
             F.when(
                 n != 0,
@@ -464,7 +489,8 @@ def _when_text(quals: Column, durs: Column) -> Column:
     year, month, day = _ymd(quals)
     named = numbers(quals, "t")
     span = F.coalesce(_first(numbers(durs, "d")), F.lit(0))
-    last_day = (_first(named) + span - 2) % 7 + 1
+    days_run = _first(_amounts(durs, "d")) % 7
+    last_day = ((_first(named) + days_run + 5) % 7 + 1).cast("int")
     names = F.transform(named, lambda d: _name(WEEKDAYS, d))
     listed = F.when(
         F.size(names) > 1,

@@ -230,3 +230,24 @@ def test_content_before_the_title_flows_on(spark):
     assert [(r["title"], r["paragraphs"]) for r in got] == [
         ("Title", []), ("A", [long, long + " too"]), ("B", []),
     ]
+
+
+def test_number_text_keeps_every_digit(spark):
+    cases = {
+        1e-13: "0.0000000000001", 0.12345678901234: "0.12345678901234", 5.0: "5", -2.5: "-2.5", 1.5e10: "15000000000",
+        123456789.25: "123456789.25", 1e45: "1" + "0" * 45, 0.0: "0", -0.0: "0", 0.0005: "0.0005",
+    }
+    df = spark.createDataFrame([(v,) for v in cases], "v double")
+    assert {r["v"]: r["t"] for r in df.select("v", ol.number_text(F.col("v")).alias("t")).collect()} == cases
+
+
+def test_long_strings_and_open_tags_take_bounded_time(spark):
+    from cartulary.functions.markup import live_markup
+
+    escapes = '{"a" : "' + '\\"' * 20_000 + '", "b" : 1}'
+    df = spark.createDataFrame([(escapes,)], "t string")
+    assert df.select(pg.minify_json(F.col("t")).alias("t")).first()["t"] == escapes.replace(" ", "")
+    opened = "<script " * 10_000 + "<!-- " * 10_000
+    df = spark.createDataFrame([(opened,), ("a<!-- x -->b<SCRIPT>q</script >c<script>d",), (None,)], "t string")
+    got = [r["t"] for r in df.select(live_markup(F.col("t")).alias("t")).collect()]
+    assert got == [opened, "abc<script>d", None]

@@ -177,3 +177,16 @@ def test_interval_sets(spark):
         assert not [r for r in rows if (r[0], r[1], r[2]) in ends]
     overlaps = intervals.join_overlap(da, db).collect()
     assert laid([(r["key"], r["weekday"], r["start_min"], r["end_min"]) for r in overlaps]) == sa & sb
+
+
+def test_large_amounts_neither_stop_the_job_nor_lose_digits(spark):
+    cells = ["[(t2h9){h99999999}]", "[(h9){d2147483647h1}]", "[(t1h8){m" + "9" * 60 + "}]", "[(t2h9){d2147483648h1}]"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, cell string")
+    parsed = df.withColumn("p", tx.parse_expression("cell"))
+    rows = parsed.orderBy("i").select(tx.weekly_intervals(F.col("p")).alias("w"), tx.describe(F.col("p")).alias("d")).collect()
+    assert [tuple(x) for x in rows[0]["w"]] == [(2, 540, 1440)]
+    assert [tuple(x) for x in rows[1]["w"]] == [(d, 540, 600) for d in range(1, 8)]
+    assert [tuple(x) for x in rows[2]["w"]] == [(1, 480, 1440)]
+    assert "99999999 hours" in rows[0]["d"] and "2147483647 days and 1 hour" in rows[1]["d"]
+    assert "2147483648 days" in rows[3]["d"] and "Monday through Tuesday" in rows[3]["d"]
+    assert tx.translate_column(df, "cell").filter("translated is null").count() == 0
