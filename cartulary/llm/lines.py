@@ -6,15 +6,21 @@
 3. The SimHash is cut into five blocks. Two values that differ in at most three bits share two blocks, so each pair of
    blocks is a bucket. A bucket ties its values to two representatives, never to each other, and a pair goes on only if
    few bits differ.
-4. Pairs are checked by edit similarity; connected lines are one group.
-5. The first occurrence of a group (smallest doc_id, then line number) stays, all others go.
-
-Column work only. Lines are normalised once and written. Texts are shuffled once, as distinct lines; after that only
-lines with a candidate and documents with a repeated line move.
+4. Pairs are checked by edit similarity; connected lines are one class.
+5. SimHash alone loses pairs. So the shorter line of a pair is cut into more pieces than the pair may have edits; an edit
+   spoils one piece at most, and the others stand in the longer line, shifted by no more than the edits. Lines of
+   different classes that share that many pieces are checked as well, which leaves out no pair within the bound.
+6. The first occurrence of a group (smallest doc_id, then line number) stays, all others go.
+
+Column work only. Lines are normalised once and written. Texts are shuffled as distinct lines and with their class; after
+that only lines with a candidate and documents with a repeated line move. Step 5 shuffles one row for each character
+of the distinct lines, and pairs that share a frequent piece meet before they are told apart by their counts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +32,8 @@ BITS = BLOCKS * BLOCK_BITS
 FAR = 12  # bits of the SimHash that may differ before the text is looked at
 LANE = 20  # bits of a counter: up to a million, so 80,000 different words in a line
 MOST_WEIGHT = 12
+PIECES = (16, 12, 8, 6, 5, 4, 3, 2, 1)  # lengths of a piece, the longest that gives enough pieces is taken
+PIECES_READ = 64  # pieces cut from one stretch of a line, so that a long line is not walked from its start for each
 
 
 def normalised(line: Column) -> Column:
@@ -99,6 +107,61 @@ def candidate_pairs(table: DataFrame) -> DataFrame:
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _edits(length: Column, least: float) -> Column:
+    """How many edits a pair may have whose longer line has that length."""
+    return F.floor(length * (1 - least) + 1e-9).cast("int")
+
+
+def _piece(length: Column, least: float) -> Column:
+    """The length of the pieces a line is cut into as the shorter one of a pair; null if it is near to no other."""
+    edits = _edits(F.floor(length / least + 1e-9), least)
+    fits = [F.when((edits > 0) & (F.floor(length / q) > edits), F.lit(q)) for q in PIECES]
+    return F.coalesce(*fits)
+
+
+def _cut_up(lines: DataFrame, step: Column) -> DataFrame:
+    """``lines(id, class, norm, size, q)`` as (gram, id, class, size, q, at): strings of q characters, each ``step``."""
+    width = F.col("q") * PIECES_READ
+    last = F.col("size") - F.col("q")
+    parts = lines.where(last >= 0).withColumn("_from", F.explode(F.sequence(F.lit(0), last, width)))
+    read = parts.withColumn("_part", F.substring("norm", F.col("_from") + 1, width + F.col("q") - 1))
+    ends = F.least(width - 1, last - F.col("_from"))
+    each = read.withColumn("_at", F.explode(F.sequence(F.lit(0), ends, step)))
+    gram = F.substring("_part", F.col("_at") + 1, F.col("q"))
+    return each.select(gram.alias("gram"), "id", "class", "size", "q", (F.col("_from") + F.col("_at")).alias("at"))
+
+
+def piece_pairs(table: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of ids of ``table(id, norm, class)``, of different classes, that may be alike: no alike pair is left out.
+
+    ``least`` is above 0.5.
+    """
+    sized = table.withColumn("size", F.length("norm"))
+    step = -math.log(least)
+
+    def about(length: Column) -> Column:
+        return F.floor(F.log(length) / step).cast("int")  # of the longer line the same or one more
+
+    def key(about_: Column) -> Column:
+        return F.xxhash64("gram", "q", about_).alias("key")
+
+    short = _cut_up(sized.withColumn("q", _piece(F.col("size"), least)).where("q is not null"), F.col("q"))
+    short = short.withColumn("_about", F.explode(F.array(about(F.col("size")), about(F.col("size")) + 1)))
+    lengths = F.sequence(F.ceil(F.col("size") * least - 1e-9).cast("int"), F.col("size"))
+    asked = F.array_distinct(F.array_compact(F.transform(lengths, lambda n: _piece(n, least))))
+    able = sized.where(_edits(F.col("size"), least) > 0)
+    long = _cut_up(able.withColumn("q", F.explode(asked)), F.lit(1))
+    left = long.select(key(about(F.col("size"))), F.col("id").alias("a"), F.col("class").alias("ca"), F.col("size").alias("la"), F.col("at").alias("pa"))
+    right = short.select(key(F.col("_about")), F.col("id").alias("b"), F.col("class").alias("cb"), F.col("size").alias("lb"), F.col("at").alias("pb"))
+    edits = _edits(F.col("la"), least)
+    ahead = (F.col("la") > F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") > F.col("b")))
+    near = (F.col("la") - F.col("lb") <= edits) & (F.abs(F.col("pa") - F.col("pb")) <= edits)
+    shared = left.join(right, "key").where((F.col("ca") != F.col("cb")) & ahead & near)
+    kept = F.floor(F.col("lb") / _piece(F.col("lb"), least)) - edits  # pieces that no edit reaches, at least
+    counted = shared.groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= kept)
+    return counted.select("a", "b")
+
+
 def _same_ahead(a: Column, b: Column) -> Column:
     """With how many equal entries two arrays begin."""
     differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
@@ -113,7 +176,7 @@ def alike(pairs: DataFrame, least: float) -> DataFrame:
     """
     a, b = F.col("na"), F.col("nb")
     longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    bounded = pairs.withColumn("_most", F.floor(longer * (1 - least) + 1e-9).cast("int")).where(longer - shorter <= F.col("_most"))
+    bounded = pairs.withColumn("_most", _edits(longer, least)).where(longer - shorter <= F.col("_most"))
     split = bounded.withColumn("_wa", F.split(a, " ")).withColumn("_wb", F.split(b, " "))
     ahead = split.withColumn("_ahead", _same_ahead(F.col("_wa"), F.col("_wb")))
     left = F.least(F.size("_wa"), F.size("_wb")) - F.col("_ahead")
@@ -133,16 +196,25 @@ def alike(pairs: DataFrame, least: float) -> DataFrame:
     return cut.where(F.when(aligned, True).otherwise(within)).select(*pairs.columns)
 
 
-def line_groups(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(id, class) of the distinct lines of ``lines(id, norm)`` that occur more than once or have a near line."""
-    table = written(lines.groupBy("id").agg(F.min("norm").alias("norm"), F.count(F.lit(1)).alias("n")), "lines", "zstd")
-    sims = written(simhashes(table), "line-simhashes")
-    pairs = written(candidate_pairs(sims), "candidates")
+def _checked(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of ids of ``table(id, norm)`` that are alike."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = written(sieved(table.select("id", "norm"), F.col("id"), asked, F.col("id")).join(asked, "id", "left_semi"), "texts", "zstd")
     left = texts.select(F.col("id").alias("a"), F.col("norm").alias("na"))
     right = texts.select(F.col("id").alias("b"), F.col("norm").alias("nb"))
-    edges = alike(pairs.join(left, "a").join(right, "b"), least).select("a", "b")
+    return alike(pairs.join(left, "a").join(right, "b"), least).select("a", "b")
+
+
+def line_groups(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(id, class) of the distinct lines of ``lines(id, norm)`` that occur more than once or have a near line."""
+    table = written(lines.groupBy("id").agg(F.min("norm").alias("norm"), F.count(F.lit(1)).alias("n")), "lines", "zstd")
+    sims = written(simhashes(table), "line-simhashes")
+    first = connected(_checked(written(candidate_pairs(sims), "candidates"), table, least))
+    first = written(first, "line-classes")
+    classed = table.select("id", "norm").join(first.select(F.col("node").alias("id"), "label"), "id", "left")
+    classed = classed.select("id", "norm", F.coalesce("label", "id").alias("class"))
+    more = _checked(written(piece_pairs(classed, least), "piece-pairs"), table, least)
+    edges = first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
     labels = connected(edges).select(F.col("node").alias("id"), F.col("label").alias("class"))
     repeated = table.where("n > 1").select("id", F.col("id").alias("class"))
     return written(labels.unionByName(repeated).groupBy("id").agg(F.min("class").alias("class")), "line-groups")
