@@ -6,9 +6,11 @@ there. Each dart also names one of ``k`` coordinates, and a coordinate keeps its
 agree on a coordinate with the probability of their weighted Jaccard similarity. Ranks are walked in layers that
 double, and a document stops at the first layer that leaves no coordinate empty: about k ln k darts, whatever its length.
 
-Documents that share a band of a signature become candidates, tied to two representatives of the band and not to each
-other, so a band of m documents gives 2m candidates. Candidates are checked on their whole shingle sets; groups are the
-connected components of the pairs that pass.
+Documents that share a band of a signature become candidates, first tied to two representatives of the band, so a band of m
+documents gives 2m candidates. Candidates are checked on their whole shingle sets; groups are the connected components
+of the pairs that pass. Bands that then hold more than one class are gone through in rounds with more and more
+representatives, until every pair of a band is in one class, checked, or told apart by what is known: 1 - Jaccard is a
+metric, so texts whose likeness to a representative differs by more than a pair may differ are no pair.
 """
 
 from __future__ import annotations
@@ -137,17 +139,63 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def _similar(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, sa, sb) whose shingle sets are alike, as (a, b)."""
+def _likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` of nodes with the Jaccard similarity of their ``sets(node, shingles)``, as (a, b, like)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            sets = ((np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)) for x, y in zip(a, b, strict=True))
-            alike = pa.array([min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least for x, y in sets])
-            yield pa.RecordBatch.from_arrays([c.filter(alike) for c in batch.columns[:2]], names=["a", "b"])
+            like = [jaccard(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)) for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(like, type=pa.float64())], names=["a", "b", "like"])
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, like double")
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+def _linked(keys: DataFrame, ends: DataFrame, sets: DataFrame, like: DataFrame, least: float) -> DataFrame:
+    """(node, label): the classes of all pairs that share a key of ``keys(node, key)`` and are alike.
+
+    ``ends(key, low, high)`` are the first representatives, ``like(a, b, like)`` what came of the check against them.
+    """
+    labels = written(connected(like.where(F.col("like") >= least)), "labels")
+    members = keys.join(ends, "key")
+    for end in ("low", "high"):
+        known = like.withColumnRenamed("like", f"to_{end}")
+        members = members.withColumns({"a": F.greatest("node", end), "b": F.least("node", end)}).join(known, ["a", "b"], "left")
+        members = members.withColumn(f"to_{end}", F.when(F.col("node") == F.col(end), 1.0).otherwise(F.col(f"to_{end}"))).drop("a", "b")
+    members = members.select("key", "node", "to_low", "to_high", F.col("node").isin(F.col("low"), F.col("high")).alias("done"))
+    members = written(members, "members")
+    checked, classes, each = like.select("a", "b"), 16, 4
+    while True:
+        classed = members.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
+        mixed = classed.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c < d")
+        members = written(classed.join(mixed.select("key"), "key", "left_semi").where("not done"), "members")
+        reps = members.groupBy("key", F.pmod(F.xxhash64("class", "key"), F.lit(classes)), F.pmod(F.xxhash64("node", "key"), F.lit(each)))
+        one = F.struct(F.xxhash64("key", "node"), "node", "class", "to_low", "to_high")
+        reps = written(reps.agg(F.min(one).alias("rep")).select("key", "rep"), "representatives")
+        if reps.isEmpty():
+            return labels
+        apart = F.col("class") != F.col("rep.class")
+        for end in ("to_low", "to_high"):
+            apart &= F.abs(F.col(end) - F.col(f"rep.{end}")) <= 1 - least + 1e-9
+        met = members.join(reps, "key").where(apart).select(*_ordered("node", "rep.node")).distinct()
+        new = written(met.join(checked, ["a", "b"], "left_anti"), "candidates")
+        found = written(_likeness(new, sets), "likeness")
+        checked = checked.unionByName(found.select("a", "b"))
+        more = found.where(F.col("like") >= least).select("a", "b")
+        if not more.isEmpty():
+            edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = written(connected(edges.unionByName(more)), "labels")
+        used = reps.select("key", F.col("rep.node").alias("node"), F.lit(True).alias("used"))
+        members = members.drop("class").join(used, ["key", "node"], "left")
+        members = members.withColumn("done", F.coalesce("used", F.lit(False))).drop("used")
+        classes, each = classes * 8, each * 8
 
 
 def _hash(text: str = "text") -> Column:
@@ -161,7 +209,7 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, width: int = WIDTH) ->
     (its rows), keeper (true for one row of the result per class: the smallest doc_id, then text_hash). Texts are
     alike from a Jaccard similarity of ``least`` over their sets of ``width``-word shingles; a class is what such pairs
     connect. Texts of fewer words are one shingle; null and empty texts have none and are one class. A null doc_id
-    is the last to be kept. Signatures are random: a pair at 0.8 is missed once in 20,000.
+    is the last to be kept. Signatures are random: a pair at 0.8 shares no band, and is missed, once in 20,000.
     """
     rows = docs.select("doc_id", "text").withColumn("text_hash", _hash())
     table = written(signed(rows, width), "signatures")
@@ -170,9 +218,10 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, width: int = WIDTH) ->
 
     keys = table.select("node", F.explode("bands").alias("key"))
     ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    tied = keys.join(ends, "key").select(F.explode(F.array(F.struct("node", "low"), F.struct(F.col("node"), F.col("high").alias("low")))).alias("p"))
-    pairs = tied.select(F.greatest("p.node", "p.low").alias("a"), F.least("p.node", "p.low").alias("b")).where("a <> b")
-    pairs = written(pairs.distinct(), "candidates")
+    ends = written(ends, "bands")
+    keys = written(keys.join(ends, "key", "left_semi").distinct(), "band-nodes")
+    tied = keys.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    pairs = written(tied.select(*_ordered("node", "end")).distinct(), "candidates")
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     known = counted.withColumn("_at", F.xxhash64("doc_id", "text_hash"))
@@ -181,9 +230,7 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, width: int = WIDTH) ->
     marked = rows.withColumn("_at", F.xxhash64("doc_id", "text_hash"))
     few = sieved(marked, F.col("_at"), asked, F.col("_at")).join(asked, "_at", "left_semi")
     sets = written(_sets(few, width).dropDuplicates(["node"]), "shingles")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    labels = connected(_similar(pairs.join(left, "a").join(right, "b"), least))
+    labels = _linked(keys, ends, sets, written(_likeness(pairs, sets), "likeness"), least)
 
     classed = counted.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
