@@ -20,9 +20,7 @@ from cartulary.functions.text import clean_list, fill_blank
 
 FLAGS = ["aggregate", "root_only", "separate_nodes", "average", "duplicate", "clean"]
 DEFAULT_DELIMITER = "|"
-MAX_CONFIG_ROWS = 5_000
-# Up to here every value of a column is tested on its own, which compiles well.
-MANY_VALUES = 16
+MANY_VALUES = 16  # read nowhere: lists of every length are counted alike. A test still sets it.
 REPORT_COLUMNS = ["section_no", "entry_no", "section", "kind", "label", "pct", "n", "text"]
 
 
@@ -59,11 +57,8 @@ class Ask:
 
 
 def load_config(config: DataFrame) -> list[Ask]:
-    """The config in row order. It is written by hand; a table too long to be one is refused."""
-    rows = parse_config(config).limit(MAX_CONFIG_ROWS + 1).collect()
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError(f"a report config has at most {MAX_CONFIG_ROWS} rows")
-    return [Ask(**r.asDict()) for r in rows]
+    """The config in row order. The driver holds it, whatever its length."""
+    return [Ask(**r.asDict()) for r in parse_config(config).collect()]
 
 
 # ---------------------------------------------------------------- cell tests
@@ -109,7 +104,7 @@ class _Plan:
     averages: list  # (section_no, column)
     single: list  # (section_no, entry_no, replaces, label expression)
     nodes: list  # (section_no, entry_no, replaces, array-of-labels expression)
-    wanted: list  # (section_no, entry_no, label) of long value lists, zero counts kept
+    wanted: list  # (section_no, entry_no, label) of value lists, zero counts kept
     kinds: dict  # section_no -> (title, kind)
 
     @property
@@ -138,17 +133,8 @@ def _plan(asks: Sequence[Ask], cells: dict[str, Column]) -> _Plan:
             continue
         plan.kinds[no] = (column.upper(), "Count")
         wanted = [e for e in entries if e.value]
-        if len({e.value for e in wanted}) > MANY_VALUES and all(map(_is_plain_node, wanted)):
-            _plan_many(plan, no, cell, wanted)
-            continue
         if wanted:
-            # A value asked for twice keeps its first place and its last answer.
-            place: dict[str, int] = {}
-            answer: dict[str, Column] = {}
-            for e in wanted:
-                place.setdefault(e.value, len(place) + 1)
-                answer[e.value] = _value_count(cell, e)
-            plan.known += [(no, place[v], v, answer[v]) for v in place]
+            _plan_values(plan, no, cell, wanted)
             continue
         blanks: list[tuple[int, Column]] = []
         distributed = False
@@ -171,39 +157,43 @@ def _plan(asks: Sequence[Ask], cells: dict[str, Column]) -> _Plan:
 
 
 def _is_plain_node(ask: Ask) -> bool:
-    """Whether the value can only match one whole trimmed node."""
-    return ask.value == ask.value.strip() and ask.delimiter not in ask.value
+    """Whether ``has_node`` can find the value only as one whole trimmed node."""
+    one = len(ask.delimiter) == 1 and not ask.delimiter.isspace()
+    return one and ask.value == ask.value.strip() and ask.delimiter not in ask.value
+
+
+def _searched_nodes(cell: Column, delimiter: str) -> Column:
+    """The distinct nodes of a cell as ``has_node`` sees them: lower-cased first, then cut and trimmed."""
+    text = F.regexp_replace(F.lower(cell), r"[\u0085\u2028\u2029]\z", "")  # a line end at the end is none for ``$``
+    return F.array_distinct(
+        F.transform(F.split(text, _quoted(delimiter), -1), lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", ""))
+    )
 
 
-def _plan_many(plan: _Plan, no: int, cell: Column, wanted: Sequence[Ask]) -> None:
-    """A long list of values: look the nodes of a cell up in the list instead of testing each."""
+def _plan_values(plan: _Plan, no: int, cell: Column, wanted: Sequence[Ask]) -> None:
+    """A list of values: the nodes of a cell are looked up in it; values that are no single node are tested one by one.
+
+    A value asked for twice keeps its first place and its last answer.
+    """
     place: dict[str, int] = {}
     last: dict[str, Ask] = {}
     for e in wanted:
         place.setdefault(e.value, len(place) + 1)
         last[e.value] = e
-    plan.wanted += [(no, place[v], v) for v in place]
     alike: dict[tuple, list[str]] = {}
     for value, e in last.items():
-        alike.setdefault((e.delimiter, e.root_only and not e.separate_nodes, e.separate_nodes), []).append(value)
+        if e.separate_nodes or _is_plain_node(e):
+            plan.wanted.append((no, place[value], value))
+            alike.setdefault((e.delimiter, e.root_only and not e.separate_nodes, e.separate_nodes), []).append(value)
+        else:
+            looked = root_of(cell, e.delimiter) if e.root_only else cell
+            plan.known.append((no, place[value], value, F.count_if(has_node(looked, value, e.delimiter))))
     for (delimiter, root_only, each), values in alike.items():
-        listed = F.array(*map(F.lit, values))
-        nodes = nodes_of(root_of(cell, delimiter) if root_only else cell, delimiter)
         if each:
-            nodes = F.transform(nodes, clean_list)
-            labels = F.filter(nodes, lambda x: F.array_contains(listed, x))
+            nodes = F.transform(nodes_of(cell, delimiter), clean_list)
         else:
-            labels = F.array_intersect(nodes, listed)
-        plan.nodes.append((no, 0, False, labels))
-
-
-def _value_count(cell: Column, ask: Ask) -> Column:
-    if ask.separate_nodes:
-        nodes = F.transform(nodes_of(cell, ask.delimiter), clean_list)
-        hits = F.size(F.filter(nodes, lambda x: x == ask.value))
-        return F.coalesce(F.sum(hits), F.lit(0)).cast("bigint")
-    looked = root_of(cell, ask.delimiter) if ask.root_only else cell
-    return F.count_if(has_node(looked, ask.value, ask.delimiter))
+            nodes = _searched_nodes(root_of(cell, delimiter) if root_only else cell, delimiter)
+        plan.nodes.append((no, 0, False, F.filter(nodes, lambda x: x.isin(values))))
 
 
 def _known_rows(report: DataFrame, plan: _Plan) -> DataFrame:
@@ -279,18 +269,9 @@ def _found_counts(report: DataFrame, plan: _Plan) -> DataFrame:
 
 
 def _zero_counts(found: DataFrame, plan: _Plan) -> DataFrame:
-    """A zero for every value of a long list: keeps those that never occur, and their order."""
-    zeros = F.array(
-        *(
-            F.struct(
-                F.lit(no).alias("section_no"), F.lit(entry).alias("entry_no"),
-                F.lit(False).alias("replaces"), F.lit(label).alias("label"),
-                F.lit(0).cast("bigint").alias("n"),
-            )
-            for no, entry, label in plan.wanted
-        )
-    )
-    return found.sparkSession.range(1).select(F.inline(zeros))
+    """A zero for every value of a list: keeps those that never occur, and their order."""
+    zeros = [(no, entry, False, label, 0) for no, entry, label in plan.wanted]
+    return found.sparkSession.createDataFrame(zeros, "section_no int, entry_no int, replaces boolean, label string, n bigint")
 
 
 def _merge_entries(found: DataFrame, listed: set[int]) -> DataFrame:
