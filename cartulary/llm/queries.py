@@ -10,6 +10,7 @@ from cartulary.llm import (  # noqa: F401
     q_near,
     q_shards,
     q_toxicity,
+    q_tries,
     q_urls,
 )
 from cartulary.llm.registry import QUERIES  # noqa: F401
