@@ -5,6 +5,7 @@ from cartulary.llm import (  # noqa: F401
     q_chat,
     q_exact,
     q_fingerprints,
+    q_html,
     q_lines,
     q_mixing,
     q_near,
@@ -12,5 +13,6 @@ from cartulary.llm import (  # noqa: F401
     q_toxicity,
     q_tries,
     q_urls,
+    q_whitening,
 )
 from cartulary.llm.registry import QUERIES  # noqa: F401
