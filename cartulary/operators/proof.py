@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
+
+from cartulary.sources.proofs import fields_json
 
 TOP_SHOWN = 10
 DATES_SHOWN = 20
@@ -29,46 +32,60 @@ def sort_count_desc(rows: DataFrame, by: list[str], label: str = "label", count:
     )
 
 
-def _ranked_head(rows: DataFrame, by: list[str], order: list[Column], shown: int) -> DataFrame:
-    """The first rows of each list. ``rank <= n`` is cut in the tasks before the shuffle."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= shown)
-
-
-def _rest(rows: DataFrame, by: list[str], shown: int) -> DataFrame:
-    """The line that stands for all rows not shown, where there are any."""
-    hidden = F.count(F.lit(1)) - shown
-    return (
-        rows.groupBy(*by)
-        .agg(hidden.alias("hidden"))
-        .filter(F.col("hidden") > 0)
-        .select(
-            *by,
-            F.lit(shown + 1).alias("rank"),
-            F.concat(F.lit("… and "), F.col("hidden").cast("string"), F.lit(" more")).alias("line"),
-        )
+def _printed(rows: DataFrame, number: str) -> Column:
+    """A number as it was written where that is known; a missing one is 0."""
+    written = f"{number}_text"
+    return F.coalesce(F.col(written) if written in rows.columns else F.col(number).cast("string"), F.lit("0"))
+
+
+def _head_and_rest(rows: DataFrame, by: list[str], order: list[Column], line: Column, pos: str, shown: int) -> DataFrame:
+    """``(by, rank, line)`` of the first rows of each list by ``order``, with a line that stands for all others.
+
+    One aggregate: each task keeps a heap of ``shown`` rows and a count for each list, whatever their length. A list whose
+    only row has no ``pos`` is empty and says so.
+    """
+    here = F.col(pos).isNotNull()
+    ranked = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))
+    heads = rows.groupBy(*by).agg(
+        InternalFunction.collect_top_k(F.when(here, ranked), shown, True).alias("_head"),
+        (F.count_if(here) - shown).alias("_hidden"),
+    )
+
+    def entry(rank: Column, text: Column) -> Column:
+        return F.struct(rank.cast("int").alias("rank"), text.alias("line"))
+
+    first = F.transform("_head", lambda r, i: entry(i + 1, r["line"]))
+    rest = F.when(
+        F.col("_hidden") > 0,
+        F.array(entry(F.lit(shown + 1), F.concat(F.lit("… and "), F.col("_hidden").cast("string"), F.lit(" more")))),
+    ).otherwise(F.array().cast("array<struct<rank:int,line:string>>"))
+    nothing = F.array(entry(F.lit(1), F.lit("No data")))
+    lines = F.when(F.size("_head") == 0, nothing).otherwise(F.concat(first, rest))
+    return heads.select(*by, F.inline(lines))
+
+
+def count_lines(rows: DataFrame, by: list[str], label: str = "label", count: str = "count") -> DataFrame:
+    """``(by, count, pos, line)``: a line for each label, to be sorted by count; ``No data`` for an empty list."""
+    line = F.concat(F.coalesce(F.col(label), F.lit("?")), F.lit(": "), _printed(rows, count))
+    none = F.col("pos").isNull()
+    return rows.select(
+        *by, F.coalesce(F.col(count), F.lit(0)).alias(count), "pos", F.when(none, "No data").otherwise(line).alias("line")
     )
 
 
 def top_list(
     rows: DataFrame, by: list[str], label: str = "label", count: str = "count", tie: str = "pos"
 ) -> DataFrame:
-    """``(by, rank, line)``: the ten largest counts and a line for the rest of each list."""
+    """``(by, rank, line)``: the ten largest counts and a line for the rest of each list; ties stay in the order of ``tie``."""
     n = F.coalesce(F.col(count), F.lit(0))
-    head = _ranked_head(rows, by, [n.desc(), F.col(tie)], TOP_SHOWN)
-    line = F.concat(F.coalesce(F.col(label), F.lit("?")), F.lit(" — "), n.cast("string"))
-    return head.select(*by, "rank", line.alias("line")).unionByName(_rest(rows, by, TOP_SHOWN))
+    line = F.concat(F.coalesce(F.col(label), F.lit("?")), F.lit(" — "), _printed(rows, count))
+    return _head_and_rest(rows, by, [-n, F.col(tie)], line, tie, TOP_SHOWN)
 
 
 def date_counts(rows: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
     """``(by, rank, line)``: the first twenty dates in the order given and a line for the rest."""
-    head = _ranked_head(rows, by, [F.col(pos)], DATES_SHOWN)
-    line = F.concat(
-        F.coalesce(F.col("date"), F.lit("?")),
-        F.lit(": "),
-        F.coalesce(F.col("value"), F.lit(0)).cast("string"),
-    )
-    return head.select(*by, "rank", line.alias("line")).unionByName(_rest(rows, by, DATES_SHOWN))
+    line = F.concat(F.coalesce(F.col("date"), F.lit("?")), F.lit(": "), _printed(rows, "value"))
+    return _head_and_rest(rows, by, [F.col(pos)], line, pos, DATES_SHOWN)
 
 
 def date_range(first: Column, last: Column) -> Column:
@@ -90,13 +107,9 @@ def events_table(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fallback(sections: DataFrame, keep: list[str]) -> DataFrame:
-    """Attributes of a section as JSON and its first five data rows as text."""
+    """All attributes of a section but its data as JSON, and its first five data rows as JSON, one a line."""
     rows = F.transform(F.slice("data", 1, FALLBACK_ROWS), lambda r: F.to_json(r))
-    return sections.select(
-        *keep,
-        F.to_json(F.struct("id", "title", "type", "summary")).alias("attributes"),
-        F.array_join(rows, "\n").alias("rows"),
-    )
+    return sections.select(*keep, fields_json(F.col("fields")).alias("attributes"), F.coalesce(F.array_join(rows, "\n"), F.lit("")).alias("rows"))
 
 
 def footnote(source: Column, run_id: Column, generated_at: Column) -> Column:

@@ -7,6 +7,7 @@ every label that is found in the data.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from cartulary.functions.text import clean_list, fill_blank
 
 FLAGS = ["aggregate", "root_only", "separate_nodes", "average", "duplicate", "clean"]
 DEFAULT_DELIMITER = "|"
-MANY_VALUES = 16  # read nowhere: lists of every length are counted alike. A test still sets it.
+SECTIONS = "sections"  # metadata of section_no: [number, title, kind] of each section, also of those without rows
 REPORT_COLUMNS = ["section_no", "entry_no", "section", "kind", "label", "pct", "n", "text"]
 
 
@@ -156,24 +157,43 @@ def _plan(asks: Sequence[Ask], cells: dict[str, Column]) -> _Plan:
     return plan
 
 
-def _is_plain_node(ask: Ask) -> bool:
-    """Whether ``has_node`` can find the value only as one whole trimmed node."""
-    one = len(ask.delimiter) == 1 and not ask.delimiter.isspace()
-    return one and ask.value == ask.value.strip() and ask.delimiter not in ask.value
+_SPACE = " \t\n\x0b\f\r"
 
 
-def _searched_nodes(cell: Column, delimiter: str) -> Column:
-    """The distinct nodes of a cell as ``has_node`` sees them: lower-cased first, then cut and trimmed."""
+def _overlaps(delimiter: str) -> bool:
+    """Whether two occurrences of a delimiter can overlap in a way that matters: blanks are trimmed anyway."""
+    return delimiter.strip(_SPACE) != "" and any(delimiter.startswith(delimiter[i:]) for i in range(1, len(delimiter)))
+
+
+def _is_node_run(ask: Ask) -> bool:
+    """Whether ``has_node`` finds the value exactly where it is a run of whole nodes with its delimiters between, trimmed."""
+    return ask.delimiter != "" and not _overlaps(ask.delimiter) and ask.value == ask.value.strip(_SPACE)
+
+
+def _searched_runs(cell: Column, delimiter: str, lengths: Sequence[int]) -> Column:
+    """The distinct runs of so many nodes of a cell as ``has_node`` sees them: lower-cased first, then cut and trimmed."""
     text = F.regexp_replace(F.lower(cell), r"[\u0085\u2028\u2029]\z", "")  # a line end at the end is none for ``$``
-    return F.array_distinct(
-        F.transform(F.split(text, _quoted(delimiter), -1), lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", ""))
-    )
+    nodes = F.split(text, _quoted(delimiter), -1)
+
+    def trimmed(run: Column) -> Column:
+        return F.trim(run, F.lit(_SPACE))
+
+    def runs(length: int) -> Column:
+        if length == 1:
+            return F.transform(nodes, trimmed)
+        starts = F.when(F.size(nodes) >= length, F.sequence(F.lit(1), F.size(nodes) - length + 1))
+        joined = F.transform(starts, lambda i: trimmed(F.array_join(F.slice(nodes, i, length), delimiter)))
+        return F.coalesce(joined, F.array().cast("array<string>"))
+
+    found = [runs(n) for n in lengths]
+    return F.array_distinct(F.concat(*found) if len(found) > 1 else found[0])
 
 
 def _plan_values(plan: _Plan, no: int, cell: Column, wanted: Sequence[Ask]) -> None:
-    """A list of values: the nodes of a cell are looked up in it; values that are no single node are tested one by one.
+    """A list of values: the nodes of a cell, and its runs of nodes for values that hold the delimiter, are looked up in it.
 
-    A value asked for twice keeps its first place and its last answer.
+    What is left, values that begin or end with blanks and delimiters that can overlap themselves, is tested value by
+    value. A value asked for twice keeps its first place and its last answer.
     """
     place: dict[str, int] = {}
     last: dict[str, Ask] = {}
@@ -182,7 +202,7 @@ def _plan_values(plan: _Plan, no: int, cell: Column, wanted: Sequence[Ask]) -> N
         last[e.value] = e
     alike: dict[tuple, list[str]] = {}
     for value, e in last.items():
-        if e.separate_nodes or _is_plain_node(e):
+        if e.separate_nodes or _is_node_run(e):
             plan.wanted.append((no, place[value], value))
             alike.setdefault((e.delimiter, e.root_only and not e.separate_nodes, e.separate_nodes), []).append(value)
         else:
@@ -192,7 +212,8 @@ def _plan_values(plan: _Plan, no: int, cell: Column, wanted: Sequence[Ask]) -> N
         if each:
             nodes = F.transform(nodes_of(cell, delimiter), clean_list)
         else:
-            nodes = _searched_nodes(root_of(cell, delimiter) if root_only else cell, delimiter)
+            lengths = sorted({v.count(delimiter) + 1 for v in values})
+            nodes = _searched_runs(root_of(cell, delimiter) if root_only else cell, delimiter, lengths)
         plan.nodes.append((no, 0, False, F.filter(nodes, lambda x: x.isin(values))))
 
 
@@ -318,8 +339,16 @@ def build_report(report: DataFrame, config: DataFrame | Sequence[Ask]) -> DataFr
         F.lit("config_rows").alias("label"), F.lit(None).cast("double").alias("pct"),
         F.lit(len(asks)).cast("bigint").alias("n"), F.lit(None).cast("string").alias("text"),
     )
+    listed = [[0, "Total rows", "Total"], *([no, *named] for no, named in plan.kinds.items())]
+
+    def told(sections: DataFrame) -> DataFrame:
+        return sections.withMetadata("section_no", {SECTIONS: json.dumps(listed)})
+
     if not plan.found:
-        return totals.unionByName(known)
+        return told(totals.unionByName(known))
+    counted = known.collect()
+    n_rows = next(r["n"] for r in counted if r["label"] == "report_rows" and r["section_no"] == 0)
+    known = table.sparkSession.createDataFrame(counted, known.schema)
 
     found = _found_counts(table, plan)
     open_sections = [no for no, *_ in plan.found]
@@ -341,7 +370,6 @@ def build_report(report: DataFrame, config: DataFrame | Sequence[Ask]) -> DataFr
         merged = found.select("section_no", F.lit(0).alias("entry_no"), "label", "n")
     titles = F.create_map(*(F.lit(x) for no in plan.kinds for x in (no, plan.kinds[no][0])))
     kinds = F.create_map(*(F.lit(x) for no in plan.kinds for x in (no, plan.kinds[no][1])))
-    rows = table.agg(F.count(F.lit(1)).alias("rows"))
     labelled = (
         merged.select(
             "section_no",
@@ -353,17 +381,17 @@ def build_report(report: DataFrame, config: DataFrame | Sequence[Ask]) -> DataFr
         )
         .filter((F.col("kind") == "Count") | (F.col("n") > 1))
         .withColumn(
-            "pct", F.when(F.col("kind") == "Count", share(F.col("n"), rows.scalar()))
+            "pct", F.when(F.col("kind") == "Count", share(F.col("n"), F.lit(n_rows)))
         )
         .withColumn("text", F.lit(None).cast("string"))
     )
-    return reduce(DataFrame.unionByName, [totals, alone, labelled.select(*REPORT_COLUMNS)])
+    return told(reduce(DataFrame.unionByName, [totals, alone, labelled.select(*REPORT_COLUMNS)]))
 
 
 def report_lines(sections: DataFrame) -> DataFrame:
     """Report rows as printed cells ``c1, c2, c3`` with the keys that order them.
 
-    Each section gets its header row and a blank row after it.
+    Each section gets its header row and a blank row after it, also one without rows.
     """
     pct = F.when(F.col("pct").isNotNull(), F.concat(F.format_string("%.2f", "pct"), F.lit("%")))
     kind = F.col("kind")
@@ -385,18 +413,16 @@ def report_lines(sections: DataFrame) -> DataFrame:
         .otherwise(F.col("n").cast("string"))
         .alias("c3"),
     )
-    edges = sections.select("section_no", "section", "kind").distinct()
-    heads = edges.filter(kind != "Total").select(
-        "section_no", F.lit(0).alias("part"), F.lit(0).alias("entry_no"),
-        F.lit(0).cast("bigint").alias("rank"), F.col("section").alias("c1"),
-        F.when(kind == "Count", "%").otherwise("").alias("c2"), kind.alias("c3"),
-    )
-    tails = edges.select(
-        "section_no", F.lit(2).alias("part"), F.lit(0).alias("entry_no"),
-        F.lit(0).cast("bigint").alias("rank"), F.lit("").alias("c1"), F.lit("").alias("c2"),
-        F.lit("").alias("c3"),
-    )
-    return heads.unionByName(body).unionByName(tails)
+    known = sections.schema["section_no"].metadata.get(SECTIONS)
+    if known is None:
+        raise ValueError("the sections of a report are those build_report gives")
+    edges = []
+    for no, title, named in json.loads(known):
+        if named != "Total":
+            edges.append((no, 0, 0, 0, title, "%" if named == "Count" else "", named))
+        edges.append((no, 2, 0, 0, "", "", ""))
+    shape = "section_no int, part int, entry_no int, rank bigint, c1 string, c2 string, c3 string"
+    return body.unionByName(sections.sparkSession.createDataFrame(edges, shape))
 
 
 def line_order() -> list[Column]:

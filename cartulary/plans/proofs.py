@@ -7,33 +7,40 @@ from pyspark.sql import functions as F
 from cartulary.operators import proof
 from cartulary.operators.recipes import count_by
 from cartulary.plans.registry import query, table
-
-
-def _section(name, title, kind):
-    return [F.lit(name).alias("id"), F.lit(title).alias("title"), F.lit(kind).alias("type")]
+from cartulary.session import scratch_path
+from cartulary.sources.proofs import proof_rows, read_proof
 
 
 def proof_document(spark, sf):
-    """One proof document: event counts, a top list of them, and the time they span.
+    """One proof document: event counts, lists of them with fields nobody asked for, and a section without rows.
 
     Its data rows are counts per event type, a handful.
     """
     events = table(spark, sf, "events")
     counts = count_by(events, ["event_type"])
+    plain = F.struct(F.col("event_type").alias("label"), F.col("count").alias("count"))
+    odd = F.struct(
+        F.col("event_type").alias("foo"),
+        (F.col("count") + 0.5).alias("count"),
+        F.struct(F.col("count").alias("n"), F.lit(None).cast("string").alias("gone")).alias("bar"),
+    )
     one = counts.agg(
         F.sum("count").alias("total"),
-        F.sort_array(
-            F.collect_list(F.struct(F.col("event_type").alias("label"), F.col("count").alias("count")))
-        ).alias("data"),
+        F.array_join(F.sort_array(F.collect_list(F.to_json(plain))), ",").alias("plain"),
+        F.array_join(F.sort_array(F.collect_list(F.to_json(odd))), ",").alias("odd"),
     )
-    meta = F.struct(F.lit("events").alias("source_doc"), F.lit("2024-02-01").alias("generated_at"))
-    sections = F.array(
-        F.struct(*_section("kinds", "Kinds", "category_counts"), F.col("data")),
-        F.struct(*_section("top", "Top", "top_list"), F.col("data")),
-        F.struct(*_section("odd", "Odd", "other"), F.col("data")),
+    text = F.format_string(
+        '{"run_id": "run-%d", "meta": {"source_doc": "events", "generated_at": "2024-02-01"},\n "sections": [\n'
+        '{"id": "kinds", "title": "Kinds", "type": "category_counts", "data": [%s]},\n'
+        '{"id": "top", "title": "Top", "type": "top_list", "data": [%s]},\n'
+        '{"id": "odd", "title": "Odd", "type": "other", "owner": "team", "share": 1.50, "data": [%s]},\n'
+        '{"id": "none", "type": "top_list", "data": []}]}',
+        "total",
+        "plain",
+        "plain",
+        "odd",
     )
-    run = F.concat(F.lit("run-"), F.col("total").cast("string"))
-    return one.select(run.alias("run_id"), meta.alias("meta"), sections.alias("sections")).repartition(1)
+    return one.select(text.alias("value"))
 
 
 def top_rows(spark, sf):
@@ -113,19 +120,23 @@ def events_table(spark, sf):
 
 
 def sections(spark, sf):
-    """One small section per order: its status names the type."""
-    orders = table(spark, sf, "orders")
-    kind = (
-        F.when(F.col("o_orderstatus") == "F", "top_list").when(F.col("o_orderstatus") == "O", "events").otherwise("odd")
-    )
-    row = F.struct(F.col("o_orderpriority").alias("label"), F.col("o_custkey").alias("count"))
-    return orders.select(
+    """One proof document per order with one small section: its status names the type, its clerk is an attribute
+    nobody asked for. Written as a line of JSON each and read back."""
+    status = F.col("o_orderstatus")
+    kind = F.when(status == "F", "top_list").when(status == "O", "events").otherwise("odd")
+    row = F.struct(F.col("o_orderpriority").alias("label"), F.col("o_custkey").alias("count"), status.alias("foo"))
+    section = F.struct(
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("o_orderpriority").alias("title"),
         kind.alias("type"),
+        (F.col("o_custkey") + 0.5).alias("limit"),
+        F.col("o_custkey").alias("owner"),
         F.array_repeat(row, (F.col("o_custkey") % 8).cast("int")).alias("data"),
-        F.lit(None).cast("struct<min: string, max: string>").alias("summary"),
     )
+    path = scratch_path(spark, "proofs")
+    docs = table(spark, sf, "orders").select(F.to_json(F.struct(F.array(section).alias("sections"))).alias("value"))
+    docs.write.text(path)
+    return read_proof(spark, path, one_per_line=True)
 
 
 @query(
@@ -141,9 +152,11 @@ def section_route(spark, sf):
 @query(
     "section_fallback",
     """SELECT o_orderkey AS key,
-              '{"id":"' || o_orderkey || '","title":"' || o_orderpriority || '","type":"odd"}' AS attributes,
+              '{"id":"' || o_orderkey || '","limit":' || o_custkey || '.5,"owner":' || o_custkey || ',"title":"'
+                || o_orderpriority || '","type":"odd"}' AS attributes,
               array_to_string(list_transform(generate_series(1, least(o_custkey % 8, 5)),
-                lambda i: '{"label":"' || o_orderpriority || '","count":' || o_custkey || '}'), chr(10)) AS rows
+                lambda i: '{"count":' || o_custkey || ',"foo":"' || o_orderstatus || '","label":"' || o_orderpriority
+                  || '"}'), chr(10)) AS rows
        FROM orders WHERE o_orderstatus NOT IN ('F', 'O')""",
 )
 def section_fallback(spark, sf):
@@ -152,6 +165,19 @@ def section_fallback(spark, sf):
     return shown.select(F.col("id").cast("bigint").alias("key"), "attributes", "rows")
 
 
+@query(
+    "proof_top_lists",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS section_id, CAST(i AS INTEGER) AS rank,
+              CASE WHEN o_custkey % 8 = 0 THEN 'No data' ELSE o_orderpriority || ' — ' || o_custkey END AS line
+       FROM orders, generate_series(1, 8) AS g(i)
+       WHERE o_orderstatus = 'F' AND i <= greatest(o_custkey % 8, 1)""",
+)
+def proof_top_lists(spark, sf):
+    """The lists of all documents, one of eight without rows."""
+    lists = proof_rows(sections(spark, sf).filter("type = 'top_list'"))
+    return proof.top_list(lists, ["section_id"])
+
+
 @query(
     "footnote",
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Source: ' || o_orderpriority || ' • Run: ' || o_custkey

@@ -13,11 +13,10 @@ def _csv_line() -> Column:
     return F.when((F.col("c1") == "") & (F.col("c2") == "") & (F.col("c3") == ""), "").otherwise(cells)
 
 
-def write_sectioned_report(sections: DataFrame, path: str, single_file: bool = True) -> None:
-    """Sections one after the other, a blank row after each.
+def write_sectioned_report(sections: DataFrame, path: str, single_file: bool = False) -> None:
+    """Sections one after the other, a blank row after each, in files that follow one another in the order of their names.
 
-    The rows are counts, not data rows. Where a report lists so many distinct labels that one
-    file is too much, ``single_file=False`` leaves a globally sorted file per task.
+    ``single_file`` asks for one file, which one task writes: for reports of counts, not for long lists of duplicates.
     """
     lines = report_lines(sections)
     if single_file:

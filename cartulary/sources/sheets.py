@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartulary.functions.markup import behind_first
 from cartulary.operators.hotkeys import lookup
 
 SECTION_KINDS = ["Count", "Duplicate", "Average"]
@@ -16,38 +15,98 @@ def _csv_cells(line: Column, width: int) -> Column:
     return F.from_csv(line, schema, {"escape": '"'})
 
 
-def read_sectioned_report(spark: SparkSession, path: str) -> DataFrame:
-    """Sections of a report: ``(file, section_no, line_no, section, kind, label, pct, amount)``.
+def _report_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(report, file, split, id, line, blank): the lines of reports that say something or part sections.
 
-    A report is one file per text row, cut at blank lines. Sections of fewer than two lines
-    are skipped; the third header word names the kind.
+    A separator is an empty line, or commas only when a fixed-width writer made it. Lines of nothing but blanks are
+    neither. Ids grow along a split. Files that Spark numbered as parts are one report, in the order of their names; any
+    other file is a report of its own.
     """
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.regexp_replace("value", r"\r\n?", "\n").alias("value"),
+    name = F.col("_metadata.file_path")
+    folder = F.regexp_replace(name, r"/[^/]*$", "")
+    lines = spark.read.text(path).select(
+        F.when(F.regexp_extract(name, r"[^/]*$", 0).startswith("part-"), folder).otherwise(name).alias("report"),
+        name.alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+        F.rtrim(F.col("value"), F.lit("\r")).alias("line"),
+    )
+    return lines.withColumn("blank", F.col("line").rlike("^,*$")).filter(F.col("blank") | (F.trim("line") != ""))
+
+
+def _carried(marked: DataFrame) -> DataFrame:
+    """What each split of a report has to know of those before it, one row for each.
+
+    ``opens``: its first line begins a section. ``sections`` and ``said``: how many sections begin and lines stand before
+    it. ``head`` and ``head_at``: the header line of the section that is open where it begins, and its number.
+    """
+    split = ["report", "file", "split"]
+    facts = marked.groupBy(*split).agg(
+        F.min_by("blank", "id").alias("first_blank"),
+        F.max_by("blank", "id").alias("last_blank"),
+        F.min_by("line", "id").alias("first_line"),
+        F.count_if("starts").alias("starts"),
+        F.count_if(~F.col("blank")).alias("lines"),
+        F.max(F.when(F.col("starts"), F.struct("id", "line", "nth"))).alias("last"),
     )
-    # A separator row is an empty line, or commas only when a fixed-width writer made it.
-    parts = whole.select(
-        "file", F.posexplode(F.split("value", r"\n(?:,*\n)+")).alias("section_no", "body")
+    order = Window.partitionBy("report").orderBy("file", "split")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    opens = ~F.col("first_blank") & F.coalesce(F.lag("last_blank").over(order), F.lit(True))
+    facts = facts.withColumn("opens", opens).withColumn("said", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+    own = F.when(F.col("last").isNotNull(), F.struct(F.col("last.line").alias("line"), (F.col("said") + F.col("last.nth")).alias("at")))
+    own = F.coalesce(own, F.when(F.col("opens"), F.struct(F.col("first_line").alias("line"), (F.col("said") + 1).alias("at"))))
+    facts = facts.withColumn("own", own)
+    carried = F.last("own", ignorenulls=True).over(earlier)
+    begun = F.col("starts") + F.col("opens").cast("int")
+    return facts.withColumn("carried", carried).select(
+        *split,
+        "opens",
+        "said",
+        F.coalesce(F.sum(begun).over(earlier), F.lit(0)).alias("sections"),
+        F.col("carried.line").alias("head"),
+        F.col("carried.at").alias("head_at"),
     )
-    lines = F.filter(F.split(F.col("body"), "\n"), lambda x: F.trim(x) != "")
-    sections = parts.select("file", "section_no", lines.alias("lines")).filter(F.size("lines") > 1)
-    head = _csv_cells(F.col("lines")[0], 3)
-    kind = F.when(head["c3"].isin(SECTION_KINDS), head["c3"])
-    rows = sections.select(
-        "file",
-        "section_no",
-        head["c1"].alias("section"),
-        kind.alias("kind"),
-        F.posexplode(behind_first(F.col("lines"))).alias("line_no", "line"),
+
+
+def read_sectioned_report(spark: SparkSession, path: str) -> DataFrame:
+    """Sections of reports: ``(file, section_no, line_no, section, kind, label, pct, amount)``.
+
+    ``file`` is the report: a file, or the folder of one that was written in parts. A section is a header line and the
+    lines up to the next separator; its third header word names the kind. One without lines gives no rows.
+
+    Splits are read each by its own task. Windows hold one split; what is open at its beginning comes from one row for
+    each split before it, so a section may be of any length and cross splits and files.
+    """
+    split = ["report", "file", "split"]
+    within = Window.partitionBy(*split).orderBy("id")
+    lines = _report_lines(spark, path)
+    before = F.lag("blank").over(within)
+    marked = lines.select(
+        "*",
+        (~F.col("blank") & before).alias("starts"),  # null on the first line of a split
+        F.sum((~F.col("blank")).cast("bigint")).over(within).alias("nth"),
     )
+    met = marked.join(_carried(marked), split)
+    starts = F.coalesce(F.col("starts"), F.col("opens"))
+    met = met.withColumn("starts", starts).withColumn("at", F.col("said") + F.col("nth"))
+    head = F.last(F.when(F.col("starts"), F.struct("line", "at")), ignorenulls=True).over(within)
+    placed = met.select(
+        "report",
+        "line",
+        "blank",
+        "starts",
+        "at",
+        (F.col("sections") + F.sum(F.col("starts").cast("int")).over(within) - 1).alias("section_no"),
+        F.coalesce(head, F.when(F.col("head_at").isNotNull(), F.struct(F.col("head").alias("line"), F.col("head_at").alias("at")))).alias("head"),
+    )
+    title = _csv_cells(F.col("head.line"), 3)
     cells = _csv_cells(F.col("line"), 3)
-    return rows.select(
-        "file",
-        "section_no",
-        F.col("line_no").alias("line_no"),
-        "section",
-        "kind",
+    return placed.filter(~F.col("blank") & ~F.col("starts")).select(
+        F.col("report").alias("file"),
+        F.col("section_no").cast("bigint").alias("section_no"),
+        (F.col("at") - F.col("head.at") - 1).alias("line_no"),
+        title["c1"].alias("section"),
+        F.when(title["c3"].isin(SECTION_KINDS), title["c3"]).alias("kind"),
         F.coalesce(cells["c1"], F.lit("")).alias("label"),
         F.coalesce(cells["c2"], F.lit("")).alias("pct"),
         F.coalesce(cells["c3"], F.lit("")).alias("amount"),
@@ -141,27 +200,3 @@ def header_block(lines: DataFrame, link_base: str = "") -> DataFrame:
 
 def read_header_block(spark: SparkSession, path: str, link_base: str = "") -> DataFrame:
     return header_block(read_sheet_lines(spark, path), link_base)
-
-
-PROOF_SCHEMA = (
-    "run_id STRING, meta STRUCT<title: STRING, source_doc: STRING, generated_at: STRING>, "
-    "sections ARRAY<STRUCT<id: STRING, title: STRING, type: STRING, "
-    "data: ARRAY<STRUCT<label: STRING, count: BIGINT, entity_id: STRING, id: STRING, "
-    "flag: STRING, date: STRING, value: BIGINT>>, summary: STRUCT<min: STRING, max: STRING>>>"
-)
-
-
-def read_proof(spark: SparkSession, path: str) -> DataFrame:
-    """One row per section of each proof document, its data rows still nested."""
-    docs = spark.read.schema(PROOF_SCHEMA).option("multiLine", True).json(path)
-    return docs.select("run_id", "meta", F.posexplode("sections").alias("section_no", "s")).select(
-        "run_id", "meta", "section_no", "s.*"
-    )
-
-
-def proof_rows(sections: DataFrame) -> DataFrame:
-    """One row per data row of a section, in the order given."""
-    keep = [c for c in sections.columns if c != "data"]
-    return sections.select(*keep, F.posexplode("data").alias("pos", "d")).select(
-        *(F.col(c).alias("section_id" if c == "id" else c) for c in keep), "pos", "d.*"
-    )

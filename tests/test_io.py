@@ -10,7 +10,7 @@ from cartulary.operators import proof
 from cartulary.operators.recipes import null_counts, observe_nulls
 from cartulary.session import scratch_path
 from cartulary.sinks import tables as sink
-from cartulary.sources import sheets, tables
+from cartulary.sources import proofs, sheets, tables
 
 
 def test_newest_file(spark):
@@ -68,10 +68,13 @@ PROOF = {
     "meta": {"source_doc": "a.xlsx", "generated_at": "2025"},
     "sections": [
         {"id": "t", "title": "T", "type": "top_list", "data": [{"label": f"l{i}", "count": i} for i in range(12)]},
-        {"id": "e", "title": "E", "type": "events", "data": [{"entity_id": 16, "flag": "yes", "date": "2024-10-30"}, {"id": "z"}]},
+        {"id": "e", "title": "E", "type": "events", "data": [{"entity_id": 771, "flag": "no", "date": "1999-05-02"}, {"id": "z"}]},
         {"id": "d", "type": "date_counts", "data": [{"date": f"2023-01-{i:02}", "value": i} for i in range(1, 26)],
          "summary": {"min": "2023-01-01"}},
-        {"id": "o", "title": "O", "type": "odd", "data": [{"label": "x"}] * 7},
+        {"id": "o", "title": "O", "type": "odd", "owner": {"name": "me"}, "n": 1.50, "data": [{"label": "x", "bar": 2}] * 7},
+        {"id": "n", "type": "top_list"},
+        {"id": "f", "type": "top_list", "data": [None, {"count": 1.5}, {"label": "big", "count": 10**40, "foo": [1]}, {"label": "b", "count": 1.5}]},
+        "no section",
     ],
 }
 
@@ -80,31 +83,39 @@ PROOF = {
 def document(spark):
     path = scratch_path(spark, "proof")
     spark.createDataFrame([(json.dumps(PROOF, indent=1),)], "value string").write.text(path)
-    return sheets.read_proof(spark, path)
+    return proofs.read_proof(spark, path)
 
 
 def test_proof_lists(document):
-    rows = sheets.proof_rows(document)
-    top = proof.top_list(rows.filter("type = 'top_list'"), ["section_id"]).orderBy("rank").collect()
+    rows = proofs.proof_rows(document)
+    lists = proof.top_list(rows.filter("type = 'top_list'"), ["section_id"]).orderBy("rank")
+    top = lists.filter("section_id = 't'").collect()
+    assert [r["line"] for r in lists.filter("section_id = 'n'").collect()] == ["No data"]
+    assert [r["line"] for r in lists.filter("section_id = 'f'").collect()] == ["big — 1.0E40", "? — 1.5", "b — 1.5"]
+    assert {r["others"] for r in rows.filter("section_id = 'f'").collect()} == {"{}", '{"foo":[1]}'}
+    counts = proof.count_lines(rows.filter("type = 'top_list'"), ["section_id"]).filter("section_id <> 't'").collect()
+    assert {(r["section_id"], r["line"]) for r in counts} == {("n", "No data"), ("f", "?: 1.5"), ("f", "b: 1.5"), ("f", "big: 1.0E40")}
     assert [r["line"] for r in top][:2] == ["l11 — 11", "l10 — 10"]
     assert len(top) == 11 and top[-1]["line"] == "… and 2 more"
     dates = proof.date_counts(rows.filter("type = 'date_counts'"), ["section_id"]).orderBy("rank").collect()
     assert (dates[0]["line"], dates[20]["line"], len(dates)) == ("2023-01-01: 1", "… and 5 more", 21)
-    sorted_rows = proof.sort_count_desc(rows.filter("type = 'top_list'"), ["section_id"]).collect()
+    sorted_rows = proof.sort_count_desc(rows.filter("section_id = 't'"), ["section_id"]).collect()
     assert sorted_rows[0]["label"] == "l11"
 
 
 def test_proof_tables(document):
-    rows = sheets.proof_rows(document).filter("type = 'events'")
+    rows = proofs.proof_rows(document).filter("type = 'events'")
     got = [tuple(r) for r in proof.events_table(rows, ["pos"]).orderBy("pos").collect()]
-    assert got == [(0, "16", "yes", "2024-10-30"), (1, "z", "", "")]
+    assert got == [(0, "771", "no", "1999-05-02"), (1, "z", "", "")]
 
 
 def test_proof_texts(document):
     routed = {r["id"]: r["route"] for r in proof.route(document).collect()}
-    assert routed == {"t": "top_list", "e": "events", "d": "date_counts", "o": "fallback"}
+    kinds = {"t": "top_list", "e": "events", "d": "date_counts", "o": "fallback", "n": "top_list", "f": "top_list"}
+    assert routed == kinds | {None: "fallback"}
     shown = proof.fallback(document.filter("type = 'odd'"), ["id"]).first()
-    assert json.loads(shown["attributes"]) == {"id": "o", "title": "O", "type": "odd"}
+    assert json.loads(shown["attributes"]) == {"id": "o", "title": "O", "type": "odd", "owner": {"name": "me"}, "n": 1.5}
+    assert json.loads(shown["rows"].split("\n")[0]) == {"label": "x", "bar": 2}
     assert shown["rows"].count("\n") == 4
     note = document.select(
         proof.footnote(F.col("meta.source_doc"), F.col("run_id"), F.col("meta.generated_at")).alias("x"),

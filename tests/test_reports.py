@@ -128,14 +128,65 @@ def test_fixed_reports(spark):
     assert [(r["label_0"], r["n_0"], r["label_1"], r["n_1"]) for r in rows] == [("Yes", 2, "odd", 1), ("No", 0, "", None)]
 
 
-@pytest.mark.parametrize("flags", [{}, {"root_only": "yes"}, {"separate_nodes": "yes"}, {"delimiter": ";"}])
-def test_long_value_lists_count_alike(spark, monkeypatch, flags):
-    rows = [(str(i), x, "", "") for i, x in enumerate(["a | B", " b", "", None, "c;a", "a|a | d", "b | c;b "])]
-    config = [{"column": "tags", "value": v, **flags} for v in ("b", "A", "zz", "c", "d", "a")]
-    config[-1] = {"column": "tags", "value": "a", "root_only": "yes"}
-    answers = []
-    for limit in (100, 2):
-        monkeypatch.setattr(rp, "MANY_VALUES", limit)
-        got = report(spark, *config, rows=rows).filter("section_no > 0").collect()
-        answers.append(sorted((r["entry_no"], r["label"], r["pct"], r["n"]) for r in got))
-    assert answers[0] == answers[1] and len(answers[0]) == 5
+def test_sections_without_rows_keep_their_header(spark):
+    rows = [("1", "a", "1%", "x"), ("2", "b", "2%", "y")]
+    path = scratch_path(spark, "empty-section")
+    write_sectioned_report(report(spark, {"column": "name", "duplicate": "yes"}, {"column": "tags", "aggregate": "yes"}, rows=rows), path)
+    text = [r["value"] for r in spark.read.text(path).collect()]
+    assert text == ["Total rows,,2", "", "NAME,,Duplicate", "", "TAGS,%,Count", "a,50.00%,1", "b,50.00%,1", ""]
+    assert {r["section"] for r in read_sectioned_report(spark, path).collect()} == {"TAGS"}
+
+
+def _as_one_text(text):
+    """Sections of a text, read in one piece: (section_no, line_no, section, label)."""
+    sections, here = [], None
+    for line in text.split("\n"):
+        if not line.strip(","):
+            here = None
+        elif line.strip():
+            if here is None:
+                here = []
+                sections.append(here)
+            here.append(line.split(","))
+    return sorted((i, j, s[0][0], cells[0]) for i, s in enumerate(sections) for j, cells in enumerate(s[1:]))
+
+
+@pytest.mark.parametrize("cut", [1, 7, 40, 100_000])
+def test_sections_cross_splits_and_files(spark, tmp_path, cut):
+    """A report in many parts, each in many splits: sections of no, one and very many lines."""
+    lines = ["", "A,%,Count"] + [f"a{i},1%,{i}" for i in range(300)] + ["", ",,", "B,,Duplicate", "", "  ", "C,,Average", " ", ",,1%"]
+    lines += ["", "D,%,Count"] + [f"d{i},,{i}" for i in range(40)] + ["", "", "E,x,odd", "e,,1"]
+    for n, at in enumerate(range(0, len(lines), cut)):
+        (tmp_path / f"part-{n:05}.txt").write_text("\n".join(lines[at : at + cut]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = read_sectioned_report(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["section_no"], r["line_no"], r["section"], r["label"]) for r in got) == _as_one_text("\n".join(lines))
+    assert {(r["section"], r["kind"]) for r in got} == {("A", "Count"), ("C", "Average"), ("D", "Count"), ("E", None)}
+
+
+def test_files_of_other_names_are_reports_of_their_own(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("A,%,Count\na,,1\n")
+    (tmp_path / "two.csv").write_text("b,,2\n\nB,%,Count\r\nc,,3")
+    got = read_sectioned_report(spark, str(tmp_path)).collect()
+    assert sorted((r["file"].rsplit("/", 1)[1], r["section_no"], r["section"], r["label"]) for r in got) == [
+        ("one.csv", 0, "A", "a"), ("two.csv", 1, "B", "c"),
+    ]
+
+
+def test_a_report_in_several_files_comes_back(spark):
+    rows = [(str(i), f"tag {i % 4_000:04}", "", "") for i in range(5_000)]
+    path = scratch_path(spark, "long-report")
+    built = report(spark, {"column": "tags", "aggregate": "yes"}, {"column": "name", "duplicate": "yes"}, rows=rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_sectioned_report(built, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).count() > 3
+    got = read_sectioned_report(spark, path).filter("section = 'TAGS'").orderBy("line_no").collect()
+    assert [r["label"] for r in got] == sorted(f"tag {i:04}" for i in range(4_000))
+    assert [r["line_no"] for r in got] == list(range(4_000)) and {r["section_no"] for r in got} == {1}
