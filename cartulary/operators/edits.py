@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartulary.operators.hotkeys import lookup
-
 PLACE = "place_id"
 
 
@@ -36,7 +34,10 @@ def nearest_edit(
             F.max_by(edit, F.struct(-_micros(F.col("edit_ts")), F.col("edit_id"))).alias("_first"),
         )
     )
-    asked = targets.select(PLACE, F.to_date(target_ts).alias("_day")).filter("_day is not null")
+    # A target without a date asks for the newest edit of its place, under a day of its own.
+    dated = F.col(target_ts).isNotNull()
+    day = F.coalesce(F.to_date(target_ts), F.lit("1970-01-01").cast("date"))
+    asked = targets.filter(dated).select(PLACE, F.to_date(target_ts).alias("_day"))
     days = daily.select(PLACE, "_day", "_first", "_last").unionByName(
         asked.distinct(), allowMissingColumns=True
     )
@@ -53,23 +54,23 @@ def nearest_edit(
     )
     around = days.select(
         PLACE,
+        F.lit(True).alias("_dated"),
         "_day",
         F.col("_last").alias("_same"),
         F.last("_last", ignorenulls=True).over(up).alias("_before"),
         F.last("_first", ignorenulls=True).over(down).alias("_after"),
     )
-    newest = daily.groupBy(PLACE).agg(F.max_by("_last", "_day").alias("_newest"))
+    newest = daily.groupBy(PLACE).agg(F.max_by("_last", "_day").alias("_same"))
+    newest = newest.select(PLACE, F.lit(False).alias("_dated"), F.lit("1970-01-01").cast("date").alias("_day"), "_same")
+    facts = around.unionByName(newest, allowMissingColumns=True)
 
-    t = targets.withColumn("_day", F.to_date(target_ts))
-    t = lookup(t, around, [PLACE, "_day"])
-    t = lookup(t, newest, [PLACE], weigh=targets)
+    # As many facts as days asked for; adaptive execution cuts a place or day with a large share of the targets.
+    t = targets.withColumns({"_dated": dated, "_day": day}).join(facts, [PLACE, "_dated", "_day"], "left")
     goal = _micros(F.col(target_ts))
     to_before = goal - _micros(F.col("_before.edit_ts"))
     to_after = _micros(F.col("_after.edit_ts")) - goal
     nearer = F.when(
         F.col("_after").isNull() | (to_before < to_after), F.col("_before")
     ).otherwise(F.col("_after"))
-    pick = F.when(F.col(target_ts).isNull(), F.col("_newest")).otherwise(
-        F.coalesce(F.col("_same"), nearer)
-    )
+    pick = F.coalesce(F.col("_same"), nearer)
     return t.withColumn("_pick", pick).select(*targets.columns, "_pick.*")

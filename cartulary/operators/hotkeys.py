@@ -40,28 +40,64 @@ def _parts(hot: dict[int, int], keys: Sequence[str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), F.xxhash64(*keys)), F.lit(1))
 
 
+def _holds(kind: T.DataType, sort: type | tuple[type, ...]) -> bool:
+    if isinstance(kind, sort):
+        return True
+    if isinstance(kind, T.StructType):
+        return any(_holds(f.dataType, sort) for f in kind.fields)
+    return isinstance(kind, T.ArrayType) and _holds(kind.elementType, sort)
+
+
+def digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A hash of some columns of a row, whatever their types; null and missing entries count."""
+    parts: list[Column] = []
+    for name in columns:
+        c = F.col(f"`{name}`")
+        told = F.to_json(F.struct(c)) if _holds(df.schema[name].dataType, (T.MapType, T.VariantType)) else c
+        parts += [told.isNull(), told]
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
+
+
+def one_each(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One of the facts of each key, the same on every run; equal facts are no choice."""
+    rest = [c for c in facts.columns if c not in keys]
+    picked = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), digest(facts, rest)) if rest else F.first(F.lit(1))
+    one = facts.groupBy(*keys).agg(picked.alias("_one"))
+    return one.select(*keys, *[F.col("_one").getField(c).alias(c) for c in rest])
+
+
+def _salted(rows: DataFrame, parts: Column) -> DataFrame:
+    """``rows`` with ``_salt`` from 0 to ``parts``, also for rows that are equal.
+
+    A row's salt is its place in its task, whose rows are sorted by a hash first: a task that runs again deals the same
+    rows to the same salts.
+    """
+    hashed = rows.withColumn("_hash", digest(rows, rows.columns)).sortWithinPartitions("_hash")
+    return hashed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts.cast("bigint")).cast("int")).drop("_hash")
+
+
 def lookup(
     rows: DataFrame,
     facts: DataFrame,
     keys: Sequence[str],
     how: str = "left",
     weigh: DataFrame | None = None,
+    hot: dict[int, int] | None = None,
 ) -> DataFrame:
-    """Join ``rows`` to ``facts``, which has one row per key.
+    """Join ``rows`` to ``facts``, which has one row per key; see ``one_each``.
 
-    Rows of a hot key are spread over several tasks by a salt made from the whole row, and the
-    fact of that key is repeated once per salt: a bounded number of extra rows. Without hot keys
-    it is a plain join. The salt depends on the row alone, so a recomputed task cuts alike.
-    ``weigh`` is a table with the same keys to look for hot ones in, for rows that are themselves
-    the outcome of a long plan.
+    Rows of a hot key are spread over several tasks, equal rows too, and the fact of that key is repeated once per
+    part: a bounded number of extra rows. Without hot keys it is a plain join. ``weigh`` is a table with the same keys to
+    look for hot ones in, for rows that are themselves the outcome of a long plan; ``hot`` are hot keys found before, so
+    that several joins share one pass.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup keeps rows: left or inner only")
-    hot = hot_keys(rows if weigh is None else weigh, keys)
+    if hot is None:
+        hot = hot_keys(rows if weigh is None else weigh, keys)
     if not hot:
         return rows.join(facts, list(keys), how)
     parts = _parts(hot, keys)
-    hashed = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*hashed), parts).cast("int"))
+    salted = _salted(rows, parts)
     spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

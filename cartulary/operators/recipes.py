@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.ids import place_id
 from cartulary.functions.text import fill_blank, strip_edges
-from cartulary.operators.hotkeys import lookup
+from cartulary.operators.hotkeys import lookup, one_each
 
 
 def with_constant(df: DataFrame, name: str, value: object) -> DataFrame:
@@ -68,19 +68,23 @@ def fill_nulls(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 def fixed_output(
     ids: DataFrame, results: DataFrame, key: str, columns: Sequence[str]
 ) -> DataFrame:
-    """Every id with a fixed list of text columns; blanks where there is no result."""
-    found = lookup(ids, results.select(key, *columns), [key])
+    """Every id with a fixed list of text columns; blanks where there is no result.
+
+    Of several results of an id one is taken, the same on every run, so no id is repeated. Equal ids stay, and
+    are spread however many there are.
+    """
+    found = lookup(ids, one_each(results.select(key, *columns), [key]), [key])
     return found.select(*ids.columns, *(fill_blank(F.col(c)).alias(c) for c in columns))
 
 
 def join_inner(
     left: DataFrame, right: DataFrame, keys: Sequence[str], right_unique: bool = False
 ) -> DataFrame:
-    """Equi-join. When the right side has one row per key, hot keys of the left are spread.
+    """Equi-join. Adaptive execution cuts skewed partitions by their measured size.
 
-    Otherwise adaptive execution cuts skewed partitions by their measured size.
+    Where it is off and the right side has one row per key, hot keys of the left are looked for and spread.
     """
-    if right_unique:
+    if right_unique and left.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
         return lookup(left, right, keys, "inner")
     return left.join(right, list(keys), "inner")
 
@@ -156,4 +160,4 @@ def running_mean(
             F.sum("_s").over(upto).cast("double"), F.sum("_n").over(upto).cast("double")
         ).alias(out),
     )
-    return lookup(df, means, [*by, day])
+    return df.join(means, [*by, day], "left")  # as few rows as there are days; adaptive execution cuts a hot day

@@ -1,23 +1,27 @@
 """Questions about the version history of places, for all places at once.
 
 A history has ``place_id, version_ts, entry_id`` and any fields. Versions are ordered by
-``(version_ts, entry_id)``. Every answer is built from aggregates that combine before the shuffle
-and from joins against one row per place: no window ever holds a whole history, so a place with
-a large share of all versions is no burden.
+``(version_ts, entry_id)``. Answers are aggregates that combine before the shuffle, or come from one
+sorted scan (``sortedscan``) where a version has to know the one before it: no window ever holds a
+whole history, so a place with a large share of all versions is no burden.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartulary.functions.notes import json_notes
 from cartulary.functions.text import fill_blank, header_tokens, title_level2
 from cartulary.functions.times import fmt_iso, fmt_mdy
-from cartulary.operators.hotkeys import lookup
+from cartulary.operators.hotkeys import digest
 from cartulary.operators.recipes import HOURS_MODE, PRESENCE_MODE
+from cartulary.operators.sortedscan import first_in, first_place, in_order, segments, taken
 
 PLACE = "place_id"
 ORDER = ("version_ts", "entry_id")
@@ -62,9 +66,10 @@ def filter_by_field(
     hits = versions.filter(touched)
     if not keep_unfiltered:
         return hits
-    has_hit = versions.groupBy(PLACE).agg(F.max(touched).alias("_any"))
-    kept = lookup(versions, has_hit, [PLACE])
-    return kept.filter(touched | ~F.coalesce("_any", F.lit(False))).drop("_any")
+    # Only places with a hit, each once; a version without place is of no place with one.
+    touching = hits.filter(F.col(PLACE).isNotNull()).select(PLACE).distinct().withColumn("_any", F.lit(True))
+    kept = versions.join(touching, PLACE, "left")
+    return kept.filter(touched | F.col("_any").isNull()).drop("_any")
 
 
 def asof_before(
@@ -98,27 +103,53 @@ def first_with(
     """
     dated = dated_versions(versions)
     names = [*ORDER, *(f for f in dict.fromkeys([*at_first, *before_first]) if f not in ORDER)]
-    firsts = dated.groupBy(PLACE).agg(
-        F.min_by(_fields(names), F.when(present, version_order())).alias("_first")
-    )
     if not before_first:
+        firsts = dated.groupBy(PLACE).agg(
+            F.min_by(_fields(names), F.when(present, version_order())).alias("_first")
+        )
         return firsts.select(
             PLACE,
             F.col("_first").isNotNull().alias("found"),
             *(F.col(f"_first.{c}").alias(c) for c in names),
         )
-    keyed = lookup(dated.select(PLACE, *ORDER, _fields(before_first).alias("_fields")), firsts, [PLACE])
-    first_at = F.struct(*(F.col(f"_first.{c}") for c in ORDER))
-    # Every version before the first hit is a miss, so the latest of them is the one before it.
-    earlier = F.col("_first").isNull() | (version_order() < first_at)
-    joined = keyed.groupBy(PLACE).agg(
-        F.first("_first").alias("_first"),
-        F.max_by("_fields", F.when(earlier, version_order())).alias("_prior"),
+    rows = dated.select(
+        PLACE,
+        *ORDER,
+        F.coalesce(present, F.lit(False)).alias("_present"),
+        version_order().alias("_at"),
+        _fields(names).alias("_hit"),
+        _fields(before_first).alias("_before"),
+    )
+
+    def summary(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray) -> dict[str, pa.Array]:
+        column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        hit = first_in(column["_present"].to_numpy(zero_copy_only=False), starts, ends)
+        return {
+            "_start": taken(column["_at"], starts),
+            "_hit": taken(column["_hit"], hit),
+            "_inside": pa.array(hit > starts),  # the version before the hit is in this segment
+            "_prior": taken(column["_before"], np.where(hit > starts, hit - 1, -1)),
+            "_end": taken(column["_before"], ends - 1),
+        }
+
+    kind = {f.name: f.dataType for f in rows.schema.fields}
+    parts = [("_start", kind["_at"]), ("_hit", kind["_hit"]), ("_inside", T.BooleanType()), ("_prior", kind["_before"]), ("_end", kind["_before"])]
+    found = segments(rows, PLACE, [*ORDER, "_present"], summary, T.StructType([T.StructField(*p) for p in parts]))
+    told = F.struct(F.struct("_start", F.col("_hit").isNotNull()).alias("_place"), "_hit", "_inside", "_prior", "_end")
+    joined = found.groupBy(PLACE).agg(in_order(told, "_place").alias("_all"))
+    at = first_place(F.col("_all"), lambda s: s["_hit"].isNotNull())
+    one = F.get("_all", F.col("_n") - 1)
+    first = F.when(F.col("_n") > 0, one["_hit"])
+    prior = (
+        F.when(F.col("_n") == 0, F.element_at("_all", -1)["_end"])
+        .when(one["_inside"], one["_prior"])
+        .otherwise(F.get("_all", F.col("_n") - 2)["_end"])
     )
+    settled = joined.withColumn("_n", at).select(PLACE, first.alias("_first"), prior.alias("_prior"))
     prior = F.col("_prior")
     if fallback_to_self:
         prior = F.coalesce(prior, F.struct(*(F.col(f"_first.{c}") for c in before_first)))
-    return joined.withColumn("_prior", prior).select(
+    return settled.withColumn("_prior", prior).select(
         PLACE,
         F.col("_first").isNotNull().alias("found"),
         F.col("_first.version_ts").alias("version_ts"),
@@ -159,32 +190,55 @@ def first_change(versions: DataFrame, threshold: Column, tracked: Sequence[str])
 
     The base is the first version at or after the threshold. All versions up to the first change
     equal the base in the tracked fields, so the change is the first version that differs from
-    the base. Places without a base give no row.
+    the one before it; states are compared by a 64-bit hash. Places without a base give no row.
     """
     since = dated_versions(versions).filter(F.col("version_ts") >= threshold)
-    since = since.select(PLACE, *ORDER, _fields(tracked).alias("_state"))
-    base = since.groupBy(PLACE).agg(F.min_by("_state", version_order()).alias("_base"))
-    differs = ~F.col("_state").eqNullSafe(F.col("_base"))
-    changes = (
-        lookup(since, base, [PLACE])
-        .groupBy(PLACE)
-        .agg(
-            F.min(F.when(differs, version_order())).alias("_change"),
-            F.first("_base").alias("_base"),
-        )
+    rows = since.select(
+        PLACE,
+        *ORDER,
+        digest(since, tracked).alias("_state"),
+        version_order().alias("_at"),
+        _fields(tracked).alias("_fields"),
+    )
+
+    def summary(batch: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray) -> dict[str, pa.Array]:
+        column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        state = column["_state"].to_numpy()
+        moved = np.concatenate(([False], state[1:] != state[:-1]))
+        moved[starts] = False
+        change = first_in(moved, starts, ends)
+        return {
+            "_start": taken(column["_at"], starts),
+            "_state": taken(column["_state"], starts),
+            "_base": taken(column["_fields"], starts),
+            "_held": taken(column["_at"], np.where(change >= 0, change - 1, -1)),  # the last version before a change inside
+            "_end": taken(column["_at"], ends - 1),
+        }
+
+    kind = {f.name: f.dataType for f in rows.schema.fields}
+    parts = [("_start", kind["_at"]), ("_state", kind["_state"]), ("_base", kind["_fields"]), ("_held", kind["_at"]), ("_end", kind["_at"])]
+    found = segments(rows, PLACE, [*ORDER, "_state"], summary, T.StructType([T.StructField(*p) for p in parts]))
+    # Where two batches part rows of one time and entry, the one that goes on behind them comes later.
+    told = F.struct(F.struct("_start", "_end", "_state").alias("_place"), "_state", "_held", "_end")
+    joined = found.groupBy(PLACE).agg(
+        in_order(told, "_place").alias("_all"), F.min_by("_base", F.struct("_start", "_end", "_state")).alias("_base")
     )
-    held = F.col("_change").isNull() | (version_order() < F.col("_change"))
-    last_held = lookup(since.drop("_state"), changes, [PLACE]).groupBy(PLACE).agg(
-        F.max(F.when(held, version_order())).alias("_last"),
-        F.first("_change").alias("_change"),
-        F.first("_base").alias("_base"),
+    base = F.get("_all", F.lit(0))["_state"]
+    at = first_place(F.col("_all"), lambda s: (s["_state"] != F.col("_first")) | s["_held"].isNotNull())
+    one = F.get("_all", F.col("_n") - 1)
+    between = one["_state"] != F.col("_first")  # it begins with the change
+    last = (
+        F.when(F.col("_n") == 0, F.element_at("_all", -1)["_end"])
+        .when(between, F.get("_all", F.col("_n") - 2)["_end"])
+        .otherwise(one["_held"])
     )
-    return last_held.select(
+    settled = joined.withColumn("_first", base).withColumn("_n", at)
+    return settled.select(PLACE, "_base", (F.col("_n") > 0).alias("changed"), last.alias("_last")).select(
         PLACE,
         F.col("_last.version_ts").alias("version_ts"),
         F.col("_last.entry_id").alias("entry_id"),
-        F.col("_change").isNotNull().alias("changed"),
-        F.when(F.col("_change").isNotNull(), fmt_iso(F.col("_last.version_ts")))
+        "changed",
+        F.when(F.col("changed"), fmt_iso(F.col("_last.version_ts")))
         .otherwise(NO_CHANGE)
         .alias("changed_at"),
         *(F.col(f"_base.{c}").alias(c) for c in tracked),
@@ -199,7 +253,7 @@ def present_vs_edited(
     ``places`` has ``place_id``, ``present_badge`` and ``title``; blanks where nothing is known.
     """
     at = asof_before(versions, threshold, [badge, header])
-    joined = lookup(places, at, [PLACE])
+    joined = places.join(at, PLACE, "left")
     return joined.select(
         PLACE,
         F.coalesce(fmt_mdy(F.col("version_ts")), F.lit("")).alias("edited_at"),
