@@ -57,6 +57,29 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def contents(markup: Column, opening: str, tag: str) -> Column:
+    """What stands in each element of that tag, from an open tag that fits to the next end tag.
+
+    The markup is cut at its end tags once. Each cut holds at most one such element, from its first open tag on; what is
+    behind the last end tag is in none. So tags that never end cost no search for an end.
+    """
+    cut = F.split(markup, rf"(?i)</{tag}\s*+>", -1)
+
+    def content(part: Column) -> Column:
+        # An open tag ends at a >, so none begins behind the last one.
+        ahead = F.regexp_extract(part, r"(?s)\A.*>", 0)
+        return let(
+            ahead,
+            lambda h: F.when(
+                h.rlike(rf"(?is){opening}"),
+                F.concat(F.regexp_extract(h, rf"(?is){opening}(.*)\z", 1), F.substring(part, F.length(h) + 1, F.lit(ALL))),
+            ),
+        )
+
+    closed = F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0)))
+    return F.filter(F.transform(closed, content), lambda c: c.isNotNull())
+
+
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null when nothing matches."""
     return F.try_element_at(all_matches(text, pattern, group), F.lit(1))

@@ -1,7 +1,7 @@
 """Blocks to sections with bullets, numeric points, charts and images.
 
-Every window and group here is one page or one section of it, and all of them keep the
-partitioning by ``page_id`` that the block step has made.
+Blocks come with their section, so lines are cut where they lie. Every window and group is one page row or one
+section of it; they share one exchange of the lines by ``page_row``.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.markup import let
 from cartulary.functions.text import strip_edges
-from cartulary.operators.blocks import PAGE
+from cartulary.operators.blocks import PAGE, PAGE_ROW, TITLE_SECTION
 
-KEYS = [PAGE, "section_no"]
+KEYS = [PAGE, PAGE_ROW, "section_no"]
 LINE_ORDER = ["block_no", "sub", "line_no"]
 
 # Line patterns, tried in the order of `line_class`.
@@ -43,33 +43,17 @@ def _is_title() -> Column:
 def deck_titles(blocks: DataFrame) -> DataFrame:
     """First heading of level 1 or 2 of each page."""
     title = F.min_by("text", F.when(_is_title(), F.col("block_no")))
-    return blocks.groupBy(PAGE).agg(F.coalesce(title, F.lit(DEFAULT_TITLE)).alias("title"))
-
-
-TITLE_SECTION = -1
+    found = blocks.groupBy(PAGE_ROW, PAGE).agg(F.coalesce(title, F.lit(DEFAULT_TITLE)).alias("title"))
+    return found.select(PAGE, "title")
 
 
 def assign_sections(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``section_no``.
+    """Blocks with ``section_no``, which they have from ``extract_blocks``.
 
     The page title is section -1 on its own. Any other heading opens a section, and what stands
     before the first one is section 0.
     """
-    page = Window.partitionBy(PAGE)
-    title_no = F.min(F.when(_is_title(), F.col("block_no"))).over(page)
-    is_title = F.coalesce(
-        (F.col("type") == "heading") & (F.col("block_no") == F.col("_title")), F.lit(False)
-    )
-    opens = ((F.col("type") == "heading") & ~is_title).cast("int")
-    upto = page.orderBy("block_no", "sub").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        blocks.withColumn("_title", title_no)
-        .withColumn("_opened", F.sum(opens).over(upto))
-        .withColumn(
-            "section_no", F.when(is_title, F.lit(TITLE_SECTION)).otherwise(F.col("_opened")).cast("bigint")
-        )
-        .drop("_title", "_opened")
-    )
+    return blocks.withColumn("section_no", F.col("section_no").cast("bigint"))
 
 
 def section_lines(sections: DataFrame) -> DataFrame:
@@ -170,15 +154,17 @@ def classified_lines(sections: DataFrame) -> DataFrame:
     """
     line, kind = F.col("line"), F.col("class")
     above = (
-        Window.partitionBy(*KEYS).orderBy(*LINE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(PAGE_ROW, "section_no")
+        .orderBy(*LINE_ORDER)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    t = section_lines(sections).withColumn("class", line_class(line, F.col("source")))
+    t = _carry_split(section_lines(sections).withColumn("class", line_class(line, F.col("source"))))
     label = F.last(F.when(kind == "label", line), ignorenulls=True).over(above)
     choice = F.lower(F.concat(*(F.regexp_extract(line, CHART_CHOICE, g) for g in (1, 2, 3))))
     value = F.when(kind == "number", number_value(line))
     name = F.when(kind == "number", number_label(line)).when(kind == "pair", pair_key(line))
     shown = F.when(kind == "number", number_text(value)).when(kind == "pair", pair_value(line))
-    t = t.select(
+    return t.select(
         *KEYS, *LINE_ORDER, "source", "line", "alt", "class",
         name.alias("label"),
         value.alias("value"),
@@ -190,18 +176,24 @@ def classified_lines(sections: DataFrame) -> DataFrame:
             F.concat(F.lit("Total sample: "), F.regexp_extract(line, TOTAL_SAMPLE, 1)),
         ).alias("subtitle"),
     )
-    return _carry_split(t)
 
 
 def _carry_split(lines: DataFrame) -> DataFrame:
-    """A split flag ahead of any content holds for the first section that is shown."""
-    page = Window.partitionBy(PAGE)
-    content = (F.col("section_no") == 0) & F.col("class").isin(
-        "total", "number", "pair", "text", "image"
+    """A split flag holds until a section is shown: that of a section that is not goes on to the next one that is.
+
+    A section is shown that has a title or any content; a chart choice and a label are none and end with their section.
+    """
+    ahead = (
+        Window.partitionBy(PAGE_ROW)
+        .orderBy("section_no")
+        .rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    )
+    shows = F.col("class").isin("total", "number", "pair", "text", "image") | (
+        (F.col("class") == "heading") & (F.col("line") != "")
     )
-    empty_lead = ~F.coalesce(F.max(content).over(page), F.lit(False))
-    moved = (F.col("class") == "split") & (F.col("section_no") == 0) & empty_lead
-    return lines.withColumn("section_no", F.when(moved, F.lit(1).cast("bigint")).otherwise(F.col("section_no")))
+    held = F.min(F.when(shows, F.col("section_no"))).over(ahead)
+    at = F.when(F.col("class") == "split", F.coalesce(held, F.col("section_no")))
+    return lines.withColumn("section_no", F.coalesce(at, F.col("section_no")))
 
 
 def _ordered(value: Column, when: Column) -> Column:

@@ -16,6 +16,7 @@ from cartulary.functions.markup import (
     TAG,
     all_matches,
     behind_first,
+    contents,
     decoded,
     first_match,
     first_of,
@@ -119,8 +120,7 @@ def next_block(row: Column) -> Column:
 
 
 def _texts(markup: Column, tag: str) -> Column:
-    inner = all_matches(markup, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>")
-    return F.filter(F.transform(inner, visible), lambda x: x != "")
+    return F.filter(F.transform(contents(markup, rf"<{tag}\b[^>]*>", tag), visible), lambda x: x != "")
 
 
 def label_value(cells: Column, label: str) -> Column:
@@ -155,12 +155,12 @@ def table_column(html: Column, cells: Column, label: str, table_class: str, colu
 
     Without the label, any table of the given class on the page is taken.
     """
-    tables = all_matches(html, rf"(?is)<table\b{_class(table_class)}>(.*?)</table\s*>")
+    tables = contents(html, rf"<table\b{_class(table_class)}>", "table")
     markup = F.coalesce(cell_of(cells, label), F.array_join(tables, " "))
     found = F.transform(
         F.split(markup, r"(?i)<tr\b"),
         lambda r: visible(
-            F.try_element_at(all_matches(r, r"(?is)<td\b[^>]*>(.*?)</td\s*>"), F.lit(column))
+            F.try_element_at(contents(r, r"<td\b[^>]*>", "td"), F.lit(column))
         ),
     )
     return F.coalesce(
@@ -287,7 +287,7 @@ def place_name(html: Column, rows: Column) -> Column:
         shown(first_match(html, rf"""(?is)\bdata-test-id=["']{m}["'][^>]*>(.*?)</"""))
         for m in TITLE_MARKERS
     ]
-    header = first_match(html, r"(?is)<header\b[^>]*>(.*?)</header\s*>")
+    header = first_of(contents(html, r"<header\b[^>]*>", "header"))
     banner = first_match(
         html, r"""(?is)<div\b[^>]*\bclass=["'][^"']*place-header[^"']*["'][^>]*>(.*)\z"""
     )
@@ -332,7 +332,7 @@ def corrections(rows: Column, label: str = "Corrections") -> Column:
     """Lists, JSON blocks, other code and text lines of one field, as a struct of texts."""
 
     def code_texts(cell: Column) -> Column:
-        found = all_matches(cell, r"(?is)<code\b[^>]*>(.*?)</code\s*>")
+        found = contents(cell, r"<code\b[^>]*>", "code")
         texts = F.transform(found, lambda c: strip_edges(decoded(F.regexp_replace(c, TAG, ""))))
         return F.filter(texts, lambda c: c != "")
 

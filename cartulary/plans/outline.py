@@ -90,7 +90,7 @@ def sec_assign(spark, sf):
 )
 def sec_pseudo_lines(spark, sf):
     sections = ol.assign_sections(bl.extract_blocks(note_pages(spark, sf)))
-    return ol.pseudo_lines(sections).drop("sub", "line_no")
+    return ol.pseudo_lines(sections).drop("sub", "line_no", "page_row")
 
 
 @query(

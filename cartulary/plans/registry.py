@@ -28,12 +28,9 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
-    """A test table. ``dealt`` is for jobs that spend much time on each row.
-
-    A table of fewer splits than cores is then dealt out evenly; one of many files stays as it is.
-    """
+    """A test table. ``dealt`` is for jobs that spend much time on each row: a table of a single file, which one task
+    would read, is dealt out to all cores first."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if dealt and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    if dealt and len(df.inputFiles()) == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
     return df

@@ -1,6 +1,7 @@
 """Fields, blocks and sections of pages: worked examples and generated pages with known answers."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,6 +217,58 @@ def test_split_ahead_of_content_moves_on(spark):
     assert [c["chart_group"] for c in got[1]["charts"]] == ["all"]
 
 
+def test_split_holds_until_a_section_is_shown(spark):
+    (got,) = plan(spark, "<h2></h2><p>[split]</p><h2>Next</h2><p>a - 1</p>")[1:]
+    assert [(got["title"], c["chart_group"]) for c in got["charts"]] == [("Next", "Group 1")]
+    # Over several that are not shown; a chart choice and a label end with their section.
+    html = "<h1>T</h1><h3></h3><p>[split]; (bar); short</p><h3></h3><p>(line)</p><h3>S</h3><p>a - 1; b - 2</p><h3>U</h3><p>c - 1</p>"
+    _, s, u = plan(spark, html)
+    assert [(c["chart_group"], c["chart_type"]) for c in s["charts"]] == [("Group 1", "pie")]
+    assert [c["chart_group"] for c in u["charts"]] == ["all"]
+    _, s, u = plan(spark, "<h1>T</h1><h3></h3><p>[split]; 1 - 1</p><h3>S</h3><p>a - 1</p>")
+    assert [c["chart_group"] for c in s["charts"] + u["charts"]] == ["Group 1", "all"]
+
+
+def test_pages_of_equal_or_no_id_stay_apart(spark):
+    html = "<h1>{0}</h1><p>{0} - 1</p><ul><li>{0}</ul><img src='{0}'>"
+    rows = [(1, html.format("A")), (1, html.format("B")), (None, html.format("C")), (None, html.format("D")), (2, None), (1, html.format("A"))]
+    df = spark.createDataFrame(rows, "page_id bigint, html string").repartition(3)
+    found = {}
+    for r in bl.extract_blocks(df).orderBy("block_no", "sub").collect():
+        found.setdefault((r["page_id"], r["page_row"]), []).append(r["text"] or r["src"] or r["items"])
+    want = [(i, [x, f"{x} - 1", [x], x]) for i, x in ((1, "A"), (1, "B"), (None, "C"), (None, "D"), (1, "A"))]
+    assert sorted(map(str, ((k[0], v) for k, v in found.items()))) == sorted(map(str, want))
+    plans = ol.section_plan(bl.extract_blocks(df)).collect()
+    assert sorted((str(r["page_id"]), r["bullets"][0]) for r in plans if r["bullets"]) == [
+        ("1", "A: 1"), ("1", "A: 1"), ("1", "B: 1"), ("None", "C: 1"), ("None", "D: 1"),
+    ]
+    titles = [(r["page_id"], r["title"]) for r in ol.deck_titles(bl.extract_blocks(df)).collect()]
+    assert sorted(map(str, titles)) == sorted(map(str, [(1, "A"), (1, "A"), (1, "B"), (None, "C"), (None, "D")]))
+
+
+def test_blocks_are_found_without_a_shuffle(spark):
+    plan_ = bl.extract_blocks(one_page(spark, "<p>x</p>"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan_
+
+
+def test_control_characters_are_text(spark):
+    assert blocks_of(spark, ["<p>a\x01b\x04<b>c</b>\x02</p>"]) == [[("paragraph", "a\x01b\x04 c \x02")]]
+
+
+def test_tags_that_never_end_take_linear_time(spark):
+    cell = '<div title="{}">C</div><div class="col-value">{}</div><div title="Next"></div>'
+    html = cell.format("Modern Category", "<span>a" * 16_000 + "<a>b</a>") + cell.format("Corrections", "<li>x" * 16_000 + "<code>" * 16_000)
+    html += cell.format("Name", "<span>" * 16_000) + "<h1>" * 16_000 + "<td>" * 16_000 + "<li" * 16_000
+    df = pg.readable(spark.createDataFrame([("x",)], "a string").select(F.lit(html).alias("html")))
+    start = time.perf_counter()
+    got = df.select(
+        pg.categories(F.col("cells")).alias("c"), pg.corrections(F.col("rows"))["list_items"].alias("l"),
+        pg.place_name(F.col("html"), F.col("rows")).alias("n"),
+    ).first()
+    assert time.perf_counter() - start < 10
+    assert (got["c"], got["l"]) == ("b", "")
+
+
 def test_titles(spark):
     df = spark.createDataFrame(
         [(1, "<h3>a</h3><h2>b</h2><h1>c</h1>"), (2, "<p>x</p>")], "page_id bigint, html string"
