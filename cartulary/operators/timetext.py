@@ -1,16 +1,16 @@
 """Weekly time expressions such as ``[[(t2h9){d5h8}]-[(t2h12){h1}]]``.
 
 Splitting a text into atoms and a postfix operator list needs a grammar, so one Arrow function
-does that and nothing else. Everything after it is column work inside the row: an expression
-holds a handful of atoms, its weekly intervals are arrays, and no step needs a shuffle.
+does that and nothing else. What an atom says is column work inside the row; a second Arrow function joins
+the minutes of an expression's atoms as bits. No step needs a shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from decimal import Decimal
-
-import pandas as pd
+from functools import lru_cache
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +30,8 @@ MONTHS = [
 ]
 DAY_MINUTES = 1440
 MOST_COUNTED = 999_999_999
-# Sums of as many such amounts as a text can hold still fit 38 digits.
-MOST_SAID = Decimal(10) ** 28
+DECIMAL_DIGITS = 30  # sums of as many amounts of so many digits as a text can hold still fit 38 digits
+LIMB_DIGITS = 18
 
 PARSED = T.StructType(
     [
@@ -136,25 +136,24 @@ def _parse_cell(cell: str | None) -> tuple[list[str], list[str], str | None]:
     return atoms, ops, None
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["atoms", "ops", "error"])
+_PARSED = pa.struct([("atoms", pa.list_(pa.string())), ("ops", pa.list_(pa.string())), ("error", pa.string())])
 
 
-@F.pandas_udf(PARSED)
-def parse_expression(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(PARSED)
+def parse_expression(texts: pa.Array) -> pa.Array:
     """Whole text as one expression."""
-    return _frame([_parse_text(t) for t in texts])
+    return pa.array([dict(zip(_PARSED.names, _parse_text(t), strict=True)) for t in texts.to_pylist()], _PARSED)
 
 
-@F.pandas_udf(PARSED)
-def parse_cell(cells: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(PARSED)
+def parse_cell(cells: pa.Array) -> pa.Array:
     """What a sheet cell means: first expression, else its snippets."""
-    return _frame([_parse_cell(c) for c in cells])
+    return pa.array([dict(zip(_PARSED.names, _parse_cell(c), strict=True)) for c in cells.to_pylist()], _PARSED)
 
 
-@F.pandas_udf(T.StringType())
-def extract_expression(cells: pd.Series) -> pd.Series:
-    return cells.map(lambda c: first_expression(c) if c else None)
+@F.arrow_udf(T.StringType())
+def extract_expression(cells: pa.Array) -> pa.Array:
+    return pa.array([first_expression(c) if c else None for c in cells.to_pylist()], pa.string())
 
 
 def snippets(cell: Column) -> Column:
@@ -175,13 +174,52 @@ def durations(atom: Column) -> Column:
 
 
 def _amounts(tokens: Column, unit: str) -> Column:
-    """Amounts of all tokens of one unit, in order and to the last digit, up to MOST_SAID."""
+    """Amounts of all tokens of one unit, in order, as their digits without leading zeros."""
     return F.transform(
         F.filter(tokens, lambda t: F.left(t, F.lit(1)) == unit),
-        lambda t: F.least(F.coalesce(F.substring(t, 2, ALL).try_cast("decimal(38,0)"), F.lit(MOST_SAID)), F.lit(MOST_SAID)),
+        lambda t: F.regexp_replace(F.substring(t, 2, ALL), r"\A0+(?=\d)", ""),
     )
 
 
+def _limbs(digits: Column, n: Column) -> Column:
+    """A number in decimal digits as n numbers below 10^18, the lowest first."""
+    wide = F.lpad(digits, n * LIMB_DIGITS, "0")
+    return F.transform(F.sequence(n - 1, F.lit(0)), lambda i: F.substring(wide, i * LIMB_DIGITS + 1, F.lit(LIMB_DIGITS)).cast("bigint"))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    """The sum of two numbers of any length, as digits."""
+    base = F.lit(10**LIMB_DIGITS)
+    n = F.ceil((F.greatest(F.length(a), F.length(b)) + 1) / LIMB_DIGITS).cast("int")
+    pairs = let(n, lambda k: F.zip_with(_limbs(a, k), _limbs(b, k), lambda x, y: x + y))
+    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return let(
+            x + acc["carry"],
+            lambda s: F.struct(
+                F.when(s >= base, 1).otherwise(0).cast("bigint").alias("carry"),
+                F.concat(F.lpad((s % base).cast("string"), LIMB_DIGITS, "0"), acc["out"]).alias("out"),
+            ),
+        )
+
+    return F.regexp_replace(F.reduce(pairs, start, step, lambda acc: acc["out"]), r"\A0+(?=\d)", "")
+
+
+def _total(amounts: Column) -> Column:
+    """The sum of amounts, to the last digit, as digits; 0 without any."""
+    zero = F.lit(0).cast("decimal(38,0)")
+    short = F.reduce(amounts, zero, lambda a, x: (a + x.try_cast("decimal(38,0)")).cast("decimal(38,0)")).cast("string")
+    long = F.reduce(amounts, F.lit("0"), _plus)
+    return F.when(F.exists(amounts, lambda x: F.length(x) > DECIMAL_DIGITS), long).otherwise(short)
+
+
+def _modulo(digits: Column, by: int) -> Column:
+    """The rest of a number of any length, as an integer."""
+    limbs = let(F.ceil(F.length(digits) / LIMB_DIGITS).cast("int"), lambda n: F.reverse(_limbs(digits, n)))
+    return F.reduce(limbs, F.lit(0).cast("bigint"), lambda a, x: (a * (10**LIMB_DIGITS % by) + x % by) % by).cast("int")
+
+
 def numbers(tokens: Column, unit: str) -> Column:
     """Numbers of all tokens of one unit, in order, as integers.
 
@@ -206,11 +244,6 @@ def _minutes(values: Column, each: int) -> Column:
     return F.reduce(values, F.lit(0), lambda a, x: F.least(a + F.least(x, F.lit(most)) * each, day))
 
 
-def _total(values: Column) -> Column:
-    zero = F.lit(0).cast("decimal(38,0)")
-    return F.reduce(values, zero, lambda a, x: (a + x).cast("decimal(38,0)"))
-
-
 def atom_days(quals: Column, durs: Column) -> Column:
     """Weekdays of an atom: a run of days, those named, or all seven."""
     named = numbers(quals, "t")
@@ -299,67 +332,88 @@ def _fold(codes: Column, empty: Column, operand, combine) -> Column:
     return F.try_element_at(F.reduce(codes, empty, step), F.lit(-1))
 
 
-def weekly_intervals(parsed: Column) -> Column:
-    """``array<struct<weekday, start_min, end_min>>`` of a parsed expression, merged and in order.
-
-    The ends of all atoms cut a weekday into pieces. A piece lies wholly in or out of each atom,
-    so the operators are folded over booleans. A run of kept pieces starts where no kept piece
-    ends and ends where none starts.
+INTERVALS = "array<struct<weekday:int,start_min:int,end_min:int>>"
+_DAY = (1 << DAY_MINUTES) - 1
+
+
+def _runs(bits: int) -> list[tuple[int, int]]:
+    """Where the runs of ones of a day begin and end."""
+    edges = bits ^ (bits << 1)
+    places = []
+    while edges:
+        low = edges & -edges
+        places.append(low.bit_length() - 1)
+        edges ^= low
+    return list(zip(places[::2], places[1::2], strict=True))
+
+
+@lru_cache(maxsize=1 << 14)
+def atom_bits(atom: str) -> int:
+    """The minutes of the week of one atom, a bit each; the same as ``atom_intervals`` says."""
+    quals = re.findall(QUALIFIER, m[1]) if (m := re.match(r"\(([^)]*)\)", atom)) else []
+    durs = re.findall(DURATION, m[1]) if (m := re.search(r"\{([^}]*)\}\Z", atom)) else []
+
+    def all_of(tokens: list[str], unit: str) -> list[int]:
+        return [min(int(t[1:]), MOST_COUNTED) if len(t) < 20 else MOST_COUNTED for t in tokens if t[0] == unit]
+
+    hours, minutes = all_of(quals, "h"), all_of(quals, "m")
+    if not hours and not any(minutes[:1]):
+        return 0
+    start = (hours[0] if hours else 0) * 60 + (minutes[0] if minutes else 0)
+    length = min(DAY_MINUTES, sum(all_of(durs, "h")) * 60 + sum(all_of(durs, "m")))
+    end = min(start + length, DAY_MINUTES)
+    if end <= start:
+        return 0
+    named, span = all_of(quals, "t"), (all_of(durs, "d") or [0])[0]
+    days = named or range(1, 8)
+    if named and span:
+        days = [(named[0] + i - 1) % 7 + 1 for i in range(min(span, 7))]
+    bits = 0
+    for day in days:
+        bits |= ((1 << end - start) - 1) << (day - 1) * DAY_MINUTES + start
+    return bits
+
+
+def week_runs(ops: list[str], atoms: list[int]) -> list[tuple[int, int, int]]:
+    """``(weekday, start_min, end_min)`` of a postfix list over sets of minutes, each set one integer of a bit a minute.
+
+    An operator without both operands keeps what it has; ``*`` and ``-`` have nothing then.
     """
+    stack: list[int] = []
+    for op in ops:
+        if op not in OP_CODES:
+            stack.append(atoms[int(op)])
+            continue
+        right = stack.pop() if stack else 0
+        left = stack.pop() if stack else 0
+        stack.append(left | right if op == "+" else left & right if op == "*" else left & ~right)
+    week = stack[-1] if stack else 0
+    out = []
+    for day in range(1, 8):
+        bits = (week >> DAY_MINUTES * (day - 1)) & _DAY
+        if bits:
+            out += [(day, start, end) for start, end in _runs(bits)]
+    return out
+
+
+def _weeks(ops: pa.Array, atoms: pa.Array) -> pa.Array:
+    """``week_runs`` of many expressions."""
+    found = [
+        week_runs(o or [], [atom_bits(x) for x in a or []]) for o, a in zip(ops.to_pylist(), atoms.to_pylist(), strict=True)
+    ]
+    flat = [r for rows in found for r in rows]
+    columns = [pa.array([r[i] for r in flat], pa.int32()) for i in range(3)]
+    rows = pa.StructArray.from_arrays(columns, names=["weekday", "start_min", "end_min"])
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in found], dtype=np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
-    def kept(codes: Column, per_atom: Column, at: Column) -> Column:
-        covers = lambda no: F.exists(
-            F.element_at(per_atom, no + 1), lambda x: (x["start_min"] <= at) & (at < x["end_min"])
-        )
-        return _fold(
-            codes,
-            F.array().cast("array<boolean>"),
-            covers,
-            lambda op, a, b: F.when(op == OP_CODES["+"], a | b)
-            .when(op == OP_CODES["*"], a & b)
-            .otherwise(a & ~b),
-        )
-
-    def cuts(per_atom: Column) -> Column:
-        ends = F.transform(F.flatten(per_atom), lambda x: F.array(x["start_min"], x["end_min"]))
-        return F.array_sort(F.array_distinct(F.flatten(ends)))
-
-    def pieces(codes: Column, per_atom: Column, at: Column) -> Column:
-        between = F.zip_with(
-            at,
-            F.slice(at, 2, DAY_MINUTES + 1),
-            lambda s, e: F.struct(s.alias("s"), e.alias("e")),
-        )
-        return F.filter(
-            between, lambda p: p["e"].isNotNull() & F.coalesce(kept(codes, per_atom, p["s"]), F.lit(False))
-        )
-
-    def merged(day: Column, runs: Column) -> Column:
-        starts, ends = F.transform(runs, lambda p: p["s"]), F.transform(runs, lambda p: p["e"])
-        return F.zip_with(
-            F.array_sort(F.array_except(starts, ends)),
-            F.array_sort(F.array_except(ends, starts)),
-            lambda s, e: F.struct(
-                day.cast("int").alias("weekday"), s.alias("start_min"), e.alias("end_min")
-            ),
-        )
-
-    def one_day(codes: Column, of_atoms: Column, day: Column) -> Column:
-        per_atom = F.transform(of_atoms, lambda a: F.filter(a, lambda x: x["weekday"] == day))
-        return let(
-            per_atom, lambda pa: let(pieces(codes, pa, cuts(pa)), lambda runs: merged(day, runs))
-        )
 
-    def all_days(codes: Column, of_atoms: Column) -> Column:
-        days = F.array_sort(F.array_distinct(F.transform(F.flatten(of_atoms), lambda x: x["weekday"])))
-        return F.flatten(F.transform(days, lambda day: one_day(codes, of_atoms, day)))
+def weekly_intervals(parsed: Column) -> Column:
+    """``array<struct<weekday, start_min, end_min>>`` of a parsed expression, merged and in order.
 
-    return let(
-        _codes(parsed["ops"]),
-        lambda codes: let(
-            F.transform(parsed["atoms"], atom_intervals), lambda atoms: all_days(codes, atoms)
-        ),
-    )
+    An atom's minutes of the week are the bits of one integer, so an operator is one bit operation whatever it joins.
+    """
+    return F.arrow_udf(_weeks, INTERVALS)(parsed["ops"], parsed["atoms"])
 
 
 def with_parsed(cells: DataFrame, text: str = "cell", whole: bool = False) -> DataFrame:
@@ -370,9 +424,8 @@ def with_parsed(cells: DataFrame, text: str = "cell", whole: bool = False) -> Da
 
 def weekly(cells: DataFrame, text: str = "cell", key: str = "key", whole: bool = True) -> DataFrame:
     """``(key, weekday, start_min, end_min)`` of every expression."""
-    return with_parsed(cells, text, whole).select(
-        key, F.inline(weekly_intervals(F.col("parsed")))
-    )
+    evaluated = with_parsed(cells, text, whole).select(key, weekly_intervals(F.col("parsed")).alias("_week"))
+    return evaluated.select(key, F.inline("_week"))
 
 
 # ---------------------------------------------------------------- text forms
@@ -471,16 +524,14 @@ def specials_text(cell: Column) -> Column:
 UNITS = [("y", "year"), ("M", "month"), ("d", "day"), ("h", "hour"), ("m", "minute")]
 
 
+def _counted(word: str):
+    return lambda n: F.when(n != "0", F.concat(n, F.lit(f" {word}"), F.when(n != "1", "s").otherwise("")))
+
+
 def duration_text(durs: Column) -> Column:
     parts = []
     for unit, word in UNITS:
-        n = _total(_amounts(durs, unit))
-        parts.append(
-            F.when(
-                n != 0,
-                F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n != 1, "s").otherwise("")),
-            )
-        )
+        parts.append(let(_total(_amounts(durs, unit)), _counted(word)))
     return F.coalesce(F.nullif(F.concat_ws(" and ", *parts), F.lit("")), F.lit("0 minutes"))
 
 
@@ -489,7 +540,7 @@ def _when_text(quals: Column, durs: Column) -> Column:
     year, month, day = _ymd(quals)
     named = numbers(quals, "t")
     span = F.coalesce(_first(numbers(durs, "d")), F.lit(0))
-    days_run = _first(_amounts(durs, "d")) % 7
+    days_run = _modulo(_first(_amounts(durs, "d")), 7)
     last_day = ((_first(named) + days_run + 5) % 7 + 1).cast("int")
     names = F.transform(named, lambda d: _name(WEEKDAYS, d))
     listed = F.when(

@@ -190,3 +190,36 @@ def test_large_amounts_neither_stop_the_job_nor_lose_digits(spark):
     assert "99999999 hours" in rows[0]["d"] and "2147483647 days and 1 hour" in rows[1]["d"]
     assert "2147483648 days" in rows[3]["d"] and "Monday through Tuesday" in rows[3]["d"]
     assert tx.translate_column(df, "cell").filter("translated is null").count() == 0
+
+
+def test_amounts_keep_all_their_digits(spark):
+    nines, long = "9" * 32, "7" * 90
+    cells = {
+        "[(h9){h" + nines + "}]": f"9:00 AM for {nines} hours",
+        "[(h9){h" + nines + "h1}]": f"9:00 AM for 1{'0' * 32} hours",
+        "[(h9){m" + long + "m" + long + "y007}]": f"9:00 AM for 7 years and {int(long) * 2} minutes",
+        "[(h9){d0}]": "9:00 AM for 0 minutes",
+        "[(t2h9){d" + long + "}]": f"9:00 AM for {long} days on Monday through {tx.WEEKDAYS[(2 + int(long) - 1 - 1) % 7]}",
+    }
+    df = spark.createDataFrame([(c,) for c in cells], "cell string")
+    got = tx.with_parsed(df, whole=True).select("cell", tx.describe(F.col("parsed")).alias("d")).collect()
+    assert {r["cell"]: r["d"] for r in got} == cells
+
+
+def test_week_runs_are_bit_operations():
+    mask = lambda day, start, end: ((1 << end - start) - 1) << (day - 1) * 1440 + start
+    atoms = [mask(2, 0, 60) | mask(7, 1380, 1440), mask(2, 30, 90), mask(2, 60, 61)]
+    assert tx.week_runs(["0", "1", "+"], atoms) == [(2, 0, 90), (7, 1380, 1440)]
+    assert tx.week_runs(["0", "1", "*"], atoms) == [(2, 30, 60)]
+    assert tx.week_runs(["0", "1", "2", "+", "-"], atoms) == [(2, 0, 30), (7, 1380, 1440)]
+    assert tx.week_runs([], []) == [] and tx.week_runs(["0", "*"], atoms) == []
+
+
+def test_atom_bits_say_what_atom_intervals_say(spark):
+    rng = random.Random(4)
+    part = lambda kinds, top: "".join(rng.choice(kinds) + str(rng.randint(0, top)) for _ in range(rng.randint(0, 4)))
+    atoms = [f"({part('yMdthm', 31)})" + rng.choice(["", f"{{{part('yMdhm', rng.choice([3, 9, 99, 10**25]))}}}"]) for _ in range(600)]
+    df = spark.createDataFrame([(a,) for a in atoms], "a string")
+    for r in df.select("a", tx.atom_intervals(F.col("a")).alias("i")).collect():
+        want = sorted((x["weekday"], x["start_min"], x["end_min"]) for x in r["i"])
+        assert tx.week_runs(["0"], [tx.atom_bits(r["a"])]) == want, r["a"]
