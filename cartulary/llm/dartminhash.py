@@ -6,11 +6,14 @@ there. Each dart also names one of ``k`` coordinates, and a coordinate keeps its
 agree on a coordinate with the probability of their weighted Jaccard similarity. Ranks are walked in layers that
 double, and a document stops at the first layer that leaves no coordinate empty: about k ln k darts, whatever its length.
 
-Documents that share a band of a signature become candidates, first tied to two representatives of the band, so a band of m
-documents gives 2m candidates. Candidates are checked on their whole shingle sets; groups are the connected components
-of the pairs that pass. Bands that then hold more than one class are gone through in rounds with more and more
-representatives, until every pair of a band is in one class, checked, or told apart by what is known: 1 - Jaccard is a
-metric, so texts whose likeness to a representative differs by more than a pair may differ are no pair.
+Documents that share a band of a signature become candidates. A shingle that no other candidate has is common to no pair, so
+a text can only have a partner if enough of its shingles are left; unlike texts round a shared passage, and copies with many
+changes of their own, leave their bands by that count. The rest is tied to two representatives of the band, one of them
+the text with the smallest share of shingles of its own, so a band of m documents gives 2m candidate pairs. Pairs are
+checked on their whole shingle sets; groups are the connected components of the pairs that pass. Bands that then hold more
+than one class are gone through in rounds with more and more representatives, until every pair of a band is in one
+class, checked, or told apart by what is known: 1 - Jaccard is a metric, so texts whose likeness to a representative
+differs by more than a pair may differ are no pair, and neither are two of which one has too few shared shingles.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.common import beside, connected, sieved, written
 from cartulary.llm.shingles import WIDTH, jaccard, mix, shingle_hashes, slices
+from cartulary.operators.hotkeys import lookup
 
 BANDS, ROWS = 25, 5
 SIMILAR = 0.8
@@ -126,17 +130,36 @@ def signed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the shingle hashes of each text, cut to 32 bits, as binary."""
+    """(node, size, shingles): the shingle hashes of each text as binary, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
                 sets = shingle_hashes([(t or "").encode("utf-8") for t in part.column(0).to_pylist()], width)
-                cut = [np.unique(s.astype(np.uint32)).tobytes() for s in sets]
-                columns = [pa.array([_node(s) for s in sets], type=pa.int64()), pa.array(cut, type=pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
+                columns = [
+                    pa.array([_node(s) for s in sets], type=pa.int64()),
+                    pa.array([len(s) for s in sets], type=pa.int64()),
+                    pa.array([s.tobytes() for s in sets], type=pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "node long, size long, shingles binary")
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """(node, size, shared) of ``sets(node, size, shingles)``: how many shingles of each another one has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                found = [np.frombuffer(s, dtype=np.int64) for s in part.column(1).to_pylist()]
+                owners = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(found))], names=["node", "h"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary")
+    each = sets.select("node", "shingles").mapInArrow(run, "node long, h long")
+    once = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = once.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("node", "size").join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
 def _likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,7 +168,7 @@ def _likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            like = [jaccard(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)) for x, y in zip(a, b, strict=True)]
+            like = [jaccard(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(like, type=pa.float64())], names=["a", "b", "like"])
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -159,7 +182,7 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def _linked(keys: DataFrame, ends: DataFrame, sets: DataFrame, like: DataFrame, least: float) -> DataFrame:
-    """(node, label): the classes of all pairs that share a key of ``keys(node, key)`` and are alike.
+    """(node, label): the classes of all pairs that share a key of ``keys(node, size, shared, key)`` and are alike.
 
     ``ends(key, low, high)`` are the first representatives, ``like(a, b, like)`` what came of the check against them.
     """
@@ -169,7 +192,7 @@ def _linked(keys: DataFrame, ends: DataFrame, sets: DataFrame, like: DataFrame,
         known = like.withColumnRenamed("like", f"to_{end}")
         members = members.withColumns({"a": F.greatest("node", end), "b": F.least("node", end)}).join(known, ["a", "b"], "left")
         members = members.withColumn(f"to_{end}", F.when(F.col("node") == F.col(end), 1.0).otherwise(F.col(f"to_{end}"))).drop("a", "b")
-    members = members.select("key", "node", "to_low", "to_high", F.col("node").isin(F.col("low"), F.col("high")).alias("done"))
+    members = members.select("key", "node", "size", "shared", "to_low", "to_high", F.col("node").isin(F.col("low"), F.col("high")).alias("done"))
     members = written(members, "members")
     checked, classes, each = like.select("a", "b"), 16, 4
     while True:
@@ -177,13 +200,15 @@ def _linked(keys: DataFrame, ends: DataFrame, sets: DataFrame, like: DataFrame,
         mixed = classed.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c < d")
         members = written(classed.join(mixed.select("key"), "key", "left_semi").where("not done"), "members")
         reps = members.groupBy("key", F.pmod(F.xxhash64("class", "key"), F.lit(classes)), F.pmod(F.xxhash64("node", "key"), F.lit(each)))
-        one = F.struct(F.xxhash64("key", "node"), "node", "class", "to_low", "to_high")
+        one = F.struct(F.xxhash64("key", "node"), "node", "class", "to_low", "to_high", "size", "shared")
         reps = written(reps.agg(F.min(one).alias("rep")).select("key", "rep"), "representatives")
         if reps.isEmpty():
             return labels
         apart = F.col("class") != F.col("rep.class")
         for end in ("to_low", "to_high"):
             apart &= F.abs(F.col(end) - F.col(f"rep.{end}")) <= 1 - least + 1e-9
+        common = least / (1 + least) * (F.col("size") + F.col("rep.size"))  # shingles that a pair has in common, at least
+        apart &= F.least("shared", "rep.shared") >= common - 1e-6
         met = members.join(reps, "key").where(apart).select(*_ordered("node", "rep.node")).distinct()
         new = written(met.join(checked, ["a", "b"], "left_anti"), "candidates")
         found = written(_likeness(new, sets), "likeness")
@@ -217,25 +242,32 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, width: int = WIDTH) ->
     counted = written(counted, "nodes")
 
     keys = table.select("node", F.explode("bands").alias("key"))
-    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    ends = written(ends, "bands")
-    keys = written(keys.join(ends, "key", "left_semi").distinct(), "band-nodes")
-    tied = keys.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    pairs = written(tied.select(*_ordered("node", "end")).distinct(), "candidates")
+    more = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    keys = written(keys.join(more, "key", "left_semi").distinct(), "band-nodes")
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     known = counted.withColumn("_at", F.xxhash64("doc_id", "text_hash"))
-    asked = known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("_at").alias("_at")).select("_at").distinct()
-    asked = written(asked, "asked")
+    asked = known.join(keys.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_at").alias("_at"))
+    asked = written(asked.select("_at").distinct(), "asked")
     marked = rows.withColumn("_at", F.xxhash64("doc_id", "text_hash"))
     few = sieved(marked, F.col("_at"), asked, F.col("_at")).join(asked, "_at", "left_semi")
     sets = written(_sets(few, width).dropDuplicates(["node"]), "shingles")
+
+    able = written(_shared(sets).where(F.col("shared") >= least * F.col("size") - 1e-6), "able")
+    keys = written(keys.join(able, "node"), "band-able")
+    order = F.struct(-F.col("shared") / F.col("size"), "node")
+    ends = keys.groupBy("key").agg(F.min(order).alias("best"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    low = F.col("best.node")
+    ends = written(ends.select("key", low.alias("low"), F.when(low == F.col("b"), F.col("a")).otherwise(F.col("b")).alias("high")), "bands")
+    keys = written(keys.join(ends, "key", "left_semi"), "band-members")
+    tied = keys.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    pairs = written(tied.select(*_ordered("node", "end")).distinct(), "candidates")
+
     labels = _linked(keys, ends, sets, written(_likeness(pairs, sets), "likeness"), least)
 
-    classed = counted.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    classed = written(counted.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")), "classed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
     facts = classed.groupBy("class").agg(F.min(order).alias("first"), F.sum("rows").alias("class_size"))
-    return classed.join(facts, "class").select(
+    return lookup(classed, written(facts, "class-facts"), ["class"], "inner").select(
         "doc_id",
         "text_hash",
         "rows",
