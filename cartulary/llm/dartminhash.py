@@ -13,7 +13,8 @@ the text with the smallest share of shingles of its own, so a band of m document
 checked on their whole shingle sets; groups are the connected components of the pairs that pass. Bands that then hold more
 than one class are gone through in rounds with more and more representatives, until every pair of a band is in one
 class, checked, or told apart by what is known: 1 - Jaccard is a metric, so texts whose likeness to a representative
-differs by more than a pair may differ are no pair, and neither are two of which one has too few shared shingles.
+differs by more than a pair may differ are no pair; and what two have in common is common with a representative, or is
+outside it and shared, so two that have too few of either are no pair.
 """
 
 from __future__ import annotations
@@ -184,7 +185,8 @@ def _ordered(x: str, y: str) -> list[Column]:
 def _linked(keys: DataFrame, ends: DataFrame, sets: DataFrame, like: DataFrame, least: float) -> DataFrame:
     """(node, label): the classes of all pairs that share a key of ``keys(node, size, shared, key)`` and are alike.
 
-    ``ends(key, low, high)`` are the first representatives, ``like(a, b, like)`` what came of the check against them.
+    ``ends(key, low, low_size, high, high_size)`` are the first representatives, ``like(a, b, like)`` what came of the check
+    against them.
     """
     labels = written(connected(like.where(F.col("like") >= least)), "labels")
     members = keys.join(ends, "key")
@@ -192,7 +194,10 @@ def _linked(keys: DataFrame, ends: DataFrame, sets: DataFrame, like: DataFrame,
         known = like.withColumnRenamed("like", f"to_{end}")
         members = members.withColumns({"a": F.greatest("node", end), "b": F.least("node", end)}).join(known, ["a", "b"], "left")
         members = members.withColumn(f"to_{end}", F.when(F.col("node") == F.col(end), 1.0).otherwise(F.col(f"to_{end}"))).drop("a", "b")
-    members = members.select("key", "node", "size", "shared", "to_low", "to_high", F.col("node").isin(F.col("low"), F.col("high")).alias("done"))
+        to = F.col(f"to_{end}")
+        members = members.withColumn(f"in_{end}", F.round(to * (F.col("size") + F.col(f"{end}_size")) / (1 + to)))  # shingles in common
+    told = ("size", "shared", "to_low", "to_high", "in_low", "in_high")
+    members = members.select("key", "node", *told, F.col("node").isin(F.col("low"), F.col("high")).alias("done"))
     members = written(members, "members")
     checked, classes, each = like.select("a", "b"), 16, 4
     while True:
@@ -200,7 +205,7 @@ def _linked(keys: DataFrame, ends: DataFrame, sets: DataFrame, like: DataFrame,
         mixed = classed.groupBy("key").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c < d")
         members = written(classed.join(mixed.select("key"), "key", "left_semi").where("not done"), "members")
         reps = members.groupBy("key", F.pmod(F.xxhash64("class", "key"), F.lit(classes)), F.pmod(F.xxhash64("node", "key"), F.lit(each)))
-        one = F.struct(F.xxhash64("key", "node"), "node", "class", "to_low", "to_high", "size", "shared")
+        one = F.struct(F.xxhash64("key", "node"), "node", "class", *told)
         reps = written(reps.agg(F.min(one).alias("rep")).select("key", "rep"), "representatives")
         if reps.isEmpty():
             return labels
@@ -209,6 +214,10 @@ def _linked(keys: DataFrame, ends: DataFrame, sets: DataFrame, like: DataFrame,
             apart &= F.abs(F.col(end) - F.col(f"rep.{end}")) <= 1 - least + 1e-9
         common = least / (1 + least) * (F.col("size") + F.col("rep.size"))  # shingles that a pair has in common, at least
         apart &= F.least("shared", "rep.shared") >= common - 1e-6
+        for end in ("in_low", "in_high"):  # what two have in common is in the representative, or is shared outside it
+            inside = F.least(end, f"rep.{end}")
+            outside = F.least(F.col("shared") - F.col(end), F.col("rep.shared") - F.col(f"rep.{end}"))
+            apart &= inside + outside >= common - 1e-6
         met = members.join(reps, "key").where(apart).select(*_ordered("node", "rep.node")).distinct()
         new = written(met.join(checked, ["a", "b"], "left_anti"), "candidates")
         found = written(_likeness(new, sets), "likeness")
@@ -254,10 +263,12 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, width: int = WIDTH) ->
 
     able = written(_shared(sets).where(F.col("shared") >= least * F.col("size") - 1e-6), "able")
     keys = written(keys.join(able, "node"), "band-able")
-    order = F.struct(-F.col("shared") / F.col("size"), "node")
-    ends = keys.groupBy("key").agg(F.min(order).alias("best"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    low = F.col("best.node")
-    ends = written(ends.select("key", low.alias("low"), F.when(low == F.col("b"), F.col("a")).otherwise(F.col("b")).alias("high")), "bands")
+    order = F.struct(-F.col("shared") / F.col("size"), "node", "size")
+    sized = F.struct("node", "size")
+    ends = keys.groupBy("key").agg(F.min(order).alias("low"), F.min(sized).alias("a"), F.max(sized).alias("b")).where("a.node < b.node")
+    ends = ends.withColumn("high", F.when(F.col("low.node") == F.col("b.node"), F.col("a")).otherwise(F.col("b")))
+    named = [F.col(f"{end}.{c}").alias(alias) for end in ("low", "high") for c, alias in (("node", end), ("size", f"{end}_size"))]
+    ends = written(ends.select("key", *named), "bands")
     keys = written(keys.join(ends, "key", "left_semi"), "band-members")
     tied = keys.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
     pairs = written(tied.select(*_ordered("node", "end")).distinct(), "candidates")

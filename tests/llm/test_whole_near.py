@@ -3,7 +3,9 @@
 import random
 from collections import defaultdict
 
-from cartulary.llm.dartminhash import near_classes
+import numpy as np
+
+from cartulary.llm.dartminhash import _sets, _shared, near_classes, signatures
 
 WORDS, VARIANTS, WIDTH = 150, 1_000, 5
 
@@ -37,3 +39,32 @@ def test_op8_graded_variants_of_one_text(spark):
     found = near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert 10 < len(members) < VARIANTS - 10
     assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in found} == want
+
+
+def test_op8_unlike_texts_round_one_passage(spark):
+    """Thousands of texts that share half their words are no pairs, and are told apart without being compared."""
+    dice = random.Random(8)
+    passage = " ".join(f"common{i}" for i in range(60))
+    texts = [f"{passage} {' '.join(f'own{dice.randrange(10**9)}' for _ in range(60))}" for _ in range(3_000)]
+    texts += [texts[0] + " tail"]
+    found = near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sizes = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in found}
+    assert sizes == {i: (i, 1) for i in range(1, 3_000)} | {0: (0, 2), 3_000: (0, 2)}
+
+
+def test_shared_counts_every_candidate(spark):
+    texts = [(i, f"a b c d e f g x{i}") for i in range(3)] + [(9, "quite other words stand in this one")]
+    got = {r["size"]: r["shared"] for r in _shared(_sets(spark.createDataFrame(texts, "id int, text string"), WIDTH)).collect() if r["shared"]}
+    assert got == {4: 3}
+
+
+def test_signatures_agree_by_weighted_likeness():
+    draw = np.random.default_rng(4)
+    names = draw.integers(1, 1 << 62, 400)
+    a, b = (np.where(draw.random(400) < 0.7, draw.gamma(2.0, 1.5, 400), 0) for _ in range(2))
+    b[:250] = a[:250]
+    found = signatures([names[a > 0], names[b > 0]], 4_000, [a[a > 0], b[b > 0]])
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert abs((found[0] == found[1]).mean() - want) < 0.03
+    plain = signatures([names[a > 0], names[b > 0]], 4_000)
+    assert abs((plain[0] == plain[1]).mean() - ((a > 0) & (b > 0)).sum() / ((a > 0) | (b > 0)).sum()) < 0.03
