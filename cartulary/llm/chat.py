@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # An escaped text holds neither of the two characters every mark starts with.
@@ -102,66 +102,51 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     Defined cases: a null text or role counts as empty; rows with null conv_id are one conversation of
     their own; turns are ordered by (turn, role, text) with null turns first, so ties and repeated rows
     have one order and each stays. No rows give no rows. One conversation is one value: its text must fit
-    into a row, whatever the number of rows that share its id.
+    into a row, whatever the number of rows that share its id. Work grows with the text, not with its square:
+    where a turn begins is a running sum over the turns before they are put together.
     """
-    turn = F.struct(
+    before_role, after_role = template.head.split("{role}")
+    said = turns.select(
+        "conv_id",
         F.col("turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    before_role, after_role = template.head.split("{role}")
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    written = grouped.select(
-        "conv_id",
-        F.transform("turns", lambda t: t.role).alias("roles"),
-        F.transform(
-            "turns",
-            lambda t: F.struct(
-                t.role.alias("role"),
-                F.concat(F.lit(before_role), escape(t.role), F.lit(after_role)).alias("head"),
-                escape(t.text).alias("body"),
-            ),
-        ).alias("parts"),
+    written = said.select(
+        "*",
+        F.concat(F.lit(before_role), escape(F.col("role")), F.lit(after_role)).alias("head"),
+        escape(F.col("text")).alias("body"),
     )
-    tail = len(template.tail)
-    placed = F.aggregate(
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    size = F.length("head") + F.length("body") + len(template.tail)
+    earlier = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = (earlier + len(template.opening) + 1 + F.length("head")).cast("int")
+    # Places grow from turn to turn, so they are the order of the turns as well.
+    placed = written.select("conv_id", F.struct(start.alias("start"), "role", "head", "body").alias("turn"))
+    grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("parts"))
+    segment = F.transform(
         "parts",
-        F.struct(
-            F.lit(len(template.opening) + 1).alias("at"),
-            F.array().cast("array<struct<role:string,start:int,length:int,loss:boolean>>").alias("segments"),
-        ),
-        lambda acc, p: F.struct(
-            (acc.at + F.length(p.head) + F.length(p.body) + tail).alias("at"),
-            F.concat(
-                acc.segments,
-                F.array(
-                    F.struct(
-                        p.role.alias("role"),
-                        (acc.at + F.length(p.head)).alias("start"),
-                        F.length(p.body).alias("length"),
-                        p.role.isin(*template.loss_roles).alias("loss"),
-                    )
-                ),
-            ).cast("array<struct<role:string,start:int,length:int,loss:boolean>>"),
+        lambda p: F.struct(
+            p.role.alias("role"),
+            p.start.alias("start"),
+            F.length(p.body).alias("length"),
+            p.role.isin(*template.loss_roles).alias("loss"),
         ),
-        lambda acc: acc.segments,
     )
-    turns_text = F.array_join(
-        F.transform("parts", lambda p: F.concat(p.head, p.body, F.lit(template.tail))), ""
-    )
-    return written.select(
+    roles = F.transform("parts", lambda p: p.role)
+    turns_text = F.array_join(F.transform("parts", lambda p: F.concat(p.head, p.body, F.lit(template.tail))), "")
+    return grouped.select(
         "conv_id",
-        F.size("roles").cast("long").alias("n_turns"),
-        F.coalesce(_states("roles", template).isin(*template.final), F.lit(False)).alias("valid"),
-        _legal_turns("roles", template).alias("legal_turns"),
+        F.size("parts").cast("long").alias("n_turns"),
+        F.coalesce(_states(roles, template).isin(*template.final), F.lit(False)).alias("valid"),
+        _legal_turns(roles, template).cast("long").alias("legal_turns"),
         F.concat(F.lit(template.opening), turns_text, F.lit(template.closing)).alias("formatted"),
-        placed.alias("segments"),
+        segment.alias("segments"),
     )
 
 
-def read_turns(formatted: Column, template: Template = Template()) -> Column:
-    """The turns written in a formatted conversation: array of (role, text), unescaped."""
-    before_role, after_role = template.head.split("{role}")
+def _pieces(formatted: Column, template: Template) -> Column:
+    """The turns of a formatted conversation, each without its tail."""
     inner = F.substring(
         formatted,
         F.lit(len(template.opening) + 1),
@@ -169,7 +154,12 @@ def read_turns(formatted: Column, template: Template = Template()) -> Column:
     )
     # Marks cannot occur inside an escaped text, so plain splitting is exact; the last piece is empty.
     pieces = F.split(inner, _quoted(template.tail), -1)
-    turns = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    return F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+
+
+def read_turns(formatted: Column, template: Template = Template()) -> Column:
+    """The turns written in a formatted conversation: array of (role, text), unescaped."""
+    before_role, after_role = template.head.split("{role}")
 
     def one(piece: Column) -> Column:
         body = F.substring(piece, F.lit(len(before_role) + 1), F.length(piece))
@@ -179,13 +169,24 @@ def read_turns(formatted: Column, template: Template = Template()) -> Column:
             unescape(F.substring(body, at + len(after_role), F.length(body))).alias("text"),
         )
 
-    return F.transform(turns, one)
+    return F.transform(_pieces(formatted, template), one)
+
 
+def read_loss(formatted: Column, segments: Column, template: Template = Template()) -> Column:
+    """The texts under the loss mask, unescaped: array of strings in order.
 
-def read_loss(formatted: Column, segments: Column) -> Column:
-    """The texts under the loss mask, unescaped: array of strings in order."""
-    carried = F.filter(segments, lambda s: s.loss)
-    return F.transform(carried, lambda s: unescape(F.substring(formatted, s.start, s.length)))
+    A segment is read inside its turn, whose place is known from the segment before it: to count code points from
+    the beginning of a long conversation for each of them would take the square of its length.
+    """
+    ends = F.transform(segments, lambda s: s.start + s.length + len(template.tail))
+    begins = F.concat(F.array(F.lit(len(template.opening) + 1)), ends)  # one too many; the shorter array decides below
+    turns = F.zip_with(_pieces(formatted, template), begins, lambda piece, at: F.struct(piece.alias("piece"), at.alias("at")))
+    texts = F.zip_with(
+        segments,
+        turns,
+        lambda s, t: F.when(s.loss, unescape(F.substring(t.piece, s.start - t.at + 1, s.length))),
+    )
+    return F.filter(texts, lambda x: x.isNotNull())
 
 
 def _quoted(mark: str) -> str:

@@ -24,8 +24,11 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  (7 + sum(18 + length(role_body) + length(body)))::BIGINT AS formatted_chars
-FROM written GROUP BY conv_id
+  (7 + sum(18 + length(role_body) + length(body)))::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(said, '' ORDER BY turn NULLS FIRST, role, text), 's?(ua)+') AS valid,
+  length(regexp_extract(string_agg(said, '' ORDER BY turn NULLS FIRST, role, text), '^s?(ua)*u?'))::BIGINT AS legal_turns
+FROM (SELECT *, CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS said FROM written)
+GROUP BY conv_id
 """
 
 
@@ -44,6 +47,8 @@ def op10(spark, sf_dir):
         read_turns(F.col("formatted")).alias("turns"),
         F.array_join(read_loss(F.col("formatted"), F.col("segments")), "").alias("loss"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "legal_turns",
     )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return read.select(
@@ -53,4 +58,6 @@ def op10(spark, sf_dir):
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
+        "legal_turns",
     )

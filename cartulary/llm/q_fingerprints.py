@@ -16,7 +16,7 @@ from cartulary.llm.shingles import slices
 
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, n_shingles double, in_next double"
 )
 
 
@@ -30,6 +30,19 @@ def likeness(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return int(np.searchsorted(both, seen[-1], side="right")) / len(seen)
 
 
+def shingles_of(a: np.ndarray, k: int = K) -> float:
+    """What ``fingerprints.distinct_count`` says."""
+    return float(len(a)) if len(a) < k else (k - 1) / (float(a[-1]) / float(1 << 63))
+
+
+def share_in(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
+    """What ``fingerprints.containment`` says."""
+    if not len(a):
+        return 1.0
+    j, n, m = likeness(a, b, k), shingles_of(a, k), shingles_of(b, k)
+    return min(1.0, j * (n + m) / ((1 + j) * n))
+
+
 def written(sketch: np.ndarray) -> str:
     return base64.b64encode(sketch.astype("<i8").tobytes()).decode("ascii")
 
@@ -57,8 +70,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [written(f) for f in found],
                 [likeness(a[4], f) for (a, _), f in zip(pairs, found, strict=True)],
                 [likeness(a[4], b[4]) for a, b in pairs],
+                [shingles_of(a[4]) for a, _ in pairs],
+                [share_in(a[4], b[4]) for a, b in pairs],
             ]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4]
             arrays = [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]
             names = [field.split()[0] for field in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays(arrays, names=names)

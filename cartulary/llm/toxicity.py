@@ -1,8 +1,9 @@
 """Toxicity of texts that may hide their words: leetspeak, letters set apart, letters repeated.
 
 1. A character language model is counted over all documents.
-2. Suspicious spans become lattices: a sign may stand for a letter, a run of one letter for one or two of it,
-   a gap between single letters for nothing. Viterbi decoding under the language model picks the likeliest reading.
+2. Characters nobody sees go, letters of other widths become plain. Suspicious spans become lattices: a sign may stand for
+   a letter, a run of one letter for one or two of it, a gap between single letters for nothing, and each for itself.
+   Viterbi decoding under the language model picks the likeliest reading.
 3. The restored text is scored by a logistic regression over counts of its character 4- and 5-grams, fitted on labelled
    rows. Only grams that are much more frequent in toxic rows take part. Near copies would make any gram of theirs look
    toxic, so a gram counts only as often as it stands in different contexts.
@@ -13,6 +14,8 @@ trigrams (at most 64^3 entries), the kept grams (at most MAX_GRAMS) and their co
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,12 +39,16 @@ STEPS = 400
 READINGS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y", "µ": "u",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "і": "i", "х": "x", "у": "y",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "і": "i", "х": "x", "у": "y", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h",
+    "к": "k", "м": "m", "т": "t", "в": "b", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
+    "υ": "u", "χ": "x", "μ": "u", "ı": "i", "ɡ": "g",
 }
+WILD = "*"  # stands for any letter, or for nothing
+LOOSE = "*+|"  # signs that may also stand between letters set apart
 UNSEEN = "​‌‍⁠­﻿"  # fixed values: characters without width
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"  # fixed values
 
-SIGN_COST, KEEP_COST, RUN_COST, GAP_COST = -1.0, -4.0, -1.0, -0.5
+SIGN_COST, KEEP_COST, RUN_COST, DOUBLE_COST, GAP_COST, WILD_COST = -1.0, -4.0, -1.0, -4.0, -0.5, -2.0
 
 # Classes of characters: 0 a border, 1.. the letters, then other letters and digits. Six bits each.
 _OTHER, _DIGIT = len(LETTERS) + 1, len(LETTERS) + 2
@@ -55,7 +62,7 @@ for _i, _ch in enumerate(LETTERS):
 _CLASS[48:58] = _DIGIT
 _SIGN = np.zeros(_TABLE_SIZE, dtype=bool)
 _SIGN[[ord(c) for c in READINGS if ord(c) < _TABLE_SIZE]] = True
-_SIGN[[ord(c) for c in UNSEEN if ord(c) < _TABLE_SIZE]] = True
+_SIGN[ord(WILD)] = True
 _SPACE = np.zeros(_TABLE_SIZE, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = True
 
@@ -109,8 +116,21 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 # -- decoding -----------------------------------------------------------------------------------------------
 
 
-def decode_span(span: str, model: np.ndarray) -> str:
-    """The likeliest plain reading of a lower-case span."""
+_HIDDEN = re.compile(f"[{UNSEEN}]")
+
+
+def unveiled(text: str | None) -> str:
+    """Lower case, without characters nobody sees, and with letters of other widths and styles as plain ones."""
+    text = (text or "").lower()
+    if text.isascii():
+        return text
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text).lower()
+    return _HIDDEN.sub("", text)
+
+
+def _units(span: str) -> list[list[tuple[str, float]]]:
+    """The lattice of a span: for each stretch what it may say, and the cost. Plain readings cost least."""
     units: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(span):
@@ -118,17 +138,27 @@ def decode_span(span: str, model: np.ndarray) -> str:
         while j < len(span) and span[j] == ch:
             j += 1
         run, i = j - i, j
-        if ch in UNSEEN:
-            continue
         if ch.isalpha() and ch not in READINGS:
-            units.append([(ch, 0.0)] if run == 1 else [(ch, RUN_COST if run > 2 else 2 * RUN_COST), (ch * 2, 0.0)])
-        elif ch in READINGS:
-            read = [(letter, SIGN_COST) for letter in READINGS[ch]]
-            if run > 1:
-                read += [(letter * 2, 2 * SIGN_COST) for letter in READINGS[ch]]
+            units.append([(ch, 0.0)] if run == 1 else [(ch, RUN_COST if run > 2 else DOUBLE_COST), (ch * 2, 0.0)])
+        elif ch in READINGS or ch == WILD:
+            letters = READINGS.get(ch, "abcdefghijklmnopqrstuvwxyz")
+            cost = WILD_COST if ch == WILD else SIGN_COST
+            read = [(letter, cost) for letter in letters]
+            if run > 1 and ch != WILD:
+                read += [(letter * 2, 2 * cost) for letter in letters]
+            if ch in LOOSE:
+                read.append(("", GAP_COST))
             units.append([*read, (ch * run, KEEP_COST)])
         else:
-            units.append([("", GAP_COST)])
+            while i < len(span) and not span[i].isalpha() and span[i] not in READINGS and span[i] != WILD:
+                i += 1
+            units.append([("", GAP_COST), (" ", 0.0)])
+    return units
+
+
+def decode_span(span: str, model: np.ndarray) -> str:
+    """The likeliest reading of a lower-case span, its plain one included."""
+    units = _units(span)
     table = model
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in units:
@@ -156,42 +186,78 @@ def _class_of(ch: str) -> int:
     return int(_CLASS[cp]) if cp < _TABLE_SIZE else _OTHER
 
 
-def suspicious_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _edges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of set flags begin and end."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def _punctuation(points: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Signs that do what they always do: exclamation marks that end a token, brackets that open one."""
+    plain = np.zeros(len(points), dtype=bool)
+    low, high = _edges(points == ord("!"))
+    ends = (high == len(points)) | space[np.minimum(high, len(points) - 1)]
+    first, last = _edges(points == ord("("))
+    opens = (first == 0) | space[np.maximum(first - 1, 0)]
+    for a, b in ((low[ends], high[ends]), (first[opens], last[opens])):
+        step = np.zeros(len(points) + 1, dtype=np.int64)
+        np.add.at(step, a, 1)
+        np.add.at(step, b, -1)
+        plain |= np.cumsum(step)[:-1] > 0
+    return plain
+
+
+def suspicious_spans(points: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of spans to decode, in order and apart from each other.
 
-    A token (no white space inside) with a sign right before a letter or with three equal letters in a row; or four
-    or more single letters with at most two characters between neighbours.
+    Tokens (no white space inside) of at least one plain letter, with a sign beside a letter or another sign on either side,
+    with three equal letters in a row, or with a doubled letter that the model would rather read once; and three or
+    more letters or signs that stand alone, two of them plain letters, with at most three characters between neighbours.
     """
+    none = np.zeros(0, dtype=np.int64)
+    n = len(points)
+    if not n:
+        return none, none
     kind = _CLASS[points]
-    letter = (kind > 0) & (kind < _DIGIT)
-    sign = _SIGN[points]
-    if not len(points):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    odd = np.zeros(len(points), dtype=bool)
-    odd[:-1] = sign[:-1] & letter[1:] & ~sign[1:]
-    if len(points) > 2:
-        odd[:-2] |= letter[:-2] & (points[:-2] == points[1:-1]) & (points[1:-1] == points[2:])
+    sign, space = _SIGN[points], _SPACE[points]
+    letter = (kind > 0) & (kind < _DIGIT) & ~sign
+    near = letter | sign
+    beside = np.zeros(n, dtype=bool)
+    beside[1:] |= near[:-1]
+    beside[:-1] |= near[1:]
+    odd = sign & beside & ~_punctuation(points, space)
+    same = np.flatnonzero(letter[:-1] & (points[:-1] == points[1:]))
+    if len(same):
+        before = kind[np.maximum(same - 1, 0)] * (same > 0)
+        after = kind[np.minimum(same + 2, n - 1)] * (same + 2 < n)
+        c = kind[same]
+        once = model[before, c, after] + DOUBLE_COST > model[before, c, c] + model[c, c, after]
+        odd[same[once]] = True
+        thrice = same[:-1][np.diff(same) == 1]
+        odd[thrice] = True
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    plain = np.concatenate(([0], np.cumsum(letter)))
     at = np.flatnonzero(odd)
     if len(at):
-        gaps = np.flatnonzero(_SPACE[points])  # a line end closes the last text, so every token has one
+        gaps = np.flatnonzero(space)  # a line end closes the last text, so every token has one
         after = np.searchsorted(gaps, at)
         ends, first = np.unique(gaps[after], return_index=True)
         before = after[first] - 1
         starts = np.where(before >= 0, gaps[np.maximum(before, 0)] + 1, 0)
-        found.append((starts, ends))
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
-    run_start, run_end = edge[::2], edge[1::2]
+        worded = plain[ends] > plain[starts]
+        found.append((starts[worded], ends[worded]))
+    run_start, run_end = _edges(near)
     single = np.flatnonzero(run_end - run_start == 1)
-    if len(single) >= 4:
+    if len(single) >= 3:
         ours, next_ = run_start[single[:-1]], run_start[single[1:]]
-        near = (np.diff(single) == 1) & (next_ - ours <= 3) & (points[ours + 1] != 10) & (points[next_ - 1] != 10)
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], near, [False])).astype(np.int8)))
-        low, high = edge[::2], edge[1::2]
-        long = high - low >= 3
-        found.append((run_start[single[low[long]]], run_end[single[high[long]]]))
+        lines = np.concatenate(([0], np.cumsum(points == 10)))
+        close = (np.diff(single) == 1) & (next_ - ours <= 4) & (lines[next_] == lines[ours])
+        low, high = _edges(close)
+        starts, ends = run_start[single[low]], run_end[single[high]]
+        long = (high - low >= 2) & (plain[ends] - plain[starts] >= 2)
+        found.append((starts[long], ends[long]))
     if not sum(len(s) for s, _ in found):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return none, none
     starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], np.maximum.accumulate(ends[order])
@@ -210,9 +276,9 @@ class Restorer:
         self.memo: dict[str, str] = {}
 
     def __call__(self, texts: list[str | None]) -> list[str]:
-        texts = [(t or "").lower() for t in texts]
+        texts = [unveiled(t) for t in texts]
         points, first = _points(texts)
-        starts, ends = suspicious_spans(points)
+        starts, ends = suspicious_spans(points, self.model)
         if not len(starts):
             return texts
         if len(self.memo) > self.MEMO:

@@ -46,6 +46,7 @@ CHATS = [
     (4, None, "user", "no turn"),
     (4, 1, "assistant", "<end>\n"),
 ]
+VECTORS = [(1, [1.0, -2.5], 0), (1, [1.0, -2.5], 0), (None, [0.0, 3.0], 1), (3, None, 1), (4, [float("nan"), 1.0], 1), (5, [], 0), (6, [2.0], 0)]
 
 
 def _tables(spark, where, keep):
@@ -54,6 +55,7 @@ def _tables(spark, where, keep):
         "labels": (LABELS, "doc_id long, quality int, toxic int"),
         "pages": (PAGES, "page_id long, url string, html string"),
         "conversations": (CHATS, "conv_id long, turn int, role string, text string"),
+        "embeddings": (VECTORS, "vec_id long, embedding array<float>, label int"),
     }
     for name, (listed, schema) in rows.items():
         frame = spark.createDataFrame(listed if keep else [], schema)

@@ -64,7 +64,7 @@ def classes(docs):
 
 
 def test_all_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline"} == set(range(1, 14))
     assert "pipeline" in NAMES
 
 
@@ -129,7 +129,8 @@ def test_op2_held_out_accuracy(spark):
     labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{where}/labels.parquet' WHERE toxic IS NOT NULL").fetchall()
     held = [(found[d]["predicted"], t) for d, t in labels if found[d]["held_out"]]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found.values())
-    assert sum(p == t for p, t in held) / len(held) >= 0.9
+    shares = [sum(p == t for p, t in held if t == kind) / sum(t == kind for _, t in held) for kind in (0, 1)]
+    assert sum(shares) / 2 >= 0.75 and shares[0] >= 0.95  # balanced: always answering 0 has 0.5
 
 
 def test_op2_odd_rows(spark, odd):
