@@ -274,19 +274,21 @@ def sec_plan(spark, sf):
     block_sql(NOTE_SQL)
     + LINE_CTES
     + """, s AS (SELECT page_id, section_no,
-               count(*) FILTER (WHERE class = 'text') AS paragraphs, count(*) FILTER (WHERE class IN ('number', 'pair')) AS bullets
+               count(*) FILTER (WHERE class = 'text') AS paragraphs, count(*) FILTER (WHERE class IN ('number', 'pair')) AS bullets,
+               md5(string_agg(line, chr(10) ORDER BY block_no, sub, line_no) FILTER (WHERE class = 'text')) AS text_md5
              FROM classed GROUP BY 1, 2),
       h AS (SELECT page_id, section_no, min_by(text, block_no) FILTER (WHERE type = 'heading') AS title
             FROM sections GROUP BY 1, 2)
       SELECT h.page_id, CAST(h.section_no AS BIGINT) AS section_no, title, CAST(coalesce(bullets, 0) AS INTEGER) AS bullets,
-             CAST(coalesce(paragraphs, 0) AS INTEGER) AS paragraphs
+             CAST(coalesce(paragraphs, 0) AS INTEGER) AS paragraphs, text_md5
       FROM h LEFT JOIN s ON h.page_id = s.page_id AND h.section_no = s.section_no
       WHERE title <> '' OR bullets > 0 OR paragraphs > 0
-      UNION ALL SELECT page_id, -1, text, NULL, NULL FROM blocks JOIN title USING (page_id) WHERE block_no = no""",
+      UNION ALL SELECT page_id, -1, text, NULL, NULL, NULL FROM blocks JOIN title USING (page_id) WHERE block_no = no""",
 )
 def sec_plan_documents(spark, sf):
     plan = ol.section_plan(bl.extract_blocks(note_pages(spark, sf)))
     size = lambda c: F.when(F.col("layout") == "content", F.size(c))
     return plan.select(
-        "page_id", "section_no", "title", size("bullets").alias("bullets"), size("paragraphs").alias("paragraphs")
+        "page_id", "section_no", "title", size("bullets").alias("bullets"), size("paragraphs").alias("paragraphs"),
+        F.when(F.size("paragraphs") > 0, F.md5(F.array_join("paragraphs", "\n"))).alias("text_md5"),
     )
