@@ -82,19 +82,16 @@ def lookup(
     keys: Sequence[str],
     how: str = "left",
     weigh: DataFrame | None = None,
-    hot: dict[int, int] | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``facts``, which has one row per key; see ``one_each``.
 
     Rows of a hot key are spread over several tasks, equal rows too, and the fact of that key is repeated once per
     part: a bounded number of extra rows. Without hot keys it is a plain join. ``weigh`` is a table with the same keys to
-    look for hot ones in, for rows that are themselves the outcome of a long plan; ``hot`` are hot keys found before, so
-    that several joins share one pass.
+    look for hot ones in, for rows that are themselves the outcome of a long plan.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup keeps rows: left or inner only")
-    if hot is None:
-        hot = hot_keys(rows if weigh is None else weigh, keys)
+    hot = hot_keys(rows if weigh is None else weigh, keys)
     if not hot:
         return rows.join(facts, list(keys), how)
     parts = _parts(hot, keys)
