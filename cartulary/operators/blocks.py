@@ -236,7 +236,8 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
         return F.concat(F.array(block), F.transform(b["images"], picture))
 
     shown = F.filter(F.flatten(F.transform("_blocks", rows)), lambda r: (r["type"] != "paragraph") | (r["text"] != ""))
-    return found.select(PAGE, PAGE_ROW, F.inline(shown))
+    # Outer: else the optimizer asks ahead, in another run of all this, which pages have no block.
+    return found.select(PAGE, PAGE_ROW, F.inline_outer(shown)).filter("type is not null")
 
 
 def image_blocks(pages: DataFrame) -> DataFrame:

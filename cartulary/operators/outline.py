@@ -76,7 +76,7 @@ def section_lines(sections: DataFrame) -> DataFrame:
     return (
         sections.select(
             *KEYS, "block_no", "sub", source.alias("source"), "alt",
-            F.posexplode(lines).alias("line_no", "line"),
+            F.posexplode_outer(lines).alias("line_no", "line"),
         )
         .withColumn("line", strip_edges(F.col("line")))
         .filter((F.col("line") != "") | (F.col("source") == "heading"))
@@ -265,7 +265,7 @@ def gathered_sections(lines: DataFrame) -> DataFrame:
 
 def section_charts(lines: DataFrame) -> DataFrame:
     """``(page_id, section_no, chart_no, chart_group, chart_type, label, value, share)``"""
-    charts = gathered_sections(lines).select(*KEYS, F.inline("charts"))
+    charts = gathered_sections(lines).select(*KEYS, F.inline_outer("charts")).filter("chart_no is not null")
     return charts.select(
         *KEYS, "chart_no", "chart_group", "chart_type", F.inline("data")
     )

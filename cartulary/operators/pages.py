@@ -301,9 +301,9 @@ def edit_rows(pages: DataFrame, key: str = "place_id") -> DataFrame:
     """``(key, pos, edit_ts, description)`` of every dated row of an edit list."""
     html = live_markup(F.col("html"))
     rows = behind_first(F.split(html, rf"(?i)<div\b{_class('audit-row')}>"))
-    listed = pages.select(key, F.posexplode(rows).alias("pos", "row")).withColumn(
-        "rows", titled_rows(F.col("row"))
-    )
+    # Outer: else the optimizer cuts every page twice, the first time to see whether it has rows.
+    cut = pages.select(key, F.posexplode_outer(rows).alias("pos", "row")).filter("pos is not null")
+    listed = cut.withColumn("rows", titled_rows(F.col("row")))
     cell = lambda label: visible(next_block(row_of(F.col("rows"), label)))
     return listed.select(
         key, "pos", cell("Date").alias("date"), cell("Description").alias("description")

@@ -283,7 +283,8 @@ def _found_counts(report: DataFrame, plan: _Plan) -> DataFrame:
     asked = [F.array(*(tagged(*one) for one in plan.single))] if plan.single else []
     asked += [each(*many) for many in plan.nodes]
     return (
-        report.select(F.inline(F.concat(*asked) if len(asked) > 1 else asked[0]))
+        report.select(F.inline_outer(F.concat(*asked) if len(asked) > 1 else asked[0]))
+        .filter("section_no is not null")  # outer, else all labels are worked out once more to see which rows have some
         .groupBy("section_no", "entry_no", "replaces", "label")
         .agg(F.count(F.lit(1)).alias("n"))
     )

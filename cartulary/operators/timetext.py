@@ -292,7 +292,7 @@ def _token_intervals(quals: Column, durs: Column) -> Column:
 
 def explode_atoms(parsed: DataFrame, key: str = "key") -> DataFrame:
     """``(key, atom_no, atom, quals, durs)``"""
-    atoms = parsed.select(key, F.posexplode("parsed.atoms").alias("atom_no", "atom"))
+    atoms = parsed.select(key, F.posexplode_outer("parsed.atoms").alias("atom_no", "atom")).filter("atom_no is not null")
     return atoms.select(
         key,
         "atom_no",
@@ -304,7 +304,7 @@ def explode_atoms(parsed: DataFrame, key: str = "key") -> DataFrame:
 
 def atom_interval_table(atoms: DataFrame, key: str = "key") -> DataFrame:
     """``(key, atom_no, weekday, start_min, end_min)``"""
-    return atoms.select(key, "atom_no", F.inline(atom_intervals(F.col("atom"))))
+    return atoms.select(key, "atom_no", F.inline_outer(atom_intervals(F.col("atom")))).filter("weekday is not null")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -425,7 +425,8 @@ def with_parsed(cells: DataFrame, text: str = "cell", whole: bool = False) -> Da
 def weekly(cells: DataFrame, text: str = "cell", key: str = "key", whole: bool = True) -> DataFrame:
     """``(key, weekday, start_min, end_min)`` of every expression."""
     evaluated = with_parsed(cells, text, whole).select(key, weekly_intervals(F.col("parsed")).alias("_week"))
-    return evaluated.select(key, F.inline("_week"))
+    # Outer: else the optimizer asks ahead, in another run of the function, which weeks are empty.
+    return evaluated.select(key, F.inline_outer("_week")).filter("weekday is not null")
 
 
 # ---------------------------------------------------------------- text forms
