@@ -16,7 +16,8 @@ row, save as a hash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ FITS = 0.5  # share of nodes two skeletons must have in common to be one wrapper
 MOST = 0.7  # share of the varying text below a child that makes it the content rather than its parent
 CONSTANT = 0.9  # share of the pages with a slot that must show a text there
 TITLES, TITLES_INSIDE = 3, 10  # different titles such pages must have, outside and inside an article
-MOST_CELLS = 1 << 24  # of an alignment of two lists of children; longer lists are aligned label by label, nth with nth
+ROWS_KNOWN = 64  # rows of weights held at once while two lists of children are aligned; others are looked up again
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl pre blockquote".split())
 CONTAINERS = frozenset("div main section article center table tbody tr td span form body font fieldset details".split())
 
@@ -74,24 +75,42 @@ class Skeleton:
         return len(self.labels)
 
 
-def _best(weights: list[list[int]]) -> tuple[int, list[tuple[int, int]]]:
-    """The heaviest pairing of rows with columns, both in order: its weight and its pairs."""
-    k, m = len(weights), len(weights[0]) if weights else 0
-    table = np.zeros((k + 1, m + 1), dtype=np.int64)
-    w = np.array(weights, dtype=np.int64).reshape(k, m)
-    for i in range(k):
-        row = np.maximum(table[i, 1:], table[i, :-1] + w[i])
-        table[i + 1, 1:] = np.maximum.accumulate(row)
-    pairs, i, j = [], k, m
+def _best(weights: Callable[[int], np.ndarray], k: int, m: int, paired: bool) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest pairing of k rows with m columns, both in order: its weight and, if asked for, its pairs.
+    ``weights`` gives a row.
+
+    Of the table of best weights only about sqrt(k) rows are kept. The way back works out those between once more, a
+    stretch at a time, so lists of every length are paired alike and never need the whole table.
+    """
+    step = math.isqrt(k) + 1
+
+    def below(row: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
+        for i in range(low, high):
+            after = row.copy()
+            np.maximum(row[1:], row[:-1] + weights(i)[: len(row) - 1], out=after[1:])
+            row = np.maximum.accumulate(after, out=after)
+            yield row
+
+    last = np.zeros(m + 1, dtype=np.int64)
+    kept = [last]  # rows 0, step, 2 step and so on
+    for i, last in enumerate(below(last, 0, k), 1):
+        if i % step == 0:
+            kept.append(last)
+    pairs, i, j = [], k if paired else 0, m
     while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return int(table[k, m]), pairs[::-1]
+        low = (i - 1) // step * step
+        table = [kept[low // step][: j + 1]]
+        table.extend(below(table[0], low, i))
+        while i > low and j:
+            here, above = table[i - low], table[i - low - 1]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+    return int(last[m]), pairs[::-1]
 
 
 class Matching:
@@ -121,7 +140,7 @@ class Matching:
             out[i] = self.shapes[key]
         return out
 
-    def _pairing(self, x: Sequence[int], y: Sequence[int]) -> tuple[int, list[tuple[int, int]]]:
+    def _pairing(self, x: Sequence[int], y: Sequence[int], paired: bool) -> tuple[int, list[tuple[int, int]]]:
         """The best pairing of two lists of shapes; equal beginnings and ends are paired at once."""
         low = 0
         while low < min(len(x), len(y)) and x[low] == y[low]:
@@ -133,28 +152,25 @@ class Matching:
         total = sum(self.sizes[x[i]] for i, _ in ends)
         mx, my = x[low : len(x) - high], y[low : len(y) - high]
         if mx and my:
-            if len(mx) * len(my) <= MOST_CELLS:
-                weight, pairs = _best([[self.weights.get((p, q), 0) for q in my] for p in mx])
-            else:
-                pairs = self._in_turn(mx, my)
-                weight = sum(self.weights.get((mx[i], my[j]), 0) for i, j in pairs)
+            weight, pairs = _best(self._rows(mx, my), len(mx), len(my), paired)
             total += weight
             ends += [(low + i, low + j) for i, j in pairs]
         return total, sorted(ends)
 
-    def _in_turn(self, x: Sequence[int], y: Sequence[int]) -> list[tuple[int, int]]:
-        places: dict[str, list[int]] = {}
-        for j in range(len(y) - 1, -1, -1):
-            places.setdefault(self.names[y[j]], []).append(j)
-        pairs, last = [], -1
-        for i, p in enumerate(x):
-            waiting = places.get(self.names[p], [])
-            while waiting and waiting[-1] <= last:
-                waiting.pop()
-            if waiting:
-                last = waiting.pop()
-                pairs.append((i, last))
-        return pairs
+    def _rows(self, x: Sequence[int], y: Sequence[int]) -> Callable[[int], np.ndarray]:
+        """The weights of one entry of the first list with all of the second, by its place; looked up once a shape."""
+        shapes: dict[int, int] = {}
+        places = np.array([shapes.setdefault(q, len(shapes)) for q in y])
+        known: dict[int, np.ndarray] = {}
+
+        def row(i: int) -> np.ndarray:
+            if x[i] not in known:
+                if len(known) == ROWS_KNOWN:
+                    known.clear()
+                known[x[i]] = np.array([self.weights.get((x[i], q), 0) for q in shapes], dtype=np.int64)
+            return known[x[i]][places]
+
+        return row
 
     def _weigh(self, p: int, q: int) -> int:
         """How many nodes two shapes share at most; all pairs of shapes that may meet below are weighed first."""
@@ -175,7 +191,7 @@ class Matching:
                 if below:
                     todo.extend(below)
                 else:
-                    self.weights[x, y] = 1 + self._pairing(self.parts[x], self.parts[y])[0]
+                    self.weights[x, y] = 1 + self._pairing(self.parts[x], self.parts[y], paired=False)[0]
         return self.weights[p, q]
 
     def pairs(self) -> list[int]:
@@ -188,7 +204,7 @@ class Matching:
             i, j = todo.pop()
             out[i] = j
             x, y = self.a.children[i], self.b.children[j]
-            found = self._pairing([self.of_a[c] for c in x], [self.of_b[d] for d in y])[1]
+            found = self._pairing([self.of_a[c] for c in x], [self.of_b[d] for d in y], paired=True)[1]
             todo.extend((x[s], y[t]) for s, t in found if self.a.labels[x[s]] == self.b.labels[y[t]])
         return out
 

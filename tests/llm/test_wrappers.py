@@ -150,6 +150,16 @@ def test_matching_is_the_best_one():
             assert a.labels[i] == b.labels[j] and (a.parents[i], b.parents[j]) in pairs
 
 
+def test_long_lists_are_matched_like_short_ones():
+    def tree(n, first):
+        return Skeleton("\n".join(["0 r", *(f"1 p\n2 c{i % 5}" for i in range(first, first + n))]))
+
+    for n in (50, 4_500):  # a list and the same one moved by one place
+        match = Matching(tree(n, 0), tree(n, 1))
+        assert match.weight == 1 + 2 * (n - 1)
+        assert match.pairs() == [0, -1, -1, *range(1, 2 * n - 1)]
+
+
 def test_content_is_where_most_text_varies():
     tree = Skeleton("0 \n1 div\n2 #\n1 div\n2 div\n3 p\n4 #\n2 div\n3 #")
     assert content_nodes(tree, {2: 1, 6: 90, 8: 5}) == [(4, 7)]
