@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartulary.functions.markup import let
 from cartulary.functions.text import squeeze
 
 # Accepted spellings, tried in this order.
@@ -27,10 +29,22 @@ CLOSURE_FORMATS = [
 ]
 
 
+def _may_fit(text: Column, fmt: str) -> Column:
+    """Whether the text has the signs of a format and the M of its AM or PM. A try that fails is an exception, so it is costly."""
+    signs = [c for c in dict.fromkeys(fmt) if not c.isalpha() and c != " "]
+    tests = [text.contains(c) for c in signs] + ([F.upper(text).contains("M")] if "a" in fmt else [])
+    return reduce(lambda x, y: x & y, tests)
+
+
 def parse_any(text: Column, formats: Sequence[str]) -> Column:
     """First format that fits, else null."""
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*tries)
+
+    def first(t: Column) -> Column:
+        return F.coalesce(
+            *(F.when(_may_fit(t, f), F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz")) for f in formats)
+        )
+
+    return let(text, first)
 
 
 def parse_version_ts(text: Column) -> Column:
@@ -44,14 +58,15 @@ def parse_edit_ts(text: Column) -> Column:
     Such a word may hold digits as long as its letters are upper case. AM/PM is not kept out:
     "01:00 PM" without a zone loses its PM and is read on the 24-hour clock.
     """
-    text = squeeze(text)
-    last = F.regexp_extract(text, r"([^ ]+)$", 1)
-    zone = (
-        F.length(last).between(2, 4) & (last == F.upper(last)) & (last != F.lower(last))
-    )
-    return parse_any(
-        F.when(zone, F.regexp_replace(text, r" ?[^ ]+$", "")).otherwise(text), EDIT_FORMATS
-    )
+
+    def without_zone(text: Column, last: Column) -> Column:
+        zone = (
+            F.length(last).between(2, 4) & (last == F.upper(last)) & (last != F.lower(last))
+        )
+        return F.when(zone, F.regexp_replace(text, r" ?[^ ]+$", "")).otherwise(text)
+
+    cut = let(squeeze(text), lambda t: let(F.regexp_extract(t, r"([^ ]+)$", 1), lambda last: without_zone(t, last)))
+    return parse_any(cut, EDIT_FORMATS)
 
 
 def parse_closure_date(text: Column) -> Column:

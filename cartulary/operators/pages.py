@@ -301,15 +301,21 @@ def edit_rows(pages: DataFrame, key: str = "place_id") -> DataFrame:
     """``(key, pos, edit_ts, description)`` of every dated row of an edit list."""
     html = live_markup(F.col("html"))
     rows = behind_first(F.split(html, rf"(?i)<div\b{_class('audit-row')}>"))
+
+    def entry(row: Column) -> Column:
+        cell = lambda cut, label: visible(next_block(row_of(cut, label)))
+        return let(
+            titled_rows(row),
+            lambda cut: F.struct(
+                parse_edit_ts(cell(cut, "Date")).alias("edit_ts"), cell(cut, "Description").alias("description")
+            ),
+        )
+
+    # Read before they are exploded: a filter on a column worked out later is pushed below it, with all its work once more.
     # Outer: else the optimizer cuts every page twice, the first time to see whether it has rows.
-    cut = pages.select(key, F.posexplode_outer(rows).alias("pos", "row")).filter("pos is not null")
-    listed = cut.withColumn("rows", titled_rows(F.col("row")))
-    cell = lambda label: visible(next_block(row_of(F.col("rows"), label)))
-    return listed.select(
-        key, "pos", cell("Date").alias("date"), cell("Description").alias("description")
-    ).select(key, "pos", parse_edit_ts(F.col("date")).alias("edit_ts"), "description").filter(
-        F.col("edit_ts").isNotNull() & F.col("description").isNotNull()
-    )
+    listed = pages.select(key, F.posexplode_outer(F.transform(rows, entry)).alias("pos", "entry"))
+    dated = listed.filter(F.col("entry.edit_ts").isNotNull() & F.col("entry.description").isNotNull())
+    return dated.select(key, "pos", "entry.edit_ts", "entry.description")
 
 
 # Possessive, so that a string with many escapes takes a loop and not the stack.

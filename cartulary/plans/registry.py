@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,10 +28,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+ROWS_A_TASK = 100_000  # of a table that is dealt out, at most
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
     """A test table. ``dealt`` is for jobs that spend much time on each row: a table of a single file, which one task
-    would read, is dealt out to all cores first."""
+    would read, is dealt out to all cores first, and one of many rows to more tasks, so that a task stays as long as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if dealt and len(df.inputFiles()) == 1:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+    if dealt:
+        files = len(df.inputFiles())
+        least = spark.sparkContext.defaultParallelism if files == 1 else files
+        tasks = max(least, math.ceil(df.count() / ROWS_A_TASK))
+        if tasks > files:
+            return df.repartition(tasks)
     return df

@@ -1,14 +1,18 @@
 """Fields, blocks and sections of pages: worked examples and generated pages with known answers."""
 
+import io
 import random
 import time
+from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from cartulary.operators import blocks as bl
 from cartulary.operators import outline as ol
 from cartulary.operators import pages as pg
+from cartulary.plans import registry
 
 
 def one_page(spark, html):
@@ -304,3 +308,17 @@ def test_long_strings_and_open_tags_take_bounded_time(spark):
     df = spark.createDataFrame([(opened,), ("a<!-- x -->b<SCRIPT>q</script >c<script>d",), (None,)], "t string")
     got = [r["t"] for r in df.select(live_markup(F.col("t")).alias("t")).collect()]
     assert got == [opened, "abc<script>d", None]
+
+
+def test_edit_rows_are_read_once(spark):
+    made = queries()["html_edit_rows"](spark, "/root/testdata/sf0.001")
+    with redirect_stdout(io.StringIO()) as plan:
+        made.explain("formatted")
+    assert plan.getvalue().count("yyyy-M-d h:m a") == 1  # each format is tried in one place
+
+
+def test_a_dealt_table_has_tasks_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(registry, "ROWS_A_TASK", 50)
+    many = registry.table(spark, "/root/testdata/sf0.001", "events", dealt=True)
+    sizes = [r["count"] for r in many.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 20 and max(sizes) <= 60

@@ -154,3 +154,14 @@ def test_headers(spark):
     assert headers.expand_letters(["ab-ad, C"]) == ["AB", "AC", "AD", "C"]
     assert headers.expand_letters(["Z-AB", "ZZ"]) == ["Z", "AA", "AB", "ZZ"]
     assert headers.select_letters(df, ["D,B-C"]).columns == ["d", "Edit  Closure", 'x"y"']
+
+
+def test_no_try_is_left_out(spark):
+    texts = ["2025-6-1 1:23 PM", "2025-06-01 13:23", "Jun 1, 2025 1:23 am", "Jun 1, 2025 13:23", "2025-06-01", "+2025-6-1", "6/1/2025", "6/1/2025 1:23 aM",
+             "", "yesterday", "2025-6-1  1:23 PM", "JUN 1, 2025 1:23 p.m.", "2025-13-1", "20256-1", "-2025-6-1", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for formats in (times.VERSION_FORMATS, times.EDIT_FORMATS, times.CLOSURE_FORMATS):
+        plain = F.coalesce(*(F.try_to_timestamp("t", F.lit(f)).cast("timestamp_ntz") for f in formats))
+        found = rows.select(plain.cast("string").alias("want"), times.parse_any(F.col("t"), formats).cast("string").alias("got")).collect()
+        assert [r["got"] for r in found] == [r["want"] for r in found]
+        assert any(r["want"] for r in found)
